@@ -17,8 +17,8 @@ def grams_of(query: str, most: int = registry.MAX_QUERY_GRAMS) -> list[str]:
     return list(dict.fromkeys(s[i : i + 3] for i in range(len(s) - 2)))[:most]
 
 
-def _count(text: Column, gram: str) -> Column:
-    return ((F.length(text) - F.length(F.replace(text, F.lit(gram), F.lit("")))) / len(gram)).cast("int")
+def _count(text: Column, gram: Column) -> Column:
+    return F.floor((F.length(text) - F.length(F.replace(text, gram, F.lit("")))) / F.length(gram)).cast("int")
 
 
 def bm25(docs: DataFrame, grams: list[str], limit: int) -> DataFrame:
@@ -27,18 +27,21 @@ def bm25(docs: DataFrame, grams: list[str], limit: int) -> DataFrame:
     One pass counts each gram per document natively; a second small aggregate gives document frequencies.
     A document's length is its number of trigrams. Occurrences are counted without overlap.
     """
+    wanted = F.array(*map(F.lit, grams))
     tf = docs.select("id", F.greatest(F.length("content") - 2, F.lit(0)).alias("len"), F.lower("content").alias("t"))
-    tf = tf.select("id", "len", *[_count(F.col("t"), g).alias(f"f{k}") for k, g in enumerate(grams)])
-    stats = tf.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count(F.when(F.col(f"f{k}") > 0, 1)).alias(f"d{k}") for k in range(len(grams))])
-    both = tf.filter(reduce(lambda a, b: a | b, [F.col(f"f{k}") > 0 for k in range(len(grams))])).crossJoin(F.broadcast(stats))  # one row
+    tf = tf.select("id", "len", F.transform(wanted, lambda g: _count(F.col("t"), g)).alias("f"))
+    df = tf.select(F.posexplode("f").alias("k", "f")).groupBy("k").agg(F.count(F.when(F.col("f") > 0, 1)).alias("d"))
+    df = df.agg(F.sort_array(F.collect_list(F.struct("k", "d"))).alias("ds"))  # one row, a gram each
+    stats = tf.agg(F.count("*").alias("n"), F.avg("len").alias("av")).crossJoin(df)
+    both = tf.filter(F.exists("f", lambda f: f > 0)).crossJoin(F.broadcast(stats))  # one row
     k1, b = registry.BM25_K1, registry.BM25_B
-    parts = []
-    for k in range(len(grams)):
-        idf = F.greatest(F.log((F.col("n") - F.col(f"d{k}") + 0.5) / (F.col(f"d{k}") + 0.5)), F.lit(registry.BM25_IDF_FLOOR))
-        f = F.col(f"f{k}")
-        parts.append(F.when(f > 0, idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("len") / F.col("avg")))).otherwise(0.0))
-    score = F.round(-reduce(lambda x, y: x + y, parts), 6)
-    return both.select("id", score.alias("score")).orderBy("score", "id").limit(limit)
+
+    def part(f, d):
+        idf = F.greatest(F.log((F.col("n") - d["d"] + 0.5) / (d["d"] + 0.5)), F.lit(registry.BM25_IDF_FLOOR))
+        return F.when(f > 0, idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("len") / F.col("av")))).otherwise(0.0)
+
+    score = F.aggregate(F.zip_with("f", "ds", part), F.lit(0.0), lambda x, y: x + y)
+    return both.select("id", F.round(-score, 6).alias("score")).orderBy("score", "id").limit(limit)
 
 
 def contains_any_term(docs: DataFrame, terms: list[str]) -> DataFrame:

@@ -71,8 +71,8 @@ def query_terms(spark, d):
     return kb.table(spark, d, "benchmark").select("item_id", F.array_join(tx.query_terms(F.col("text")), "|").alias("terms"))
 
 
-@query(r"""select item_id, array_to_string(list_transform(list_slice(list_sort(list_transform(map_entries(map_from_entries(list_reverse(list_transform(range(1, length(s) - 1), lambda i: {'k': s[i:i + 2], 'v': i})))), lambda e: {'i': e.value, 'g': e.key})), 1, 32), lambda x: x.g), '|') as grams
-from (select item_id, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '["'']', '', 'g') as s from benchmark)""", prelude=False)
+@query(r"""select item_id, string_agg(g, '|' order by i) as grams from (select item_id, g, i, row_number() over (partition by item_id order by i) as rn from (select item_id, s[i:i + 2] as g, min(i) as i from
+(select item_id, s, unnest(range(1, length(s) - 1)) as i from (select item_id, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '["'']', '', 'g') as s from benchmark)) group by item_id, g)) where rn <= 32 group by item_id""", prelude=False)
 def trigram_query(spark, d):
     return kb.table(spark, d, "benchmark").select("item_id", F.array_join(tx.query_grams(F.col("text")), "|").alias("grams"))
 
@@ -345,7 +345,7 @@ def effective_periods(spark, d):
     return lifecycle.effective_periods(kb.claims(spark, d), kb.claim_relations(spark, d))
 
 
-@query("select c.id, coalesce(o.status, c.status) as status from kb_claim c left join (select id, arg_max(status, (at, op)) as status from (select event_id % 1000 as id, case when event_id % 3 = 0 then 'archived' when event_id % 3 = 1 then 'verified' else 'superseded' end as status, ts as at, event_id as op from events) group by id) o using (id)")
+@query("select c.id, coalesce(o.status, c.status) as status from kb_claim c left join (select id, arg_max(status, row(happened, op)) as status from (select event_id % 1000 as id, case when event_id % 3 = 0 then 'archived' when event_id % 3 = 1 then 'verified' else 'superseded' end as status, ts as happened, event_id as op from events) group by id) o using (id)")
 def operations_folded(spark, d):
     ops = kb.table(spark, d, "events").select((F.col("event_id") % 1000).alias("claim_id"), F.when(F.col("event_id") % 3 == 0, "archived").when(F.col("event_id") % 3 == 1, "verified").otherwise("superseded").alias("status"), F.col("ts").alias("at"), F.col("event_id").alias("op_id"))
     return lifecycle.apply_operations(kb.claims(spark, d), ops).select("id", "status")
