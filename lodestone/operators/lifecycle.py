@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import registry
 
-_FACT = Window.partitionBy("subject_id", "predicate")
+def _fact():
+    return Window.partitionBy("subject_id", "predicate")
 
 
 def object_key(prefix: str = "") -> Column:
@@ -31,7 +32,7 @@ def related_verdicts(claims: DataFrame, functional=registry.FUNCTIONAL_PREDICATE
     A window of fixed depth in place of a self-join: a hot subject costs rows times depth.
     """
     live = claims.filter(~F.col("status").isin("rejected", "archived")).withColumn("key", object_key())
-    w = _FACT.orderBy("created_at", "id").rowsBetween(-depth, -1)
+    w = _fact().orderBy("created_at", "id").rowsBetween(-depth, -1)
     rows = live.withColumn("older", F.collect_list(F.struct("id", "key", "polarity")).over(w)).select("id", "predicate", "key", "polarity", F.explode("older").alias("o"))
     v = verdict(F.col("key"), F.col("o.key"), F.col("polarity") == F.col("o.polarity"), F.col("predicate").isin(*functional))
     return rows.select(F.col("id").alias("source_id"), F.col("o.id").alias("target_id"), v.alias("relationship"), score_of(v, F.col("key"), F.col("o.key")).alias("confidence")).filter("relationship <> 'unclear'")
@@ -76,7 +77,7 @@ def merge_impact(claims: DataFrame, keep: str, drop: str, functional=registry.FU
 
 def current(claims: DataFrame) -> DataFrame:
     """Claims without the superseded ones whose subject and predicate have a current one."""
-    covered = F.max((F.col("status") != "superseded").cast("int")).over(_FACT)
+    covered = F.max((F.col("status") != "superseded").cast("int")).over(_fact())
     return claims.withColumn("_c", covered).filter((F.col("status") != "superseded") | (F.col("_c") == 0)).drop("_c")
 
 
