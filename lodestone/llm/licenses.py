@@ -66,7 +66,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     rows = template_rows(templates)
     table = spark.createDataFrame(rows, "license string, template int, gram string, size int")
     sizes = sorted({r[3] for r in rows})
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    low, high = threshold / (2 - threshold) * (1 - 1e-12), (2 - threshold) / threshold * (1 + 1e-12)
     fits = lambda n: " or ".join(f"{n} between {s * low} and {s * high}" for s in sizes)
     text = documents(docs).withColumn("row", F.monotonically_increasing_id())
     whole = F.struct(F.lit(-1).alias("unit"), F.col("text").alias("t"))
@@ -81,6 +81,6 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     met = text.select("doc_id", "row", "unit", "n", F.explode("grams").alias("gram")).join(F.broadcast(table), "gram")  # a fixed table of some hundreds of rows
     met = met.filter(F.col("n").between(F.col("size") * low, F.col("size") * high))
     shared = met.groupBy("doc_id", "row", "unit", "license", "template", "size", "n").agg(F.count("*").alias("shared"))
-    found = shared.withColumn("dice", 2 * F.col("shared") / (F.col("size") + F.col("n"))).filter(F.col("dice") >= threshold)
+    found = shared.withColumn("dice", 2 * F.col("shared") / (F.col("size") + F.col("n"))).filter(F.col("dice") >= threshold - 1e-12)
     best = found.groupBy("doc_id", "row", "unit").agg(F.min(F.struct((-F.col("dice")).alias("d"), "license", "template")).alias("b"))
     return best.select("doc_id", F.col("unit").cast("long").alias("unit"), "b.license", F.round(-F.col("b.d"), 9).alias("dice"))

@@ -113,7 +113,7 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, max_repeats: float = MAX_REPE
 
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(c) for c in names]).alias("row"), F.coalesce("source", F.lit("")).alias("source"), F.col("doc_id"), F.col("text"), *([F.col(tokens)] if tokens else []))
-    rows = rows.join(weights, "source").withColumn("at", _place(seed, F.col("whole"))).withColumn("range", F.shiftrightunsigned("at", 52))
+    rows = rows.join(weights, "source").withColumn("at", _place(seed, F.col("whole"))).withColumn("range", F.shiftright("at", 52))
     sums = rows.groupBy("source", "range", "rest").agg(F.sum(_tokens(tokens)).alias("n"))
     running = Window.partitionBy("source").orderBy("range")  # at most RANGES rows
     sums = sums.withColumn("upto", F.sum("n").over(running))

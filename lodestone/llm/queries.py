@@ -96,7 +96,7 @@ w as (select doc_id, r, unit, list_filter(regexp_split_to_array(translate(t, {_L
 g as (select doc_id, r, unit, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) as gs from w where len(ws) > 1),
 e as (select doc_id, r, unit, len(gs) as n, unnest(gs) as gram from g),
 s as (select doc_id, r, unit, license, template, 2 * count(*) / (any_value(size) + any_value(n)) as dice from e join tpl using (gram) group by doc_id, r, unit, license, template),
-b as (select *, row_number() over (partition by r, unit order by dice desc, license, template) as k from s where dice >= {t})
+b as (select *, row_number() over (partition by r, unit order by dice desc, license, template) as k from s where dice >= {t} - 1e-12)
 select doc_id, unit::bigint as unit, license, round(dice, 9) as dice from b where k = 1"""
 
 

@@ -108,6 +108,10 @@ def _matches(text: Column, kind: str, pattern: str, group: int) -> Column:
     return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("out")), step)["out"]
 
 
+def _at_least(n: int):
+    return lambda s: F.length(s["group"]) >= n
+
+
 def _bare(found: Column) -> Column:
     return F.transform(found, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
@@ -116,7 +120,7 @@ def with_spans(docs: DataFrame, text: str = "text", model: tuple[float, ...] | N
     """``docs`` with ``base`` and ``spans``: the base patterns' spans, and those together with the models'. ``text`` isn't null."""
     t, none = F.col(text), F.array().cast(_SPAN)
     for kind, (pattern, group, least, hint) in PATTERNS.items():
-        found = F.filter(_matches(t, kind, pattern, group), lambda s, least=least: F.length(s["group"]) >= least)
+        found = F.filter(_matches(t, kind, pattern, group), _at_least(least))
         docs = docs.withColumn(f"_{kind}", F.when(t.rlike(hint), _bare(found)).otherwise(none))
     docs = docs.withColumn("base", _ordered(F.concat(*[F.col(f"_{k}") for k in BASE]), BASE)).drop(*[f"_{k}" for k in BASE])
     table = model or trained()
