@@ -5,7 +5,9 @@ chunks in order (``tests/llm/test_tokens.py`` holds whole texts against the libr
 
 * byte-level BPE cuts texts by a pattern whose pieces hold at most one leading space; a single white
   space between two other characters is therefore always the edge of a piece;
-* the word-end BPE drops white space, so every space and newline is an edge.
+* the word-end BPE drops white space, so every space and newline is an edge. It lower-cases and cuts at
+  contractions, runs of letters, single digits and runs of other characters; where a chunk's characters
+  leave no doubt about that, its pieces are looked up instead.
 """
 
 from __future__ import annotations
@@ -17,6 +19,11 @@ from functools import lru_cache
 
 _ADJACENT = re.compile(r"\s\s")
 _EDGE = re.compile(r"(?<=\S)(?= \S)")
+#: Text of which letters, digits and case are certain in any Unicode version, and its pieces once in lower case.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
+_PIECES = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+").findall
+#: Pieces encoded in one call.
+_RUN = 256
 
 
 class ChunkEncoder:
@@ -38,6 +45,8 @@ class ChunkEncoder:
         self.drops_space = "Removed" in repr(self.tokenizer.pre_tokenizer)
         self.entries = entries
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.mark = self.tokenizer.encode("|", add_special_tokens=False).ids[0]
 
     def _chunks(self, text: str) -> list[str]:
         if not text:
@@ -54,11 +63,34 @@ class ChunkEncoder:
         if len(known) > self.entries:
             self.known = known = {c: known[c] for c in own if c in known}
         new = list(own.difference(known))
+        if self.drops_space:
+            new = self._encode_pieces(new)
         if new:
             for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
                 known[c] = array("H", e.ids).tobytes()
         return [b"".join(map(known.__getitem__, c)) for c in cut]
 
+    def _encode_pieces(self, chunks: list[str]) -> list[str]:
+        """Encodes those chunks whose pieces are certain, each distinct piece once, many in a call; returns the others.
+
+        Pieces stand between spaces and a mark (a piece of its own, whose id no other piece here makes).
+        """
+        plain = [c for c in chunks if _PLAIN(c) and "|" not in c]
+        cut = [_PIECES(c.lower()) for c in plain]
+        pieces = list(set().union(*cut).difference(self.pieces))
+        runs = [pieces[k : k + _RUN] for k in range(0, len(pieces), _RUN)]
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast([" | ".join(r) for r in runs], add_special_tokens=False)):
+            found = e.ids
+            ids = array("H", found).tobytes()
+            at = [-1, *[k for k, v in enumerate(found) if v == self.mark], len(found)]
+            for piece, lo, hi in zip(run, at, at[1:]):
+                self.pieces[piece] = ids[2 * lo + 2 : 2 * hi]
+        for c, p in zip(plain, cut):
+            self.known[c] = self.pieces[p[0]] if len(p) == 1 else b"".join(map(self.pieces.__getitem__, p))
+        if len(self.pieces) > self.entries:
+            self.pieces = {}
+        return [c for c in chunks if c not in self.known]
+
 
 def slices(texts: list[str], chars: int = 2_000_000):
     """Runs of texts of about so many characters, so that memory doesn't follow the Arrow batch."""
