@@ -2,7 +2,7 @@
 
 A unit of text (a whole document, and each of its lines) is normalised to words of a-z and 0-9; its
 distinct word bigrams are compared with each template's by the Dice coefficient 2 * shared / (m + n).
-Units whose number of bigrams rules a template out (a coefficient of ``threshold`` needs m between
+Units without any of the words that every match needs are left before their bigrams are made. Units whose number of bigrams rules a template out (a coefficient of ``threshold`` needs m between
 n * t / (2 - t) and n * (2 - t) / t) never meet it.
 
 The templates' bigrams are a fixed small table, so it is broadcast; only bigrams that a unit shares with a
@@ -60,6 +60,24 @@ def template_rows(templates=TEMPLATES) -> list[tuple[str, int, str, int]]:
     return [(name, k, g, len(gs)) for k, (name, text) in enumerate(templates) for gs in [bigrams(text)] for g in gs]
 
 
+def needed_words(templates=TEMPLATES, threshold: float = THRESHOLD) -> list[str]:
+    """Words of which every unit that reaches ``threshold`` with some template holds one at least.
+
+    Such a unit shares t / (2 - t) of a template's bigrams; so, long words first, as many are taken as leave
+    fewer bigrams than that untouched.
+    """
+    taken = set()
+    for _, text in templates:
+        left = [set(g.split(" ")) for g in bigrams(text)]
+        need = len(left) * threshold / (2 - threshold) - 1e-9
+        for w in sorted(set().union(*left), key=lambda w: (w not in taken, -len(w), w)):
+            if len(left) < need:
+                break
+            taken.add(w)
+            left = [g for g in left if w not in g]
+    return sorted(taken)
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, unit (-1: the whole text, else the line's number), license, dice: the best template of each unit that reaches ``threshold``."""
     spark = docs.sparkSession
@@ -68,16 +86,20 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     sizes = sorted({r[3] for r in rows})
     low, high = threshold / (2 - threshold) * (1 - 1e-12), (2 - threshold) / threshold * (1 + 1e-12)
     fits = lambda n: " or ".join(f"{n} between {s * low} and {s * high}" for s in sizes)
-    text = documents(docs).withColumn("row", F.monotonically_increasing_id())
     whole = F.struct(F.lit(-1).alias("unit"), F.col("text").alias("t"))
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("unit"), x.alias("t")))
     # a unit of m bigrams has at least 2 m + 2 characters less one; far longer ones are left for the exact bound
     least = 2 * int(min(sizes) * low)
     units = F.filter(F.concat(F.array(whole), lines), lambda u: F.length(u["t"]) > least)
-    text = text.select("doc_id", "row", F.explode(units).alias("u")).select("doc_id", "row", "u.unit", F.translate("u.t", _UPPER, _LOWER).alias("t"))
-    text = text.withColumn("words", F.filter(F.split("t", "[^a-z0-9]+"), lambda w: w != "")).drop("t").filter(F.size("words") > int(min(sizes) * low))
+    text = documents(docs).select("doc_id", F.explode(units).alias("u"))
+    # the running ids keep each filter above what it filters, so words and bigrams are made once
+    ascii_ = F.lower(F.regexp_replace("u.t", "[^A-Za-z0-9]+", " "))
+    text = text.select("doc_id", "u.unit", F.monotonically_increasing_id().alias("row"), F.array_remove(F.split(ascii_, " "), "").alias("words"))
+    text = text.filter((F.size("words") > int(min(sizes) * low)) & F.arrays_overlap("words", F.array(*map(F.lit, needed_words(templates, threshold)))))
+    # d distinct words make d - 1 distinct bigrams at least
+    text = text.filter(F.size(F.array_distinct("words")) - 1 <= F.lit(max(sizes) * high))
     grams = F.array_distinct(F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words")), lambda a, b: F.concat(a, F.lit(" "), b)))
-    text = text.withColumn("grams", grams).drop("words").withColumn("n", F.size("grams")).filter(fits("n"))
+    text = text.select("doc_id", "unit", F.monotonically_increasing_id().alias("row"), grams.alias("grams")).withColumn("n", F.size("grams")).filter(fits("n"))
     met = text.select("doc_id", "row", "unit", "n", F.explode("grams").alias("gram")).join(F.broadcast(table), "gram")  # a fixed table of some hundreds of rows
     met = met.filter(F.col("n").between(F.col("size") * low, F.col("size") * high))
     shared = met.groupBy("doc_id", "row", "unit", "license", "template", "size", "n").agg(F.count("*").alias("shared"))
