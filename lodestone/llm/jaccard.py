@@ -9,8 +9,8 @@ by hash, then frequent ones by count) does two jobs:
   fragment and summed per pair. The sum is exact.
 
 Documents with equal sets are one node. Within a shingle's bucket pairs are first made with one leader
-only; once the leaders' links have merged components, only pairs of different components are left to
-count, so a group of g near copies costs about g counts, not g squared, and no component is lost. (A pair
+only, and a node is first counted against the leader it shares most with; once those links have merged
+components, only pairs of different components are left to count, so a group of g near copies costs about g counts, not g squared, and no component is lost. (A pair
 already known to be connected can't change any component.)
 
 The frequency order comes from counts over all documents. Each task counts its own and reports what it
@@ -37,6 +37,7 @@ from .components import components
 
 WORDS, PERCENT, FRAGMENTS = 5, 80, 4
 FREQUENT, REPORT, COUNTED = 200_000, 5, 4_000_000
+ROUNDS = 2
 SLICE = 4_000_000  # bytes of text worked on at a time
 
 _random = np.random.default_rng(20240607)
@@ -207,13 +208,17 @@ def fragments(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], words: int
     return docs.select("text").mapInArrow(cut, "set_id binary, fragment int, hashes binary")
 
 
-def links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, often, words: int, percent: int, parts: int) -> DataFrame:
-    """Those of the pairs (a, na, b, nb) that are similar, with their overlap. Only the texts of nodes in pairs are read again."""
+def cut_nodes(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, often, words: int, parts: int) -> DataFrame:
+    """node, fragment, hashes of every node in the pairs (a, na, b, nb). Only their texts are read again."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = staged(nodes.join(wanted, "node").select("node", "set_id", "doc_id"), "wanted")
     texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
     cut = fragments(texts, often, words, parts).join(wanted.select("node", "set_id"), "set_id").dropDuplicates(["node", "fragment"])
-    cut = staged(cut.select("node", "fragment", "hashes"), "fragments")
+    return staged(cut.select("node", "fragment", "hashes"), "fragments")
+
+
+def links(cut: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, na, b, nb) that are similar, with their overlap."""
     left = cut.select(F.col("node").alias("a"), "fragment", F.col("hashes").alias("ha"))
     right = cut.select(F.col("node").alias("b"), "fragment", F.col("hashes").alias("hb"))
 
@@ -229,11 +234,60 @@ def links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, often, words: int
     return staged(overlap.filter(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))), "similar")
 
 
+def _apart(pairs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """Those of the pairs that are not yet in one component."""
+    a, b = (rooted.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+    joined = pairs.join(a, "a", "left").join(b, "b", "left")
+    return joined.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(*pairs.columns)
+
+
+def linked_leaders(cut: DataFrame, pairs: DataFrame, percent: int, rounds: int = ROUNDS) -> DataFrame:
+    """Links (a, b) that connect all that the similar ones among the pairs (a, na, b, nb, shared) connect.
+
+    In each of the first rounds a node is counted against only one leader, the one with which it shares the
+    most of its prefix; after each, pairs inside a component need no count. The last step counts all that are left.
+    """
+    found, left = None, pairs
+    for k in range(rounds + 1):
+        if k < rounds:
+            best = left.groupBy("b").agg(F.max(F.struct("shared", -F.col("a"), "na", "nb", "a")).alias("m"))
+            now = staged(best.select("m.a", "m.na", "b", "m.nb"), "best")
+        else:
+            now = left.drop("shared")
+        similar = links(cut, now, percent).select("a", "b")
+        found = similar if found is None else found.union(similar)
+        if k < rounds:
+            left = staged(_apart(left.join(now.select("a", "b"), ["a", "b"], "left_anti"), components(found, "a", "b")), "left")
+            if not left.take(1):
+                break
+    return found
+
+
+def _needed(percent: int):
+    """The overlap that makes sets of na and nb shingles similar."""
+    return F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
+
+
 def _may_link(percent: int):
     """Size bound, and positional bound at a shared shingle of two prefixes: the overlap needed against what can still come."""
     low, high = F.least("na", "nb"), F.greatest("na", "nb")
-    need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
-    return (100 * low >= percent * high) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need)
+    return (100 * low >= percent * high) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= _needed(percent))
+
+
+def _promising(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose prefixes share enough, and how many (shared): past its prefix, the one whose prefix ends first in the order has fewer than ``_least`` shingles left to share."""
+    prefix = lambda c: full.select(F.col("row").alias(c), F.col("prefix").alias(f"x{c}"))
+    met = pairs.join(prefix("a"), "a").join(prefix("b"), "b")
+    left = F.ceil(F.lit(percent) * F.greatest("na", "nb") / F.lit(100)) - 1
+    met = met.withColumn("shared", F.size(F.array_intersect("xa", "xb"))).drop("xa", "xb")
+    return staged(met.filter(F.col("shared") + left >= _needed(percent)), "promising")
+
+
+def _open(live: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The rows (h, node, n, pos, root) of buckets that hold more than one component."""
+    joined = live.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = joined.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("h")
+    return staged(joined.join(several, "h"), "open_buckets")
 
 
 def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, parts: int = FRAGMENTS) -> DataFrame:
@@ -249,19 +303,35 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     live = staged(postings.join(leaders.select("h", "leader"), "h"), "buckets")
     near = live.filter(F.col("node") != F.col("leader.node")).select(F.col("leader.node").alias("a"), F.col("leader.n").alias("na"), F.col("leader.pos").alias("pa"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
     pairs = staged(near.filter(_may_link(percent)).select("a", "na", "b", "nb").distinct(), "pairs")
-    found = links(docs, nodes, pairs, often, words, percent, parts)
+    tried = pairs.select("a", "b")
+    pairs = _promising(pairs, full, percent)
+    found = linked_leaders(cut_nodes(docs, nodes, pairs, often, words, parts), pairs, percent)
     rooted = components(found, "a", "b")
 
-    joined = live.select("h", "node", "n", "pos").join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = joined.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("h")
-    rest = staged(joined.join(open_, "h"), "open_buckets")
+    live = live.select("h", "node", "n", "pos")
+    tested = tried
+    # leaders of the largest component in a bucket: the others' nodes are likeliest to be similar to one of it
+    rest = _open(live, rooted)
+    leaders = rest.groupBy("h", "root").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node").alias("order"), "node", "n", "pos")).alias("l"))
+    leaders = leaders.groupBy("h").agg(F.max(F.struct("size", "l.order", "l.node", "l.n", "l.pos", "root")).alias("leader"))
+    near = rest.join(leaders, "h").filter(F.col("root") != F.col("leader.root"))
+    near = near.select(F.col("leader.node").alias("a"), F.col("leader.n").alias("na"), F.col("leader.pos").alias("pa"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    more = staged(near.filter(_may_link(percent)).select("a", "na", "b", "nb").distinct(), "more_pairs")
+    tested = tried.union(more.select(F.least("a", "b"), F.greatest("a", "b")))
+    more = _promising(more, full, percent)
+    if more.take(1):
+        found = found.union(linked_leaders(cut_nodes(docs, nodes, more, often, words, parts), more, percent, 1))
+        rooted = components(found, "a", "b")
+
+    rest = _open(live, rooted)
     x = rest.select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"))
     y = rest.select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"))
     crossing = x.join(y, (x.h == y.h) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _may_link(percent)).select("a", "na", "b", "nb").distinct()
-    crossing = staged(crossing.join(pairs.select("a", "b"), ["a", "b"], "left_anti").select("a", "na", "b", "nb"), "crossing")
-    more = links(docs, nodes, crossing, often, words, percent, parts)
-    if more.take(1):
-        rooted = components(found.select("a", "b").union(more.select("a", "b")), "a", "b")
+    crossing = staged(crossing.join(tested, ["a", "b"], "left_anti").select("a", "na", "b", "nb"), "crossing")
+    crossing = _promising(crossing, full, percent)
+    if crossing.take(1):
+        found = found.union(linked_leaders(cut_nodes(docs, nodes, crossing, often, words, parts), crossing, percent))
+        rooted = components(found, "a", "b")
 
     root = F.coalesce("root", "node")
     whole = nodes.join(rooted, "node", "left").select("set_id", "doc_id", root.alias("root"))
