@@ -241,23 +241,32 @@ def _apart(pairs: DataFrame, rooted: DataFrame) -> DataFrame:
     return joined.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(*pairs.columns)
 
 
-def linked_leaders(cut: DataFrame, pairs: DataFrame, percent: int, rounds: int = ROUNDS) -> DataFrame:
+def linked_leaders(cut: DataFrame, pairs: DataFrame, percent: int, rounds: int = ROUNDS, known: DataFrame | None = None) -> DataFrame:
     """Links (a, b) that connect all that the similar ones among the pairs (a, na, b, nb, shared) connect.
 
-    In each of the first rounds a node is counted against only one leader, the one with which it shares the
-    most of its prefix; after each, pairs inside a component need no count. The last step counts all that are left.
+    In each of the first rounds a node is counted against only one other, of the largest component and with the
+    most of its prefix shared; after each, pairs inside a component need no count. The last step counts all that
+    are left. ``known``: links found before.
     """
-    found, left = None, pairs
+    found, left, rooted = None, pairs, None if known is None else components(known, "a", "b")
     for k in range(rounds + 1):
         if k < rounds:
-            best = left.groupBy("b").agg(F.max(F.struct("shared", -F.col("a"), "na", "nb", "a")).alias("m"))
-            now = staged(best.select("m.a", "m.na", "b", "m.nb"), "best")
+            sides = left.select("a", "na", "b", "nb", "shared", F.col("a").alias("x"), F.col("b").alias("y"))
+            sides = sides.union(left.select("a", "na", "b", "nb", "shared", "b", "a"))
+            if rooted is not None:
+                sizes = rooted.groupBy("root").agg(F.count("*").alias("size"))
+                sides = sides.join(rooted.join(sizes, "root").select(F.col("node").alias("y"), "size"), "y", "left")
+            else:
+                sides = sides.withColumn("size", F.lit(1).cast("long"))
+            best = sides.groupBy("x").agg(F.max(F.struct(F.coalesce("size", F.lit(1)).alias("size"), "shared", "a", "na", "b", "nb")).alias("m"))
+            now = staged(best.select("m.a", "m.na", "m.b", "m.nb").distinct(), "best")
         else:
             now = left.drop("shared")
         similar = links(cut, now, percent).select("a", "b")
         found = similar if found is None else found.union(similar)
         if k < rounds:
-            left = staged(_apart(left.join(now.select("a", "b"), ["a", "b"], "left_anti"), components(found, "a", "b")), "left")
+            rooted = components(found if known is None else found.union(known), "a", "b")
+            left = staged(_apart(left.join(now.select("a", "b"), ["a", "b"], "left_anti"), rooted), "left")
             if not left.take(1):
                 break
     return found
@@ -320,7 +329,7 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     tested = tried.union(more.select(F.least("a", "b"), F.greatest("a", "b")))
     more = _promising(more, full, percent)
     if more.take(1):
-        found = found.union(linked_leaders(cut_nodes(docs, nodes, more, often, words, parts), more, percent, 1))
+        found = found.union(linked_leaders(cut_nodes(docs, nodes, more, often, words, parts), more, percent, 1, found))
         rooted = components(found, "a", "b")
 
     rest = _open(live, rooted)
@@ -330,7 +339,7 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     crossing = staged(crossing.join(tested, ["a", "b"], "left_anti").select("a", "na", "b", "nb"), "crossing")
     crossing = _promising(crossing, full, percent)
     if crossing.take(1):
-        found = found.union(linked_leaders(cut_nodes(docs, nodes, crossing, often, words, parts), crossing, percent))
+        found = found.union(linked_leaders(cut_nodes(docs, nodes, crossing, often, words, parts), crossing, percent, ROUNDS, found))
         rooted = components(found, "a", "b")
 
     root = F.coalesce("root", "node")
