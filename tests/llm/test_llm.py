@@ -218,6 +218,21 @@ def test_licenses(spark, docs, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_licenses_wrapped_and_embedded(spark):
+    wrap = lambda t, n: "\n".join(" # " + " ".join(t.split()[k : k + n]) for k in range(0, len(t.split()), n))
+    prose, of = " ".join(f"word{k}" for k in range(900)) + ". ", {k: [t for n, t in licenses.TEMPLATES if n == k] for k, _ in licenses.TEMPLATES}
+    texts = ["Copyright 2024 Acme Corp. Released under the MIT License.", f"{prose}\n{wrap(of['MIT'][-1], 11)}\n{prose}", f"{prose}\n{wrap(of['Apache-2.0'][-1], 9)}\n{prose}", prose + of["GPL-3.0"][-1] + prose, f"{prose}\n{wrap(of['BSD-3-Clause'][0], 7)}\nint main", "See here. Licensed under CC BY 4.0. " + prose + " Released under the ISC License. More follows here.", f"{prose}\nReleased under the MIT License.\n{prose}"]
+    got = {}
+    for r in licenses.scan(spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], []).append((r["unit"], r["license"], r["dice"]))
+    words = lambda t: [w for w in re.split("[^a-z0-9]+", t.lower()) if w]
+    n = len(words(prose))
+    assert got[0] == [(-6, "MIT", 1.0)] * 2
+    assert [[x for x in got[k] if x[0] < -1] for k in (1, 2, 3, 4)] == [[(-2 - n, k, 1.0)] for k in ("MIT", "Apache-2.0", "GPL-3.0", "BSD-3-Clause")]
+    assert sorted(got[5]) == [(-2 - 8 - n, "ISC", 1.0), (-2 - 2, "CC-BY-4.0", 1.0)]
+    assert got[6] == [(1, "MIT", 1.0)]
+
+
 def check_packing(got, source, tk, capacity=2048):
     ids = {k: tk.encode(t or "", add_special_tokens=False).ids + [1] for k, t in source}
     bins, seen = {}, {}
