@@ -2,14 +2,15 @@
 
 1. Each document is encoded and cut: full pieces of ``capacity`` tokens and one remainder. Each task
    numbers its pieces within their length bucket while it encodes, so no sort is needed to rank them.
-2. The remainders' histogram (at most ``capacity / grain`` buckets, so its size is bounded) goes to the
-   driver, where a linear program over patterns is solved: a dense revised simplex whose columns are
+2. The remainders' histogram (a bucket for each length, so its size is bounded by ``capacity``) goes to the
+   driver, where a linear program over patterns of lengths rounded up to ``grain`` is solved: a dense revised simplex whose columns are
    priced by an unbounded-knapsack dynamic program.
-3. Patterns are rounded down; what is left is packed first-fit over the histogram.
+3. Patterns are rounded down; what is left is packed first-fit over the histogram. Then each pattern takes
+   true lengths, and the room that rounding left in it is refilled from the histogram, longest first.
 4. A piece's rank within its bucket (numbers of earlier tasks' pieces, then its own number) says which
    copy of which pattern, and which place there, it takes. Only narrow rows (no ids) are shuffled.
 
-Lengths are rounded up to ``grain`` tokens in the linear program alone; pieces keep their true lengths and
+Lengths are rounded up to ``grain`` tokens in the linear program alone, not in what a sequence holds; pieces
 stand gapless, so a sequence's padding is at its end.
 
 Defined results: null or empty text packs its end id alone; repeated rows are packed each time; an empty
@@ -108,6 +109,34 @@ def solve_patterns(demand: np.ndarray, capacity: int, gap: float = 5e-4, rounds:
     return whole
 
 
+def refilled(plan: list[tuple[np.ndarray, int]], found: np.ndarray, capacity: int, grain: int) -> list[tuple[np.ndarray, int]]:
+    """The plan with true lengths, ``found[k]`` pieces of length k + 1, and no room left that a piece still to come would fit.
+
+    Each copy takes what its pattern asks for as far as pieces are left, so no more copies are made than planned.
+    """
+    left, out = found.astype(np.int64), []
+    for a, n in plan:
+        asked = np.flatnonzero(a)[::-1]
+        while n > 0 and left.any():
+            own, room = np.zeros(len(left), np.int64), capacity
+            for b in asked:
+                more = int(a[b])
+                for k in range(min((b + 1) * grain, len(left)) - 1, b * grain - 1, -1):
+                    take = min(more, int(left[k]))
+                    own[k], room, more = take, room - take * (k + 1), more - take
+                    if not more:
+                        break
+            for k in np.flatnonzero(left[:room] > own[:room])[::-1]:
+                if k < room:
+                    take = min(int(left[k] - own[k]), room // int(k + 1))
+                    own[k], room = own[k] + take, room - take * int(k + 1)
+            used = own > 0
+            full = min(n, int((left[used] // own[used]).min()))
+            out.append((own, full))
+            left, n = left - own * full, n - full
+    return out
+
+
 def places(plan: list[tuple[np.ndarray, int]], first: int, buckets: int) -> list[list[np.ndarray]]:
     """For each bucket the runs of ranks, in order: first rank, first sequence, items a sequence, first slot."""
     runs: list[list[list[int]]] = [[[], [], [], []] for _ in range(buckets)]
@@ -123,15 +152,15 @@ def places(plan: list[tuple[np.ndarray, int]], first: int, buckets: int) -> list
     return [[np.array(r, np.int64) for r in four] for four in runs]
 
 
-def pieces(docs: DataFrame, name: str = VOCABULARY, capacity: int = CAPACITY, grain: int = GRAIN, end_id: int = END_ID, ids: bool = False) -> DataFrame:
-    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, its task, bucket and number there; with ``ids`` its ids as well (unsigned 16-bit, little-endian)."""
+def pieces(docs: DataFrame, name: str = VOCABULARY, capacity: int = CAPACITY, end_id: int = END_ID, ids: bool = False) -> DataFrame:
+    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, its task, bucket (its length) and number there; with ``ids`` its ids as well (unsigned 16-bit, little-endian)."""
     end, names = np.array([end_id], "<u2").tobytes(), ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "bucket", "number", "ids"][: 9 if ids else 8]
     kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int64(), pa.binary()][: 2 if ids else 1]
 
     def cut(batches):
         from pyspark import TaskContext
 
-        encode, task, seen = encoder(vocabulary(name)).encode, TaskContext.get().partitionId(), np.zeros(capacity // grain + 2, np.int64)
+        encode, task, seen = encoder(vocabulary(name)).encode, TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for b in batches:
             keys, texts, done = b.column(0).to_pylist(), b.column(1).to_pylist(), 0
             for run in slices(texts):
@@ -140,7 +169,7 @@ def pieces(docs: DataFrame, name: str = VOCABULARY, capacity: int = CAPACITY, gr
                     all_ids = np.frombuffer(own + end, "<u2")
                     for start in range(0, len(all_ids), capacity):
                         part = all_ids[start : start + capacity]
-                        bucket = -(-len(part) // grain) if len(part) < capacity else capacity // grain + 1
+                        bucket = len(part)
                         row = (key, start, len(part), zlib.crc32(part.astype("<u4")), len(all_ids), task, bucket, int(seen[bucket]), part.tobytes())
                         seen[bucket] += 1
                         for o, v in zip(out, row):
@@ -157,20 +186,22 @@ def pack(docs: DataFrame, name: str = VOCABULARY, capacity: int = CAPACITY, grai
 
     A sequence with one full piece takes no padding and no part in the linear program.
     """
-    cut = staged(pieces(docs, name, capacity, grain, end_id, ids), "pieces")
+    cut = staged(pieces(docs, name, capacity, end_id, ids), "pieces")
     counts = staged(cut.groupBy("task", "bucket").agg(F.count("*").alias("n")), "piece_counts")
     earlier = Window.partitionBy("bucket").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("task", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    full = capacity // grain + 1
-    found = {r["bucket"]: r["n"] for r in counts.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # at most capacity / grain + 1 rows
-    demand = np.array([found.get(b, 0) for b in range(1, full)], np.int64)
-    runs = places(solve_patterns(demand, capacity // grain), found.get(full, 0), full - 1)
+    found = {r["bucket"]: r["n"] for r in counts.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
+    lengths = np.array([found.get(k, 0) for k in range(1, capacity)], np.int64)
+    demand = np.zeros(-(-capacity // grain), np.int64)
+    np.add.at(demand, np.arange(capacity - 1) // grain, lengths)
+    plan = refilled(solve_patterns(demand, capacity // grain), lengths, capacity, grain)
+    runs = places(plan, found.get(capacity, 0), capacity - 1)
 
     def place(batches):
         for b in batches:
             bucket, rank = b.column("bucket").to_numpy(), b.column("rank").to_numpy()
             sequence, slot = rank.astype(np.int64).copy(), np.zeros(len(rank), np.int64)
-            for k in np.unique(bucket[bucket < full]):
+            for k in np.unique(bucket[bucket < capacity]):
                 at = np.flatnonzero(bucket == k)
                 first, base, each, slots = runs[k - 1]
                 i = np.searchsorted(first, rank[at], "right") - 1

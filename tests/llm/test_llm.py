@@ -271,6 +271,16 @@ def test_patterns_cover_demand_with_little_padding():
     assert used <= 1.02 * (demand * np.arange(1, 65)).sum() / 64 + 2
 
 
+def test_packing_of_short_texts_pads_little(spark):
+    draw = random.Random(6)
+    texts = [None, ""] * 1500 + [" ".join(draw.choices(["one", "two", "three", "of"], k=draw.randint(0, 19))) for _ in range(6000)] + ["one two three of one two three of"] * 3000
+    rows = list(enumerate(texts))
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    bins, _, ids = check_packing(got, rows, ChunkEncoder(vocabulary(packing.VOCABULARY)).tokenizer)
+    assert max(map(len, ids.values())) <= 21
+    assert len(bins) <= 1.01 * sum(map(len, ids.values())) / 2048 + 1
+
+
 def test_html():
     page = "<html><head><title>t</title><style>p{}</style></head><body><p>A &amp; b<p hidden>no<p style='display: none'>no<p>c <b>d</b><br>e<ul><li>x<li>y<ol><li>1st</ol></ul><table><tr><th>Name<th>N<tr><td>ab<td>1<tr><td>longer<td>22</table><pre>a\n  b</pre><script>var x='<p>no'</script><!-- no --></div>end"
     assert html.text_of(page) == "A & b\n\nc d\ne\n\n- x\n- y\n  1. 1st\n\nName    N\nab      1\nlonger  22\n\na\n  b\n\nend"
