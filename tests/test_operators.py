@@ -1,5 +1,7 @@
 """Operators against small fixtures and plain Python."""
 
+import difflib
+import itertools
 import random
 
 import pytest
@@ -98,6 +100,21 @@ def test_fuzzy(spark):
     assert rows(resolve.contained_pairs(e)) == [("1", "2")]
 
 
+@pytest.mark.parametrize("threshold", [0.65, 0.9])
+def test_fuzzy_finds_every_pair(spark, threshold):
+    draw = random.Random(5)
+    names = ["Microsoft", "Microsft", "micro", "Acme", "Acme International Holdings", "The New York Times", "York Times", "a", "ab", "苹果", "苹果公司", "", "acme inc", "night", "thing"]
+    names += ["".join(draw.choices("abc de", k=draw.randint(1, 9))) for _ in range(60)]
+    e = spark.createDataFrame([(f"{k:03}", "TU"[k > 60], n) for k, n in enumerate(names)], "id string, type string, name string")
+    loose = [(r["id"], r["type"], r["k"]) for r in e.select("id", "type", resolve.loose_name(F.col("name")).alias("k")).collect()]
+    want = []
+    for (i, s, x), (j, t, y) in itertools.combinations(sorted(loose), 2):
+        if s == t and x and y:
+            r = 1.0 if x in y or y in x else difflib.SequenceMatcher(None, x, y).ratio()
+            want += [(i, j, round(r, 6))] * (r >= threshold)
+    assert rows(resolve.fuzzy_pairs(e, threshold)) == want and {("000", "002", 1.0), ("003", "004", 1.0), ("005", "006", 1.0)} <= set(want)
+
+
 def test_retrieval_metrics(spark):
     c = spark.createDataFrame([("a", [1, 2], [1, 3, 2]), ("b", [9], [1, 2]), ("c", [], [])], "id string, relevant array<int>, retrieved array<int>")
     r = evaluate.retrieval_report(c, 2).first()
