@@ -2,8 +2,10 @@
 
 The tree builder knows void elements, raw-text elements and implied end tags (paragraphs, list items,
 table rows and cells, options, definitions); an end tag without its start is dropped, and what a document
-leaves open is closed at its end. Hidden are head, script, style, template and the like, the ``hidden``
-attribute, ``display:none``, ``visibility:hidden`` and hidden inputs.
+leaves open is closed at its end. Hidden are head, script, style, template and the other elements of
+``_HIDDEN``, the ``hidden`` attribute, ``display:none``, ``visibility:hidden`` and hidden inputs. Of an svg its
+text elements are shown, of math all but annotations, of a select the shown option (of a list box all), of an
+input its value where browsers show it.
 
 Rendering collapses white space, starts blocks on lines of their own (with a blank line around paragraphs,
 headings, lists and tables), marks list items and indents nested lists, aligns the cells of a table by the
@@ -25,9 +27,13 @@ from pyspark.sql import functions as F
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
-_HIDDEN = frozenset("head script style template noscript title datalist iframe object audio video canvas svg math noembed noframes select".split())
+_HIDDEN = frozenset("head script style template noscript title datalist iframe object audio video canvas noembed noframes annotation annotation-xml".split())
 _SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure".split())
 _BLOCK = _SPACED | frozenset("html body address article aside center dd details dialog dir div dt fieldset figcaption footer form header hgroup hr legend li main menu nav section summary caption tr thead tbody tfoot option optgroup".split())
+#: Inputs whose value isn't shown as text.
+_NO_VALUE = frozenset("hidden password checkbox radio range color file image".split())
+_UNDRAWN = frozenset("defs symbol clippath mask marker pattern metadata desc".split())
+_TOKENS = frozenset("mi mn mo mtext ms".split())
 #: An open element (key) that the start of any of these (value) ends.
 _PARAGRAPH_ENDS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul li dd dt td th tr".split())
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"})}
@@ -78,7 +84,7 @@ def parse(text: str) -> Node:
             open_.pop()
         node = Node(name, m[3] or "")
         open_[-1].children.append(node)
-        if name in _VOID:
+        if name in _VOID or node.attributes.endswith("/") and any(o.name in ("svg", "math") for o in open_):
             continue
         if name in _RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(text, at)
@@ -124,6 +130,32 @@ def hidden(node: Node) -> bool:
     return "style" in low and bool(_UNSEEN.search(node.attribute("style") or ""))
 
 
+def _inside(node: Node, names, skip=frozenset()) -> list[Node]:
+    """The visible elements of these names, in order, the outermost ones only."""
+    out, stack = [], list(reversed(node.children))
+    while stack:
+        n = stack.pop()
+        if isinstance(n, str) or n.name in skip or hidden(n) or (n.attribute("display") if n.attributes else None) == "none":
+            continue
+        if n.name in names:
+            out.append(n)
+        else:
+            stack.extend(reversed(n.children))
+    return out
+
+
+def _list_box(node: Node) -> bool:
+    size = node.attribute("size") or ""
+    return node.attribute("multiple") is not None or size.isdecimal() and int(size) > 1
+
+
+def _shown_option(node: Node) -> list[Node]:
+    """The option that a drop-down shows: the last one selected, else the first that isn't disabled."""
+    options = [(o, g.name == "optgroup" and g.attribute("disabled") is not None) for g in _inside(node, ("option", "optgroup")) for o in ([g] if g.name == "option" else _inside(g, ("option",)))]
+    chosen = [o for o, _ in options if o.attribute("selected") is not None]
+    return chosen[-1:] or [o for o, off in options if not off and o.attribute("disabled") is None][:1]
+
+
 def _width(s: str) -> int:
     return len(s) if s.isascii() else sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
 
@@ -241,9 +273,28 @@ def render(root: Node) -> str:
                 page.text(f" {alt} ")
             continue
         if name == "input":
-            if (item.attribute("type") or "text").lower() in ("button", "submit", "reset", "text", "email", "search") and item.attribute("value"):
-                page.text(f" {item.attribute('value')} ")
+            kind = (item.attribute("type") or "text").lower()
+            shown = item.attribute("alt") if kind == "image" else None if kind in _NO_VALUE else item.attribute("value")
+            if shown:
+                page.text(f" {shown} ")
+            continue
+        if name == "svg":
+            for n in reversed(_inside(item, ("text", "foreignobject"), _UNDRAWN)):
+                stack += [" ", *reversed(n.children), " "]
+            continue
+        if name in _TOKENS:
+            stack += [" ", *reversed(item.children), " "]
             continue
+        if name == "select" and not _list_box(item):
+            for n in _shown_option(item):
+                stack += [" ", *([n.attribute("label")] if n.attribute("label") else reversed(n.children)), " "]
+            continue
+        if name in ("option", "optgroup") and item.attributes and item.attribute("label"):
+            page.block(1)
+            page.text(item.attribute("label"))
+            page.block(1)
+            if name == "option":
+                continue
         if name in ("td", "th") and tables:
             if not tables[-1]:
                 tables[-1].append([])

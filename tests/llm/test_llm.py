@@ -288,6 +288,15 @@ def test_html():
     assert html.text_of("<div>" * 5000 + "deep") == "deep"
 
 
+def test_html_keeps_formulas_figures_and_controls(spark):
+    page = """<p>so <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>no</annotation></math> holds
+    <p>see <svg viewBox="0 0 9 9"><title>no</title><desc>no</desc><defs><text>no</text></defs><path d="M0"/><text x="1">left <tspan>label</tspan></text><rect/><text/><text>right</text><text display="none">no</text></svg> here
+    <p>pick <select><option>no<option selected>this</select> or <select><optgroup label=no disabled><option>no</optgroup><option disabled>no<option>first<option>no</select> or <select multiple><optgroup label="group"><option>all<option label="of">no</optgroup></select>
+    <p><input type=number value=7><input type=url value=u:v><input type=tel value=12><input type=date value=2024-01-02><input type=password value=no><input type=checkbox value=no><input type=hidden value=no><input value=text> end"""
+    got = html.extract(spark.createDataFrame([(1, page)], "page_id long, html string")).first()["text"]
+    assert got.split() == "so x = 1 2 holds see left label right here pick this or first or group all of 7 u:v 12 2024-01-02 text end".split()
+
+
 def test_html_keeps_every_visible_word(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {r["page_id"]: r["text"] for r in html.extract(pages).collect()}
