@@ -115,6 +115,14 @@ def test_fuzzy_finds_every_pair(spark, threshold):
     assert rows(resolve.fuzzy_pairs(e, threshold)) == want and {("000", "002", 1.0), ("003", "004", 1.0), ("005", "006", 1.0)} <= set(want)
 
 
+def test_longest_name_of_any_length_and_characters(spark):
+    names = ["University", "The Royal Society of Arts and Letters of Upper Canada", "R&D", "C++", "C", "node.js", "Acme, Inc", "D", "++", "", None]
+    asked = ["who founded the royal society of arts and letters of upper canada university?", "what is the R&D budget", "is C++ fast", "is c fast", "uses Node.js now", "was Acme,  Inc sold", "R or D", "a ++ b", "", None]
+    e = spark.createDataFrame([(str(k), n) for k, n in enumerate(names)], "id string, name string")
+    q = spark.createDataFrame(list(enumerate(asked)), "id long, question string")
+    assert rows(resolve.longest_contained(q, e)) == [(0, names[1]), (1, "R&D"), (2, "C++"), (3, "C"), (4, "node.js"), (5, "Acme, Inc"), (6, "D"), (7, "++")]
+
+
 def test_retrieval_metrics(spark):
     c = spark.createDataFrame([("a", [1, 2], [1, 3, 2]), ("b", [9], [1, 2]), ("c", [], [])], "id string, relevant array<int>, retrieved array<int>")
     r = evaluate.retrieval_report(c, 2).first()
