@@ -96,20 +96,41 @@ def states(claims: DataFrame, disputed: DataFrame) -> DataFrame:
     return claims.filter("status <> 'rejected'").join(d, "id", "left").select("id", s.alias("state"))
 
 
-def supersede_chains(edges: DataFrame, depth: int = 64) -> DataFrame:
-    """root (a claim nothing supersedes), id, depth along supersede edges newer to older.
+def supersede_chains(edges: DataFrame) -> DataFrame:
+    """root (a claim nothing supersedes), id, depth along supersede edges newer to older, a row for each way from root to id.
 
-    A bounded walk: each step is one join on what the last one found, and it stops when nothing is found.
+    The walk doubles its length each round, with what is reached and all ways of that length joined, until
+    nothing new is found. A way ends before it meets a claim again; loops are reported by `supersede_cycles`.
     """
-    e = edges.select(F.col("source_id").alias("from_id"), F.col("target_id").alias("to_id"))
-    step = e.join(e.select(F.col("to_id").alias("from_id")), "from_id", "left_anti").select(F.col("from_id").alias("root"), F.col("to_id").alias("id"), F.lit(1).alias("depth"))
-    out = step
-    for k in range(2, depth + 1):
-        step = step.join(e, step.id == e.from_id).select("root", F.col("to_id").alias("id"), F.lit(k).alias("depth")).filter("root <> id")
-        if step.isEmpty():
+    e = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
+    roots = e.join(e.select(F.col("b").alias("a")), "a", "left_anti")
+    # localCheckpoint cuts the plan, which would double each round as well
+    step = lambda df: df.select("a", "b", F.array("b").alias("way")).localCheckpoint()
+    jump, out = step(e.filter("a <> b")), step(roots)
+    while True:
+        ends = jump.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("way").alias("more"))
+        longer = lambda df: df.join(ends, "b").filter((F.col("c") != F.col("a")) & ~F.array_contains("more", F.col("a")) & ~F.arrays_overlap("way", "more")).select("a", F.col("c").alias("b"), F.concat("way", "more").alias("way")).localCheckpoint()
+        # what is deeper than the jumps are long is reached from what is so much less deep
+        new = longer(out)
+        if new.isEmpty():
             break
-        out = out.unionByName(step)
-    return out
+        out, jump = out.unionByName(new).localCheckpoint(), longer(jump)
+    return out.select(F.col("a").alias("root"), F.col("b").alias("id"), F.size("way").alias("depth"))
+
+
+def supersede_cycles(edges: DataFrame) -> DataFrame:
+    """id of each claim on a loop of supersede edges, or on a way from one loop to another.
+
+    These begin and end walks of any length: walks are doubled until they are longer than there are edges.
+    """
+    e = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).filter("a <> b").distinct().localCheckpoint()
+    n, length = e.count(), 1
+    while length <= n:
+        e = e.join(e.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct().localCheckpoint()
+        if e.isEmpty():
+            break
+        length *= 2
+    return e.select(F.col("a").alias("id")).distinct().join(e.select(F.col("b").alias("id")), "id", "left_semi")
 
 
 def effective_periods(claims: DataFrame, edges: DataFrame) -> DataFrame:
