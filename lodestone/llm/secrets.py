@@ -2,7 +2,8 @@
 
 Three base patterns give spans; two character Markov models (order one) add more. The models are trained
 from labelled samples, strings drawn at random and ordinary identifiers, and a token is reported where the
-log-likelihood ratio per character exceeds a threshold. Their table of transition log ratios has a fixed
+log-likelihood ratio per character exceeds a threshold. What the base patterns found is blanked out before, so
+what is left of a token around it is a token of its own. Their table of transition log ratios has a fixed
 size, so it travels in the plan as a literal.
 
 Spans are (kind, start, end) in code points, end exclusive. A text is cut at a pattern's matches; the
@@ -116,6 +117,17 @@ def _bare(found: Column) -> Column:
     return F.transform(found, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
 
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with spaces, which no token holds, in place of the spans (in order of start)."""
+
+    def step(a, s):
+        start, end = F.greatest(a["at"], s["start"]), F.greatest(a["at"], s["end"])
+        return F.struct(end.alias("at"), F.concat(a["out"], F.substr(text, a["at"] + 1, start - a["at"]), F.repeat(F.lit(" "), end - start)).alias("out"))
+
+    walked = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
+    return F.when(F.size(spans) > 0, F.concat(walked["out"], F.substr(text, walked["at"] + 1))).otherwise(text)
+
+
 def with_spans(docs: DataFrame, text: str = "text", model: tuple[float, ...] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``base`` and ``spans``: the base patterns' spans, and those together with the models'. ``text`` isn't null."""
     t, none = F.col(text), F.array().cast(_SPAN)
@@ -123,11 +135,11 @@ def with_spans(docs: DataFrame, text: str = "text", model: tuple[float, ...] | N
         found = F.filter(_matches(t, kind, pattern, group), _at_least(least))
         docs = docs.withColumn(f"_{kind}", F.when(t.rlike(hint), _bare(found)).otherwise(none))
     docs = docs.withColumn("base", _ordered(F.concat(*[F.col(f"_{k}") for k in BASE]), BASE)).drop(*[f"_{k}" for k in BASE])
-    table = model or trained()
-    tokens = _bare(F.filter(_matches(t, "markov", TOKEN, 0), lambda s: score(s["text"], table) > threshold))
-    docs = docs.withColumn("_more", F.when(t.rlike(TOKEN), tokens).otherwise(none))
-    apart = F.filter("_more", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return docs.withColumn("spans", _ordered(F.concat("base", apart), (*BASE, "markov"))).drop("_more")
+    table, left = model or trained(), F.col("_left")
+    docs = docs.withColumn("_left", F.when(t.rlike(TOKEN), _blanked(t, F.col("base"))).otherwise(""))
+    tokens = _bare(F.filter(_matches(left, "markov", TOKEN, 0), lambda s: score(s["text"], table) > threshold))
+    docs = docs.withColumn("_more", F.when(left.rlike(TOKEN), tokens).otherwise(none))
+    return docs.withColumn("spans", _ordered(F.concat("base", "_more"), (*BASE, "markov"))).drop("_more", "_left")
 
 
 def scan(docs: DataFrame, model: tuple[float, ...] | None = None, threshold: float = THRESHOLD) -> DataFrame:
