@@ -11,7 +11,9 @@ of documents. A shard holds
 * ``body`` (uint16): the symbols.
 
 Re-Pair runs in rounds: all adjacent pairs are counted exactly, the most frequent get nonterminals, and
-every leftmost non-overlapping occurrence is replaced. No pair begins with the end id, so documents begin
+every leftmost non-overlapping occurrence is replaced. A round gives away a quarter of the symbols left (256 at
+least), and only to pairs that are replaced ``least`` times: a rule takes 8 bytes, a replacement saves 2. It ends
+when symbols run out, or when neither a round's pairs nor the most frequent alone gain that much. No pair begins with the end id, so documents begin
 at symbols.
 
 Defined results: null or empty text is its end id alone; a null doc_id comes first; repeated rows are
@@ -35,47 +37,55 @@ VOCABULARY, END_ID, SHARD_IDS = "byte_bpe_50k.json", 2, 1 << 19
 SHARD = "task int, shard int, n_ids long, doc_ids binary, doc_null binary, doc_tokens binary, doc_symbols binary, base int, rules binary, lengths binary, body binary"
 
 
-def compress(ids: np.ndarray, base: int, end_id: int, rounds: int = 5, least: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(body, rules, lengths) of one shard. ``base`` is the first nonterminal; symbols stay below 65,536."""
-    body, rules, lengths = ids.astype(np.uint32), [], [np.ones(base, np.uint32)]
+def _occurrences(body: np.ndarray, pair: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the leftmost non-overlapping occurrences of the chosen pairs (ascending) begin, and which pair each is."""
+    first, second = np.zeros(65_536, bool), np.zeros(65_536, bool)
+    first[chosen >> np.uint32(16)] = True
+    second[chosen & np.uint32(0xFFFF)] = True
+    at = np.flatnonzero(first[body[:-1]] & second[body[1:]])
+    where = np.searchsorted(chosen, pair[at])
+    where[where == len(chosen)] = 0
+    hit = chosen[where] == pair[at]
+    at, where = at[hit], where[hit]
+    begins = np.r_[True, np.diff(at) != 1]
+    run = at - at[np.flatnonzero(begins)[np.cumsum(begins) - 1]]
+    return at[run % 2 == 0], where[run % 2 == 0]
+
+
+def compress(ids: np.ndarray, base: int, end_id: int, rounds: int | None = None, least: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(body, rules, lengths) of one shard. ``base`` is the first nonterminal; symbols stay below 65,536. ``rounds`` may bound the rounds."""
+    body, rules, size = ids.astype(np.uint32), [], np.ones(base, np.uint32)
     top = base
-    for k in range(rounds):
-        room = (65_536 - top) // (rounds - k)
-        if len(body) < 2 or room < 1:
-            break
+    while len(body) > 1 and top < 65_536 and (rounds is None or len(rules) < rounds):
+        room = max((65_536 - top) // 4, min(256, 65_536 - top))
         left = body[:-1]
         pair = (left << np.uint32(16)) | body[1:]
         ordered = np.sort(pair[left != end_id])
         edges = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
         counts = np.diff(np.r_[edges, len(ordered)])
         often = np.flatnonzero(counts >= least)
-        if not len(often):
+        often = often[np.argsort(-counts[often], kind="stable")[:room]]
+        for some in (often, often[:1]):  # together they may take one another's places
+            chosen = np.sort(ordered[edges[some]])
+            if not len(chosen):
+                break
+            at, where = _occurrences(body, pair, chosen)
+            good = np.bincount(where, minlength=len(chosen)) >= least
+            if good.any():
+                break
+        if not len(often) or not good.any():
             break
-        if len(often) > room:
-            often = often[np.argsort(-counts[often], kind="stable")[:room]]
-        chosen = np.sort(ordered[edges[often]])
-        first, second = np.zeros(65_536, bool), np.zeros(65_536, bool)
-        first[chosen >> np.uint32(16)] = True
-        second[chosen & np.uint32(0xFFFF)] = True
-        at = np.flatnonzero(first[left] & second[body[1:]])
-        where = np.searchsorted(chosen, pair[at])
-        where[where == len(chosen)] = 0
-        hit = chosen[where] == pair[at]
-        at, where = at[hit], where[hit]
-        begins = np.r_[True, np.diff(at) != 1]
-        run = at - at[np.flatnonzero(begins)[np.cumsum(begins) - 1]]
-        at, where = at[run % 2 == 0], where[run % 2 == 0]
+        at, where, chosen = at[good[where]], (np.cumsum(good) - 1)[where[good[where]]], chosen[good]
         body[at] = top + where
         keep = np.ones(len(body), bool)
         keep[at + 1] = False
         body = body[keep]
         rules.append(chosen)
-        size = np.concatenate(lengths)
-        lengths.append(size[chosen >> np.uint32(16)] + size[chosen & np.uint32(0xFFFF)])
+        size = np.r_[size, size[chosen >> np.uint32(16)] + size[chosen & np.uint32(0xFFFF)]]
         top += len(chosen)
     codes = np.concatenate(rules) if rules else np.zeros(0, np.uint32)
     pairs = np.stack([codes >> np.uint32(16), codes & np.uint32(0xFFFF)], 1).astype("<u2")
-    return body.astype("<u2"), pairs, np.concatenate(lengths)[base:].astype("<u4")
+    return body.astype("<u2"), pairs, size[base:].astype("<u4")
 
 
 def expansions(base: int, rules: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

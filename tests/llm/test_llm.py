@@ -203,6 +203,15 @@ def test_repair_round_trip_and_gain():
     assert tokenfiles.expand(body, tokenfiles.expansions(100, rules, lengths)).tolist() == ids.tolist()
 
 
+def test_repair_goes_on_while_rules_gain():
+    draw = np.random.default_rng(2)
+    one = np.r_[draw.integers(3, 90, 600), 2]
+    for ids, most in ((np.tile(one, 400), 1500), (np.tile(one, 12), 200), (np.full(5000, 7), 40)):
+        body, rules, lengths = tokenfiles.compress(ids.astype(np.uint16), 100, 2)
+        assert tokenfiles.expand(body, tokenfiles.expansions(100, rules, lengths)).tolist() == ids.tolist()
+        assert len(body) <= most
+
+
 def test_token_counts(spark, docs, none):
     lengths = sorted(len(ChunkEncoder(vocabulary("byte_bpe_50k.json")).tokenizer.encode(t or "", add_special_tokens=False).ids) for _, t, *_ in corpus())
     limits = tokencounts.context_limits(tokencounts.length_histogram(docs), block=16)
