@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, staged
-from .tokens import encoder, slices, vocabulary
+from .tokens import encoder, vocabulary
 
 CAPACITY, GRAIN, END_ID, VOCABULARY = 2048, 8, 1, "word_bpe_49k.json"
 
@@ -154,28 +154,36 @@ def places(plan: list[tuple[np.ndarray, int]], first: int, buckets: int) -> list
 
 def pieces(docs: DataFrame, name: str = VOCABULARY, capacity: int = CAPACITY, end_id: int = END_ID, ids: bool = False) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, its task, bucket (its length) and number there; with ``ids`` its ids as well (unsigned 16-bit, little-endian)."""
-    end, names = np.array([end_id], "<u2").tobytes(), ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "bucket", "number", "ids"][: 9 if ids else 8]
+    ids_too, names = ids, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "bucket", "number", "ids"][: 9 if ids else 8]
     kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int64(), pa.binary()][: 2 if ids else 1]
 
     def cut(batches):
         from pyspark import TaskContext
 
-        encode, task, seen = encoder(vocabulary(name)).encode, TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        own, task, seen = encoder(vocabulary(name)), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for b in batches:
-            keys, texts, done = b.column(0).to_pylist(), b.column(1).to_pylist(), 0
-            for run in slices(texts):
-                out: list[list] = [[] for _ in names]
-                for key, own in zip(keys[done : done + len(run)], encode(run)):
-                    all_ids = np.frombuffer(own + end, "<u2")
-                    for start in range(0, len(all_ids), capacity):
-                        part = all_ids[start : start + capacity]
-                        bucket = len(part)
-                        row = (key, start, len(part), zlib.crc32(part.astype("<u4")), len(all_ids), task, bucket, int(seen[bucket]), part.tobytes())
-                        seen[bucket] += 1
-                        for o, v in zip(out, row):
-                            o.append(v)
-                done += len(run)
-                yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], names)
+            keys = b.column(0)
+            for lo, hi, ids, bounds in own.runs(b.column(1)):
+                size = np.diff(bounds) + 1
+                edges = np.concatenate([[0], np.cumsum(size)])
+                every = np.full(int(edges[-1]), end_id, "<u2")  # each document's ids, then the end id
+                every[np.arange(len(ids)) + np.repeat(np.arange(hi - lo), size - 1)] = ids
+                count = -(-size // capacity)
+                doc = np.repeat(np.arange(hi - lo), count)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * capacity
+                length = np.minimum(size[doc] - start, capacity)
+                at = edges[doc] + start
+                number = np.empty(len(doc), np.int64)
+                order = np.argsort(length, kind="stable")
+                first = np.flatnonzero(np.r_[True, np.diff(length[order]) != 0])
+                runs = np.diff(np.r_[first, len(order)])
+                number[order] = np.arange(len(order)) - np.repeat(first, runs) + seen[length[order]]
+                seen[length[order[first]]] += runs
+                wide, places = every.astype("<u4"), list(zip(at.tolist(), (at + length).tolist()))
+                cols = [keys.slice(lo, hi - lo).take(pa.array(doc)), start, length, [zlib.crc32(wide[x:y]) for x, y in places], size[doc], np.full(len(doc), task), length, number]
+                if ids_too:
+                    cols.append([every[x:y].tobytes() for x, y in places])
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task int, bucket int, number long" + ", ids binary" * ids
     return documents(docs).select("doc_id", "text").mapInArrow(cut, schema)

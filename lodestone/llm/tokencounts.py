@@ -12,24 +12,25 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents
-from .tokens import encoder, slices, vocabulary
+from .common import documents, staged
+from .tokens import encoder, vocabulary
 
-BLOCK = 4096
+BLOCK = 64
 
 
 def length_histogram(docs: DataFrame, name: str = "byte_bpe_50k.json", end_tokens: int = 0) -> DataFrame:
     """n_tokens, n_docs: how many documents have each encoded length."""
 
     def fold(batches):
-        encode, found = encoder(vocabulary(name)).encode, Counter()
+        own, found = encoder(vocabulary(name)), Counter()
         for b in batches:
-            for run in slices(b.column(0).to_pylist()):
-                found.update(len(ids) // 2 + end_tokens for ids in encode(run))
+            for _, _, _, bounds in own.runs(b.column(0)):
+                found.update((np.diff(bounds) + end_tokens).tolist())
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["n_tokens", "n_docs"])
 
     folded = documents(docs).select("text").mapInArrow(fold, "n_tokens long, n_docs long")
@@ -42,7 +43,9 @@ def context_limits(histogram: DataFrame, block: int = BLOCK) -> DataFrame:
     Columns: n_tokens, n_docs, docs_to (documents no longer), docs_over, tokens_to (tokens in documents no
     longer), tokens_total, truncated_total (sum of min(length, limit)), share_to (docs_to over all).
     Between two lengths the totals of the lower one hold: truncated = tokens_to + limit * docs_over.
+    The histogram is used three times over, so it is written first, and documents are encoded once.
     """
+    histogram = staged(histogram, "histogram")
     own = histogram.withColumn("block", F.floor(F.col("n_tokens") / block)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     later = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     blocks = own.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))

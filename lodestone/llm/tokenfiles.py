@@ -31,25 +31,28 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents
-from .tokens import encoder, slices, vocabulary
+from .tokens import encoder, vocabulary
 
 VOCABULARY, END_ID, SHARD_IDS = "byte_bpe_50k.json", 2, 1 << 19
+#: The share of the symbols left that a round may give away is one in SHARE.
+SHARE = 4
+_TABLE, _ODD = 20, np.uint32(0x9E3779B1)
 SHARD = "task int, shard int, n_ids long, doc_ids binary, doc_null binary, doc_tokens binary, doc_symbols binary, base int, rules binary, lengths binary, body binary"
 
 
-def _occurrences(body: np.ndarray, pair: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the leftmost non-overlapping occurrences of the chosen pairs (ascending) begin, and which pair each is."""
-    first, second = np.zeros(65_536, bool), np.zeros(65_536, bool)
-    first[chosen >> np.uint32(16)] = True
-    second[chosen & np.uint32(0xFFFF)] = True
-    at = np.flatnonzero(first[body[:-1]] & second[body[1:]])
-    where = np.searchsorted(chosen, pair[at])
-    where[where == len(chosen)] = 0
-    hit = chosen[where] == pair[at]
-    at, where = at[hit], where[hit]
+def _occurrences(pair: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the leftmost non-overlapping occurrences of the chosen pairs (ascending) begin, and which pair each is.
+
+    Of pairs that share a place in the table of hashes the last one is looked for; the others wait for another round.
+    """
+    table = np.zeros(1 << _TABLE, np.int32)
+    table[(chosen * _ODD) >> np.uint32(32 - _TABLE)] = np.arange(len(chosen))
+    where = table[(pair * _ODD) >> np.uint32(32 - _TABLE)]
+    at = np.flatnonzero(chosen[where] == pair)
     begins = np.r_[True, np.diff(at) != 1]
     run = at - at[np.flatnonzero(begins)[np.cumsum(begins) - 1]]
-    return at[run % 2 == 0], where[run % 2 == 0]
+    at = at[run % 2 == 0]
+    return at, where[at]
 
 
 def compress(ids: np.ndarray, base: int, end_id: int, rounds: int | None = None, least: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,19 +60,19 @@ def compress(ids: np.ndarray, base: int, end_id: int, rounds: int | None = None,
     body, rules, size = ids.astype(np.uint32), [], np.ones(base, np.uint32)
     top = base
     while len(body) > 1 and top < 65_536 and (rounds is None or len(rules) < rounds):
-        room = max((65_536 - top) // 4, min(256, 65_536 - top))
+        room = max((65_536 - top) // SHARE, min(256, 65_536 - top))
         left = body[:-1]
         pair = (left << np.uint32(16)) | body[1:]
         ordered = np.sort(pair[left != end_id])
-        edges = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
-        counts = np.diff(np.r_[edges, len(ordered)])
+        edges = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+        counts = np.diff(edges, append=len(ordered))
         often = np.flatnonzero(counts >= least)
         often = often[np.argsort(-counts[often], kind="stable")[:room]]
         for some in (often, often[:1]):  # together they may take one another's places
             chosen = np.sort(ordered[edges[some]])
             if not len(chosen):
                 break
-            at, where = _occurrences(body, pair, chosen)
+            at, where = _occurrences(pair, chosen)
             good = np.bincount(where, minlength=len(chosen)) >= least
             if good.any():
                 break
@@ -118,32 +121,37 @@ def symbols_of(doc_tokens: np.ndarray, body: np.ndarray, lengths: np.ndarray, ba
 
 def shards(docs: DataFrame, name: str = VOCABULARY, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
     """The shards of all documents: ranges of doc_id go to tasks, each of which encodes and compresses its own in order."""
-    end = np.array([end_id], "<u2").tobytes()
-
     def write(batches):
         from pyspark import TaskContext
 
         own, task, number = encoder(vocabulary(name)), TaskContext.get().partitionId(), 0
-        base, keys, held, n = own.tokenizer.get_vocab_size(), [], [], 0
+        base, keys, held, sizes, n = own.tokenizer.get_vocab_size(), [], [], [], 0
 
         def shard():
-            size = np.array([len(h) // 2 for h in held], "<i4")
-            body, rules, lengths = compress(np.frombuffer(b"".join(held), "<u2"), base, end_id)
-            row = (task, number, int(size.sum()), np.array([k or 0 for k in keys], "<i8").tobytes(), np.array([k is None for k in keys], "u1").tobytes(), size.tobytes(), symbols_of(size, body, lengths, base).tobytes(), base, rules.tobytes(), lengths.tobytes(), body.tobytes())
+            key, size = pa.chunked_array(keys), np.concatenate(sizes).astype("<i4")
+            body, rules, lengths = compress(np.concatenate(held), base, end_id)
+            row = (task, number, int(size.sum()), key.fill_null(0).to_numpy().astype("<i8").tobytes(), key.is_null().to_numpy().astype("u1").tobytes(), size.tobytes(), symbols_of(size, body, lengths, base).tobytes(), base, rules.tobytes(), lengths.tobytes(), body.tobytes())
             kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.int32(), *[pa.binary()] * 3]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], [x.split()[0] for x in SHARD.split(", ")])
 
         for b in batches:
-            ids, texts, done = b.column(0).to_pylist(), b.column(1).to_pylist(), 0
-            for run in slices(texts, 500_000):
-                for key, x in zip(ids[done : done + len(run)], own.encode(run)):
-                    keys.append(key)
-                    held.append(x + end)
-                    n += len(x) // 2 + 1
+            for lo, hi, ids, bounds in own.runs(b.column(1)):
+                size = np.diff(bounds) + 1
+                edges = np.cumsum(size)
+                every = np.full(int(edges[-1]), end_id, "<u2")  # each document's ids, then the end id
+                every[np.arange(len(ids)) + np.repeat(np.arange(hi - lo), size - 1)] = ids
+                done = 0
+                while done < hi - lo:
+                    # documents up to the one that fills the shard
+                    start = int(edges[done] - size[done])
+                    stop = min(int(np.searchsorted(edges, start + shard_ids - n)) + 1, hi - lo)
+                    keys.append(b.column(0).slice(lo + done, stop - done))
+                    held.append(every[start : int(edges[stop - 1])])
+                    sizes.append(size[done:stop])
+                    n, done = n + len(held[-1]), stop
                     if n >= shard_ids:
                         yield shard()
-                        keys, held, n, number = [], [], 0, number + 1
-                done += len(run)
+                        keys, held, sizes, n, number = [], [], [], 0, number + 1
         if keys:
             yield shard()
 
