@@ -15,7 +15,6 @@ empty table gives no rows; other columns are ignored by ``scan`` and kept by ``r
 
 from __future__ import annotations
 
-import builtins
 import functools
 import math
 import random
@@ -26,33 +25,40 @@ from pyspark.sql import functions as F
 
 from .common import documents
 
-#: kind: (pattern, group that must be long enough, its least length, what a text must hold for a match)
+#: kind: (pattern, group that must be long enough, its least length, what a text must hold for a match). Runs too short to
+#: count are no matches of the last two: a run is taken whole or not at all, so no other match changes.
 PATTERNS = {
     "assign": ("(?i)(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6, "(?i)(?:passw(?:or)?d|secret|token|api_?key)[\"']?\\x20*[:=]"),
-    "access": ("AKIA[A-Z0-9]+", 0, 20, "AKIA[A-Z0-9]{16}"),
-    "hex": ("[0-9a-f]+", 0, 24, "[0-9a-f]{24}"),
+    "access": ("AKIA[A-Z0-9]{16,}+", 0, 20, "AKIA[A-Z0-9]{16}"),
+    "hex": ("(?<![0-9a-f])[0-9a-f]{24,}+", 0, 24, "(?<![0-9a-f])[0-9a-f]{24}"),
 }
 BASE = tuple(PATTERNS)
 #: A token long enough to be judged by the models; letters alone are a word unless their case is mixed inside.
-TOKEN = "[A-Za-z0-9+/_=-]{20,}+"
+TOKEN = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_=-"
 THRESHOLD, SAMPLES = 0.35, 4000
 
 _SPAN = "array<struct<kind:string,start:int,end:int>>"
 
 
+#: Words that programs name things by: the labelled sample of ordinary identifiers is joins of these.
+WORDS = (
+    "abstract accept access account action active adapter address admin agent alias allow amount append apply archive argument array assert asset attach author "
+    "background backup balance base batch before begin bind block body border bottom branch bucket buffer build button bytes cache callback cancel capture category "
+    "channel char check child class clean clear click client clone close cluster code collect color column command comment commit compare complete compute config "
+    "connect constant container content context control convert cookie copy count create current cursor data date debug decode default define delay delete depth "
+    "device digest direct disable dispatch display document domain download driver dump edit element email enable encode engine entry error event exact example "
+    "exception execute exists export extend factory failure feature fetch field file filter final find flag flush folder format forward frame function general "
+    "generate graph group handle hash header height helper hidden history host identity image import index info init input insert instance integer internal "
+    "invalid item iterator join kernel label language layout length level library limit line list load local lock logger lookup manager mapping match"
+).split()
+
+
 def identifiers() -> list[str]:
-    """The labelled sample of ordinary identifiers: public names of common modules, and joins of them as programs write them."""
-    import argparse, asyncio, collections, decimal, email.message, http.client, itertools, json, logging, os, pathlib, re, shutil, socket, sqlite3, ssl, subprocess, tarfile, threading, unittest, urllib.parse, zipfile  # noqa: E401
-
-    names = set(dir(builtins))
-    for m in (argparse, asyncio, collections, decimal, email.message, http.client, itertools, json, logging, os, pathlib, re, shutil, socket, sqlite3, ssl, subprocess, tarfile, threading, unittest, urllib.parse, zipfile):
-        for n in dir(m):
-            names |= {n, *(dir(getattr(m, n)) if isinstance(getattr(m, n), type) else ())}
-    words = sorted({w.lower() for n in names for w in n.strip("_").split("_") if w.isalpha() and len(w) > 2})
+    """The labelled sample of ordinary identifiers: joins of ``WORDS`` as programs write them. It is the same in every Python version."""
     draw = random.Random(11)
-    joined = [j(draw.choices(words, k=draw.randint(2, 5))) for _ in range(SAMPLES) for j in ("_".join, "-".join, lambda w: "".join(x.title() for x in w), lambda w: "/".join(w), lambda w: "_".join(w) + str(draw.randint(0, 99)), "".join)]
-    return sorted(names) + joined
+    joins = ("_".join, "-".join, lambda w: "".join(x.title() for x in w), lambda w: w[0] + "".join(x.title() for x in w[1:]), "/".join, lambda w: "_".join(w) + str(draw.randint(0, 99)), lambda w: "_".join(w).upper(), "".join)
+    return [j(draw.choices(WORDS, k=draw.randint(2, 5))) for _ in range(SAMPLES) for j in joins]
 
 
 def random_strings() -> list[str]:
@@ -91,22 +97,32 @@ def score(token: Column, model: tuple[float, ...]) -> Column:
     return total["sum"] / F.greatest(F.length(token) - 1, F.lit(1))
 
 
-_FOUND = "array<struct<kind:string,start:int,end:int,text:string,group:string>>"
+def _before(lengths: Column, block: int = 128) -> Column:
+    """For each of the lengths the sum of those before it.
+
+    A fold that appends copies what it has, so it runs within blocks, and once over the blocks' sums: a text of
+    many matches costs their number times ``block``, not its square.
+    """
+    start = lambda at: F.struct(at.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+    sums = lambda xs, at: F.aggregate(xs, start(at), lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
+    last = F.floor(F.greatest(F.size(lengths) - 1, F.lit(0)) / block).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(lengths, k * block + 1, block))
+    first = sums(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x)), F.lit(0))
+    return F.when(F.size(lengths) > block, F.flatten(F.zip_with(blocks, first, sums))).otherwise(sums(lengths, F.lit(0)))
 
 
 def _matches(text: Column, kind: str, pattern: str, group: int) -> Column:
     """The matches of a pattern, leftmost and non-overlapping, with their places."""
-    matches, groups, pieces = (F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in (0, group, 0))
-    pieces = F.split(text, pattern, -1)
-    zipped = F.arrays_zip(matches.alias("m"), groups.alias("g"), F.slice(pieces, 1, F.size(matches)).alias("p"))
+    matches, groups = (F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in (0, group))
+    pieces = F.slice(F.split(text, pattern, -1), 1, F.size(matches))
+    before = _before(F.zip_with(pieces, matches, lambda p, m: F.length(p) + F.length(m)))
+    zipped = F.arrays_zip(matches.alias("m"), groups.alias("g"), pieces.alias("p"), before.alias("b"))
 
-    def step(a, x):
-        start = a["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        row = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["m"].alias("text"), x["g"].alias("group"))
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(row)).alias("out"))
+    def row(x):
+        start = x["b"] + F.length(x["p"])
+        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(x["m"])).alias("end"), x["m"].alias("text"), x["g"].alias("group"))
 
-    return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("out")), step)["out"]
+    return F.transform(zipped, row)
 
 
 def _at_least(n: int):
