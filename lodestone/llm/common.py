@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,26 +23,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset, as in local tests, a temporary folder takes its place.
+    Where it is unset, only a session whose executors are threads of the driver gets a temporary folder of this
+    machine instead; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='stages-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return _own_dir()
+
+
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    own = tempfile.mkdtemp(prefix="stages-")
+    atexit.register(shutil.rmtree, own, True)
+    return f"file://{own}"
+
+
+_FILES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder as Parquet and read back: its lineage ends there.
 
-    The files go when the driver's JVM ends.
+    The shuffle files behind it go when it is written, and its own files when `dropped` or when the driver's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_FILES_GO, None)
+    spark.conf.set(_FILES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_FILES_GO) if before is None else spark.conf.set(_FILES_GO, before)
+    _at(spark, path, lambda files, at: files.deleteOnExit(at))
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def _at(spark: SparkSession, path: str, do) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    do(at.getFileSystem(spark._jsc.hadoopConfiguration()), at)
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Delete staged tables; nothing that is yet to run may read them. Others are left alone."""
+    for t in tables:
+        path = None if t is None else t.__dict__.get("staged_at")
+        if path:
+            _at(t.sparkSession, path, lambda files, at: files.delete(at, True))
 
 
 def documents(docs: DataFrame, *extra: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Connected components of a link table by alternating large-star and small-star steps (Kiveris et al., 2014).
 
 Every step is a pre-aggregated minimum and a join, so a node with very many links is no single task's
-work; results are staged, so lineage stays short and no step depends on one executor's disk.
+work; each pair of steps is staged, so lineage stays short and no step depends on one executor's disk.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import dropped, staged
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -24,7 +24,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return staged(out.filter(F.col("u") != F.col("v")).distinct(), "stars")
+    return out.filter(F.col("u") != F.col("v")).distinct()
 
 
 def components(links: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
@@ -34,7 +34,8 @@ def components(links: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not state[0]:
             break
-        edges = _star(_star(edges, True), False)
+        old, edges = edges, staged(_star(_star(edges, True), False), "stars")
+        dropped(old)
         now = _state(edges)
         if now == state:
             break

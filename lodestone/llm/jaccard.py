@@ -8,10 +8,10 @@ by hash, then frequent ones by count) does two jobs:
 * counting: the order is cut into fragments; partial overlaps of a candidate pair are counted fragment by
   fragment and summed per pair. The sum is exact.
 
-Documents with equal sets are one node. Within a shingle's bucket pairs are first made with one leader
-only, and a node is first counted against the leader it shares most with; once those links have merged
-components, only pairs of different components are left to count, so a group of g near copies costs about g counts, not g squared, and no component is lost. (A pair
-already known to be connected can't change any component.)
+Documents with equal sets are one node. Within a shingle's bucket pairs are first made with one leader only,
+then with a few of the bucket's largest component; once those links have merged components, only pairs of
+different components are left to count, so a group of g near copies costs some g counts, not g squared, and no
+component is lost. (A pair already known to be connected can't change any component.)
 
 The frequency order comes from counts over all documents. Each task counts its own and reports what it
 saw ``report`` times; the ``frequent`` most frequent are kept, a bound for the broadcast. Any order gives
@@ -32,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, staged
+from .common import documents, dropped, staged
 from .components import components
 
 WORDS, PERCENT, FRAGMENTS = 5, 80, 4
-FREQUENT, REPORT, COUNTED = 200_000, 5, 4_000_000
-ROUNDS = 2
-SLICE = 4_000_000  # bytes of text worked on at a time
+#: COUNTED and MERGED bound what a counting task holds: shingles counted, and shingles of texts not yet added.
+FREQUENT, REPORT, COUNTED, MERGED = 200_000, 5, 500_000, 200_000
+#: Leaders tried in a bucket where more than MANY pairs of different components are left.
+LEADERS, MANY, FIRST_FROM = 8, 256, 20_000
+SLICE = 500_000  # bytes of text worked on at a time
 
 _random = np.random.default_rng(20240607)
 _BYTE = _random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -73,24 +75,40 @@ def text_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
         lo = hi
 
 
-def _slice_sets(b: np.ndarray, edges: np.ndarray, words: int) -> Iterator[np.ndarray]:
-    none = np.zeros(0, np.uint64)
-    if not len(b):
-        yield from [none] * (len(edges) - 1)
-        return
+def _words(b: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place) of each word of some bytes, in which texts begin at ``edges``."""
     b = np.where((b >= 65) & (b <= 90), b + np.uint8(32), b)
     value = _BYTE[b]
     starts = value != 0
     first = np.zeros(len(b), bool)
-    first[edges[:-1][edges[:-1] < len(b)]] = True
+    first[edges[edges < len(b)]] = True
     starts[1:] &= (value[:-1] == 0) | first[1:]
     at = np.flatnonzero(starts)
+    if not len(at):
+        return np.zeros(0, np.uint64), at
+    # the sum of byte values times powers of an odd number, brought back to the word's start
+    return _mix(np.add.reduceat(value * _powers(_STEP, len(b)), at) * _powers(_BACK, len(b))[at]), at
+
+
+def _slice_sets(b: np.ndarray, edges: np.ndarray, words: int) -> Iterator[np.ndarray]:
+    """The sets of the texts between ``edges``; of a text longer than a slice, words are hashed slice by slice."""
+    found, at, lo = [], [], 0
+    while lo < len(b):
+        hi = min(lo + SLICE, len(b))
+        if hi < len(b):
+            gaps = np.flatnonzero(_BYTE[b[lo:hi]] == 0)
+            while not len(gaps) and hi < len(b):  # a word longer than a slice
+                hi = min(hi + SLICE, len(b))
+                gaps = np.flatnonzero(_BYTE[b[lo:hi]] == 0)
+            hi = lo + int(gaps[-1]) + 1 if len(gaps) and hi < len(b) else hi
+        inside = edges[:-1][(edges[:-1] >= lo) & (edges[:-1] < hi)] - lo
+        hashes, places = _words(b[lo:hi], inside)
+        found.append(hashes)
+        at.append(places + lo)
+        lo = hi
+    none = np.zeros(0, np.uint64)
+    word, at = (np.concatenate(x) if x else none for x in (found, at))
     bounds = np.searchsorted(at, edges)
-    if len(at):
-        # the sum of byte values times powers of an odd number, brought back to the word's start
-        word = _mix(np.add.reduceat(value * _powers(_STEP, len(b)), at) * _powers(_BACK, len(b))[at])
-    else:
-        word = none
     run = word[: max(0, len(word) - words + 1)] * _PLACE[0]
     for j in range(1, words):
         run = run + word[j : j + len(run)] * _PLACE[j]
@@ -131,7 +149,7 @@ def frequent_shingles(docs: DataFrame, words: int = WORDS, frequent: int = FREQU
             for s in text_sets(b.column(0), words):
                 held.append(s)
                 n += len(s)
-                if n > 1_000_000:
+                if n > MERGED:
                     keys, counts = merge(keys, counts, held)
                     held, n = [], 0
             if n:
@@ -181,95 +199,101 @@ def sets(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], words: int = WOR
 
 
 def fragments(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], words: int = WORDS, parts: int = FRAGMENTS) -> DataFrame:
-    """set_id, fragment, hashes: each set cut at fixed places of the global order; the last fragment holds the frequent shingles."""
+    """set_id, hashes: each set cut at fixed places of the global order, a fragment each; the last one holds the frequent shingles."""
     shared = docs.sparkSession.sparkContext.broadcast(often[0])
     pivots = np.array([(2**64 // (parts - 1)) * k for k in range(1, parts - 1)], np.uint64)
 
+    def batch(ids, held):
+        flat = pa.array([x.tobytes() for row in held for x in row], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(held) + 1) * parts, pa.int32()), flat)], ["set_id", "hashes"])
+
     def cut(batches):
         for b in batches:
-            ids, place, held, size = [], [], [], 0
+            ids, held, size = [], [], 0
             for s in text_sets(b.column(0), words):
                 if not len(s):
                     continue
                 rare, at = _split(s, shared.value)
-                key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                for k, part in enumerate([*np.split(rare, np.searchsorted(rare, pivots)), shared.value[at]]):
-                    if len(part):
-                        ids.append(key)
-                        place.append(k)
-                        held.append(part.tobytes())
+                ids.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                held.append([*np.split(rare, np.searchsorted(rare, pivots)), shared.value[at]])
                 size += len(s)
                 if size > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(place, pa.int32()), pa.array(held, pa.binary())], ["set_id", "fragment", "hashes"])
-                    ids, place, held, size = [], [], [], 0
+                    yield batch(ids, held)
+                    ids, held, size = [], [], 0
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(place, pa.int32()), pa.array(held, pa.binary())], ["set_id", "fragment", "hashes"])
+                yield batch(ids, held)
 
-    return docs.select("text").mapInArrow(cut, "set_id binary, fragment int, hashes binary")
+    return docs.select("text").mapInArrow(cut, "set_id binary, hashes array<binary>")
 
 
 def cut_nodes(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, often, words: int, parts: int) -> DataFrame:
-    """node, fragment, hashes of every node in the pairs (a, na, b, nb). Only their texts are read again."""
+    """node and its fragments (hashes) for every node in the pairs (a, na, b, nb). Only their texts are read again."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = staged(nodes.join(wanted, "node").select("node", "set_id", "doc_id"), "wanted")
     texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    cut = fragments(texts, often, words, parts).join(wanted.select("node", "set_id"), "set_id").dropDuplicates(["node", "fragment"])
-    return staged(cut.select("node", "fragment", "hashes"), "fragments")
+    cut = fragments(texts, often, words, parts).join(wanted.select("node", "set_id"), "set_id").dropDuplicates(["node"])
+    cut = staged(cut.select("node", "hashes"), "fragments")
+    dropped(wanted)
+    return cut
+
 
+def links(cut: DataFrame, pairs: DataFrame, percent: int, parts: int = FRAGMENTS) -> DataFrame:
+    """Those of the pairs (a, na, b, nb) that are similar, with their overlap: the sum of the partial overlaps of their fragments.
 
-def links(cut: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, na, b, nb) that are similar, with their overlap."""
-    left = cut.select(F.col("node").alias("a"), "fragment", F.col("hashes").alias("ha"))
-    right = cut.select(F.col("node").alias("b"), "fragment", F.col("hashes").alias("hb"))
+    Fragments are counted in turn; a pair ends early, with the sum so far, once the rest can't make it similar.
+    """
+    left = cut.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
+    right = cut.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
+    names = [f"part{k}" for k in range(parts)]
+
+    def partial(x: list[bytes], y: list[bytes], need: int) -> list[int]:
+        can = [min(len(p), len(q)) // 8 for p, q in zip(x, y)]
+        out, most = [0] * parts, sum(can)
+        for k, (p, q) in enumerate(zip(x, y)):
+            if most < need:
+                break
+            if can[k]:
+                out[k] = len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), assume_unique=True))
+                most += out[k] - can[k]
+        return out
 
     def count(batches):
         for b in batches:
-            x, y = b.column("ha").to_pylist(), b.column("hb").to_pylist()
-            n = [len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), assume_unique=True)) for p, q in zip(x, y)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("a", "na", "b", "nb")), pa.array(n, pa.int64())], ["a", "na", "b", "nb", "n"])
+            need = -(-percent * (b.column("na").to_numpy() + b.column("nb").to_numpy()) // (100 + percent))
+            found = np.array([partial(b.column("ha")[k].as_py(), b.column("hb")[k].as_py(), n) for k, n in enumerate(need.tolist())], np.int64).reshape(-1, parts)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("a", "na", "b", "nb")), *map(pa.array, np.ascontiguousarray(found.T))], ["a", "na", "b", "nb", *names])
 
-    met = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "na", "b", "nb", "ha", "hb")
-    partial = met.mapInArrow(count, "a long, na long, b long, nb long, n long")
-    overlap = partial.groupBy("a", "na", "b", "nb").agg(F.sum("n").alias("overlap"))
-    return staged(overlap.filter(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))), "similar")
+    met = pairs.join(left, "a").join(right, "b").select("a", "na", "b", "nb", "ha", "hb")
+    counted = met.mapInArrow(count, "a long, na long, b long, nb long, " + ", ".join(f"{n} long" for n in names))
+    overlap = sum((F.col(n) for n in names[1:]), F.col(names[0]))
+    counted = counted.select("a", "na", "b", "nb", overlap.alias("overlap"))
+    return staged(counted.filter(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))), "similar")
 
 
-def _apart(pairs: DataFrame, rooted: DataFrame) -> DataFrame:
-    """Those of the pairs that are not yet in one component."""
-    a, b = (rooted.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
-    joined = pairs.join(a, "a", "left").join(b, "b", "left")
-    return joined.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(*pairs.columns)
+def _similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, often, words: int, percent: int, parts: int, known: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) that, beside the ``known`` ones, connect all that the similar ones among the staged pairs (a, na, b, nb, shared) connect.
 
-
-def linked_leaders(cut: DataFrame, pairs: DataFrame, percent: int, rounds: int = ROUNDS, known: DataFrame | None = None) -> DataFrame:
-    """Links (a, b) that connect all that the similar ones among the pairs (a, na, b, nb, shared) connect.
-
-    In each of the first rounds a node is counted against only one other, of the largest component and with the
-    most of its prefix shared; after each, pairs inside a component need no count. The last step counts all that
-    are left. ``known``: links found before.
+    With ``known``, and pairs by the ten thousand, each node is first counted against a few others: the one whose prefix
+    shares most, and some by a hash, the same for all nodes, so that they meet; then only pairs still apart are counted.
     """
-    found, left, rooted = None, pairs, None if known is None else components(known, "a", "b")
-    for k in range(rounds + 1):
-        if k < rounds:
-            sides = left.select("a", "na", "b", "nb", "shared", F.col("a").alias("x"), F.col("b").alias("y"))
-            sides = sides.union(left.select("a", "na", "b", "nb", "shared", "b", "a"))
-            if rooted is not None:
-                sizes = rooted.groupBy("root").agg(F.count("*").alias("size"))
-                sides = sides.join(rooted.join(sizes, "root").select(F.col("node").alias("y"), "size"), "y", "left")
-            else:
-                sides = sides.withColumn("size", F.lit(1).cast("long"))
-            best = sides.groupBy("x").agg(F.max(F.struct(F.coalesce("size", F.lit(1)).alias("size"), "shared", "a", "na", "b", "nb")).alias("m"))
-            now = staged(best.select("m.a", "m.na", "m.b", "m.nb").distinct(), "best")
-        else:
-            now = left.drop("shared")
-        similar = links(cut, now, percent).select("a", "b")
-        found = similar if found is None else found.union(similar)
-        if k < rounds:
-            rooted = components(found if known is None else found.union(known), "a", "b")
-            left = staged(_apart(left.join(now.select("a", "b"), ["a", "b"], "left_anti"), rooted), "left")
-            if not left.take(1):
-                break
-    return found
+    cut, first = cut_nodes(docs, nodes, pairs, often, words, parts), None
+    if known is not None and pairs.count() > FIRST_FROM:
+        sides = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "a", "na", "b", "nb", "shared")
+        sides = sides.union(pairs.select("b", "a", "a", "na", "b", "nb", "shared"))
+        pair = F.struct("a", "na", "b", "nb")
+        drawn = [F.min(F.struct(F.xxhash64("y", F.lit(k)).alias("o"), pair.alias("p")))["p"] for k in range(LEADERS)]
+        some = sides.groupBy("x").agg(F.array(F.max(F.struct("shared", pair.alias("p")))["p"], *drawn).alias("some"))
+        now = staged(some.select(F.explode("some").alias("p")).select("p.*").distinct(), "first")
+        first = links(cut, now, percent, parts).select("a", "b")
+        rooted = components(known.union(first), "a", "b")
+        ra, rb = (rooted.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+        left = pairs.join(now.select("a", "b"), ["a", "b"], "left_anti").join(ra, "a", "left").join(rb, "b", "left")
+        left = staged(left.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "na", "b", "nb"), "apart")
+        dropped(now, pairs)
+        pairs = left
+    found = links(cut, pairs, percent, parts).select("a", "b")
+    dropped(cut, pairs)
+    return found if first is None else found.union(first)
 
 
 def _needed(percent: int):
@@ -309,37 +333,43 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     prefixes = full.select("row", "n", "prefix").join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
     postings = prefixes.select(F.col("row").alias("node"), "n", F.posexplode("prefix").alias("pos", "h"))
     leaders = postings.groupBy("h").agg(F.min(F.struct("node", "n", "pos")).alias("leader"), F.count("*").alias("size")).filter("size > 1")
-    live = staged(postings.join(leaders.select("h", "leader"), "h"), "buckets")
+    buckets = live = staged(postings.join(leaders.select("h", "leader"), "h"), "buckets")
     near = live.filter(F.col("node") != F.col("leader.node")).select(F.col("leader.node").alias("a"), F.col("leader.n").alias("na"), F.col("leader.pos").alias("pa"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
     pairs = staged(near.filter(_may_link(percent)).select("a", "na", "b", "nb").distinct(), "pairs")
     tried = pairs.select("a", "b")
-    pairs = _promising(pairs, full, percent)
-    found = linked_leaders(cut_nodes(docs, nodes, pairs, often, words, parts), pairs, percent)
+    found = _similar(docs, nodes, _promising(pairs, full, percent), often, words, percent, parts)
     rooted = components(found, "a", "b")
 
     live = live.select("h", "node", "n", "pos")
-    tested = tried
-    # leaders of the largest component in a bucket: the others' nodes are likeliest to be similar to one of it
+    # leaders of the largest component in a bucket: the others' nodes are likeliest to be similar to one of it. Each is
+    # the least by another hash, the same in all buckets; where many pairs would be left, all of them are tried
     rest = _open(live, rooted)
-    leaders = rest.groupBy("h", "root").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node").alias("order"), "node", "n", "pos")).alias("l"))
-    leaders = leaders.groupBy("h").agg(F.max(F.struct("size", "l.order", "l.node", "l.n", "l.pos", "root")).alias("leader"))
-    near = rest.join(leaders, "h").filter(F.col("root") != F.col("leader.root"))
+    drawn = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("order"), "node", "n", "pos")).alias(f"l{k}") for k in range(LEADERS)]
+    leaders = rest.groupBy("h", "root").agg(F.count("*").alias("size"), *drawn)
+    leaders = leaders.groupBy("h").agg(F.max(F.struct("size", "root", *[f"l{k}" for k in range(LEADERS)])).alias("m"), F.sum("size").alias("total"))
+    many = F.col("m.size") * (F.col("total") - F.col("m.size")) > MANY
+    some = F.when(many, F.array_distinct(F.array(*[F.col(f"m.l{k}").dropFields("order") for k in range(LEADERS)]))).otherwise(F.array(F.col("m.l0").dropFields("order")))
+    near = rest.join(leaders.select("h", F.col("m.root").alias("of"), some.alias("leaders")), "h").filter(F.col("root") != F.col("of"))
+    near = near.select("node", "n", "pos", F.explode("leaders").alias("leader"))
     near = near.select(F.col("leader.node").alias("a"), F.col("leader.n").alias("na"), F.col("leader.pos").alias("pa"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
     more = staged(near.filter(_may_link(percent)).select("a", "na", "b", "nb").distinct(), "more_pairs")
+    dropped(rest)
     tested = tried.union(more.select(F.least("a", "b"), F.greatest("a", "b")))
     more = _promising(more, full, percent)
     if more.take(1):
-        found = found.union(linked_leaders(cut_nodes(docs, nodes, more, often, words, parts), more, percent, 1, found))
+        found = found.union(_similar(docs, nodes, more, often, words, percent, parts))
         rooted = components(found, "a", "b")
 
     rest = _open(live, rooted)
     x = rest.select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"))
     y = rest.select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"))
     crossing = x.join(y, (x.h == y.h) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _may_link(percent)).select("a", "na", "b", "nb").distinct()
-    crossing = staged(crossing.join(tested, ["a", "b"], "left_anti").select("a", "na", "b", "nb"), "crossing")
-    crossing = _promising(crossing, full, percent)
+    untested = staged(crossing.join(tested, ["a", "b"], "left_anti").select("a", "na", "b", "nb"), "crossing")
+    dropped(rest, buckets)
+    crossing = _promising(untested, full, percent)
+    dropped(untested)
     if crossing.take(1):
-        found = found.union(linked_leaders(cut_nodes(docs, nodes, crossing, often, words, parts), crossing, percent, ROUNDS, found))
+        found = found.union(_similar(docs, nodes, crossing, often, words, percent, parts, found))
         rooted = components(found, "a", "b")
 
     root = F.coalesce("root", "node")

@@ -1,9 +1,11 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Each rule is a boolean expression that is true where a document fails. A sample (about ``sample_rows`` documents,
-by a hash of the id) gives each rule's rejection rate and the size of what it works on;
-rules then run in the order of rejection per cost, as the branches of one ``CASE``, so a rejected document
-costs nothing more. The order never changes a verdict, only how early it falls.
+Each rule is true where a document fails. A sample (about ``sample_rows`` documents, by a hash of the id) gives
+each rule's rejection rate, and the time that it takes over what it alone needs; rules then run in the order
+of rejection per cost. `keep` cuts the documents rule by rule: a rule's features are made of what the rules before
+it left, so a rejected document costs nothing more. `judged` must give the base features of every document; the
+rules' other features stand in the branches of a ``CASE``, so they too are made only where no earlier rule
+has failed. The order never changes a verdict, only how early it falls.
 
 Windows of eight words are compared by 64-bit hashes within one text.
 
@@ -14,12 +16,14 @@ columns are ignored by the features and kept by ``keep``.
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, documents, words_of
+from .common import SEPARATORS, documents, dropped, staged, words_of
 
 WINDOW, SYMBOLS, SAMPLE_ROWS = 8, "#*$%&|<>", 2000
 
@@ -28,104 +32,123 @@ def _length_without(text: Column, chars: str) -> Column:
     return F.length(F.translate(text, chars, ""))
 
 
-def measured(docs: DataFrame, repeats: bool = True) -> DataFrame:
-    """doc_id and the features of its whole text: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_alpha_words, and with ``repeats`` n_repeat_words (words in windows of eight found twice or more)."""
-    return _features(documents(docs), repeats)
-
-
-def _features(docs: DataFrame, repeats: bool) -> DataFrame:
-    """The features beside ``doc_id``, which may be a key of any type or the whole row; text isn't null."""
-    t = F.col("text")
-    out = docs.withColumn("words", words_of(t))
-    out = out.withColumn("lines", F.filter(F.split(t, "\n"), lambda x: x.rlike("[^ \\t-\\r]")))
-    out = out.select(
-        "doc_id", "words", F.size("words").cast("long").alias("n_words"), _length_without(t, SEPARATORS).cast("long").alias("word_chars"),
-        (F.length(t) - _length_without(t, SYMBOLS)).cast("long").alias("n_symbols"), F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.size(F.filter("words", lambda w: w.rlike("\\p{L}"))).cast("long").alias("n_alpha_words"),
-    )
-    if repeats:
-        # a window's hash is that of its halves' hashes: eight words in three passes
-        out = out.withColumn("h1", F.when(F.col("n_words") >= WINDOW, F.transform("words", lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<long>"))).drop("words")
-        for k in (1, 2, 4):
-            rest = F.greatest(F.size(f"h{k}") - k, F.lit(0))
-            out = out.withColumn(f"h{2 * k}", F.zip_with(F.slice(f"h{k}", 1, rest), F.slice(f"h{k}", k + 1, rest), lambda x, y: F.xxhash64(x, y))).drop(f"h{k}")
-        out = out.withColumnRenamed("h8", "windows")
-        some = F.size(F.array_distinct("windows")) < F.size("windows")
-        empty = F.array().cast("array<struct<h:long,i:int>>")
-        sorted_ = F.when(some, F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(empty)
-        out = out.withColumn("ranked", sorted_).drop("windows")
-        n = F.size("ranked")
-        # what stands before and after each window in the order of hashes tells whether it occurs again
-        earlier = F.when(n > 0, F.concat(F.array(F.lit(None).cast("struct<h:long,i:int>")), F.slice("ranked", 1, F.greatest(n - 1, F.lit(0)))))
-        later = F.when(n > 0, F.concat(F.slice("ranked", 2, F.greatest(n - 1, F.lit(0))), F.array(F.lit(None).cast("struct<h:long,i:int>"))))
-        out = out.withColumn("earlier", F.coalesce(earlier, empty)).withColumn("later", F.coalesce(later, empty))
-        flagged = F.zip_with(F.zip_with("ranked", "earlier", lambda x, y: F.when(x["h"] == y["h"], x["i"])), F.zip_with("ranked", "later", lambda x, y: F.when(x["h"] == y["h"], x["i"])), lambda p, q: F.coalesce(p, q))
-        out = out.withColumn("starts", F.array_sort(F.filter(flagged, lambda i: i.isNotNull()))).drop("ranked", "earlier", "later")
-        step = F.aggregate("starts", F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).cast("long").alias("n")), lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n")))
-        out = out.withColumn("n_repeat_words", step["n"]).drop("starts")
-    return out.drop("words")
+#: feature: (the columns it is made of, how). n_repeat_words is made by `_repeats`, of words.
+FEATURES: dict[str, tuple[tuple[str, ...], Callable[[], Column] | None]] = {
+    "words": (("text",), lambda: words_of(F.col("text"))),
+    "lines": (("text",), lambda: F.filter(F.split("text", "\n"), lambda x: x.rlike("[^ \\t-\\r]"))),
+    "n_words": (("words",), lambda: F.size("words").cast("long")),
+    "word_chars": (("text",), lambda: _length_without(F.col("text"), SEPARATORS).cast("long")),
+    "n_symbols": (("text",), lambda: (F.length("text") - _length_without(F.col("text"), SYMBOLS)).cast("long")),
+    "n_lines": (("lines",), lambda: F.size("lines").cast("long")),
+    "n_dup_lines": (("lines",), lambda: (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")),
+    "n_alpha_words": (("words",), lambda: F.size(F.filter("words", lambda w: w.rlike("\\p{L}"))).cast("long")),
+    "n_repeat_words": (("words", "n_words"), None),
+}
+#: What `judged` gives of every document.
+GIVEN = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def _with(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` with the features named and what they are made of, where it has them not."""
+    for name in names:
+        if name not in docs.columns:
+            of, make = FEATURES[name]
+            docs = _with(docs, *of)
+            docs = docs.withColumn(name, make()) if make else _repeats(docs)
+    return docs
+
+
+def _repeats(out: DataFrame) -> DataFrame:
+    """n_repeat_words (words in windows of eight found twice or more) beside the other columns."""
+    # a window's hash is that of its halves' hashes: eight words in three passes
+    out = out.withColumn("h1", F.when(F.col("n_words") >= WINDOW, F.transform("words", lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<long>")))
+    for k in (1, 2, 4):
+        rest = F.greatest(F.size(f"h{k}") - k, F.lit(0))
+        out = out.withColumn(f"h{2 * k}", F.zip_with(F.slice(f"h{k}", 1, rest), F.slice(f"h{k}", k + 1, rest), lambda x, y: F.xxhash64(x, y))).drop(f"h{k}")
+    some = F.size(F.array_distinct("h8")) < F.size("h8")
+    empty = F.array().cast("array<struct<h:long,i:int>>")
+    sorted_ = F.when(some, F.sort_array(F.transform("h8", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(empty)
+    out = out.withColumn("ranked", sorted_).drop("h8")
+    n = F.size("ranked")
+    # what stands before and after each window in the order of hashes tells whether it occurs again
+    earlier = F.when(n > 0, F.concat(F.array(F.lit(None).cast("struct<h:long,i:int>")), F.slice("ranked", 1, F.greatest(n - 1, F.lit(0)))))
+    later = F.when(n > 0, F.concat(F.slice("ranked", 2, F.greatest(n - 1, F.lit(0))), F.array(F.lit(None).cast("struct<h:long,i:int>"))))
+    out = out.withColumn("earlier", F.coalesce(earlier, empty)).withColumn("later", F.coalesce(later, empty))
+    flagged = F.zip_with(F.zip_with("ranked", "earlier", lambda x, y: F.when(x["h"] == y["h"], x["i"])), F.zip_with("ranked", "later", lambda x, y: F.when(x["h"] == y["h"], x["i"])), lambda p, q: F.coalesce(p, q))
+    out = out.withColumn("starts", F.array_sort(F.filter(flagged, lambda i: i.isNotNull()))).drop("ranked", "earlier", "later")
+    step = F.aggregate("starts", F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).cast("long").alias("n")), lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n")))
+    return out.withColumn("n_repeat_words", step["n"]).drop("starts")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``fails`` is SQL over the features; ``cost`` its work per document, in units of a pass over a character, over the same."""
+    """``fails`` gives the condition under which a document fails, of a function from a feature's name to its column; ``needs`` names the features."""
 
     name: str
-    fails: str
-    cost: str
+    needs: tuple[str, ...]
+    fails: Callable[[Callable[[str], Column]], Column]
 
 
-#: Costs weigh a hash or a comparison of words against reading a character.
 RULES = (
-    Rule("repeated_windows", "100 * n_repeat_words > 30 * n_words", "word_chars + 40 * n_words"),
-    Rule("too_short", "n_words < 20", "word_chars"),
-    Rule("symbols", "10 * n_symbols > n_words", "2 * word_chars"),
-    Rule("word_length", "word_chars < 2 * n_words or word_chars > 20 * n_words", "2 * word_chars"),
-    Rule("few_letters", "100 * n_alpha_words < 60 * n_words", "word_chars + 4 * n_words"),
-    Rule("repeated_lines", "2 * n_dup_lines > n_lines", "word_chars + 4 * n_lines"),
+    Rule("repeated_windows", ("n_repeat_words", "n_words"), lambda f: 100 * f("n_repeat_words") > 30 * f("n_words")),
+    Rule("too_short", ("n_words",), lambda f: f("n_words") < 20),
+    Rule("symbols", ("n_symbols", "n_words"), lambda f: 10 * f("n_symbols") > f("n_words")),
+    Rule("word_length", ("word_chars", "n_words"), lambda f: (f("word_chars") < 2 * f("n_words")) | (f("word_chars") > 20 * f("n_words"))),
+    Rule("few_letters", ("n_alpha_words", "n_words"), lambda f: 100 * f("n_alpha_words") < 60 * f("n_words")),
+    Rule("repeated_lines", ("n_dup_lines", "n_lines"), lambda f: 2 * f("n_dup_lines") > f("n_lines")),
 )
 BASE = ("too_short", "repeated_windows")
 
 
 def plan(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """(rule, rejection rate, cost) in the order of rejection per cost, from a sample of about ``sample_rows`` documents, taken by a filter so that nothing is sorted."""
+    """(rule, rejection rate, seconds) in the order of rejection per cost, from a sample of about ``sample_rows`` documents, taken by a filter so that nothing is sorted.
+
+    A rule's cost is the time of one task that makes what the rule needs of the sample, beyond that of one which only reads it.
+    """
     share = min(1.0, sample_rows / max(1, docs.count()))
-    sample = docs.select("doc_id", "text").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    exprs = [F.avg(F.expr(f"cast({r.fails} as double)")).alias(f"f{k}") for k, r in enumerate(rules)] + [F.avg(F.expr(r.cost)).alias(f"c{k}") for k, r in enumerate(rules)]
-    row = measured(sample).agg(*exprs).first()
-    found = [(r, float(row[f"f{k}"] or 0), float(row[f"c{k}"] or 0) + 1) for k, r in enumerate(rules)]
+    sample = documents(docs).filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = staged(sample, "rule_sample").coalesce(1)
+
+    def timed(of: DataFrame, what: Column) -> tuple[float, float]:
+        began = time.monotonic()
+        found = of.agg(F.avg(what.cast("double"))).first()[0]
+        return float(found or 0), time.monotonic() - began
+
+    idle = min(timed(sample, F.length("text") < 0)[1] for _ in range(2))
+    found = []
+    for r in rules:
+        rate, seconds = timed(_with(sample, *r.needs), r.fails(F.col))
+        found.append((r, rate, max(seconds - idle, 1e-3)))
     return sorted(found, key=lambda x: -x[1] / x[2])
 
 
-def cascade(features: DataFrame, ordered) -> DataFrame:
-    """``features`` with first_failed: the first rule, in order, that the document fails (null: none)."""
-    verdict = F.lit(None).cast("string")
-    for rule in reversed(list(ordered)):
-        verdict = F.when(F.expr(rule.fails), F.lit(rule.name)).otherwise(verdict)
-    return features.withColumn("first_failed", verdict)
+def _inline(have):
+    """Features that ``have`` lacks as expressions over what it has."""
+    return lambda name: F.col(name) if name in have else FEATURES[name][1]()
 
 
 def judged(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Features, base_failed, kept and first_failed of every document."""
-    out = cascade(measured(docs), [r for r, _, _ in plan(docs, rules, sample_rows)])
-    base = F.expr(" or ".join(f"({r.fails})" for r in rules if r.name in BASE))
-    return out.withColumn("base_failed", base).withColumn("kept", F.col("first_failed").isNull())
+    """doc_id, the features ``GIVEN``, base_failed, kept and first_failed (the first rule, in the order run, that the document fails; null: none) of every document."""
+    out = _with(documents(docs), *GIVEN)
+    order = [r for r, _, _ in plan(docs, rules, sample_rows)]
+    f, verdict = _inline(out.columns), F.lit(None).cast("string")
+    for rule in reversed(order):
+        verdict = F.when(rule.fails(f), F.lit(rule.name)).otherwise(verdict)
+    base = F.lit(False)
+    for r in rules:
+        base = base | r.fails(f) if r.name in BASE else base
+    out = out.withColumn("first_failed", verdict).withColumn("base_failed", base).withColumn("kept", F.col("first_failed").isNull())
+    return out.select("doc_id", *GIVEN, "base_failed", "kept", "first_failed")
 
 
 def keep(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The documents, all columns as they were, that no rule rejects.
+    """The documents, all columns as they were, that no rule rejects, cut rule by rule in the measured order.
 
-    The whole row travels as the key, so no join back to the text is needed; windows are built only for
-    what the cheaper rules leave.
+    The whole row travels beside its features, so no join back to the text is needed.
     """
-    order = [r for r, _, _ in plan(docs, rules, sample_rows)]
-    whole = F.struct(*[F.col(c) for c in docs.columns])
-    left = docs.select(whole.alias("doc_id"))
-    for tier in ([r for r in order if "n_repeat_words" not in r.fails], [r for r in order if "n_repeat_words" in r.fails]):
-        if tier:
-            texts = left.select("doc_id", F.coalesce("doc_id.text", F.lit("")).alias("text"))
-            # the running id keeps the filter above the features: pushed below, it would make each of them many times over
-            left = cascade(_features(texts, any("n_repeat_words" in r.fails for r in tier)), tier).withColumn("at", F.monotonically_increasing_id())
-            left = left.filter(F.col("first_failed").isNull() & (F.col("at") >= 0))
-    return left.select("doc_id.*")
+    left = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    for rule, _, _ in plan(docs, rules, sample_rows):
+        # the running id keeps each filter above the features it needs, and below those of later rules
+        left = _with(left, *rule.needs).withColumn("at", F.monotonically_increasing_id())
+        left = left.filter(~rule.fails(F.col) & (F.col("at") >= 0)).drop("at")
+    return left.select("row.*")
