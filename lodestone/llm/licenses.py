@@ -99,12 +99,9 @@ def _grams(words: Column) -> Column:
 
 
 def _holding(docs: DataFrame, templates, threshold: float) -> DataFrame:
-    """The documents with a needed word somewhere; no unit or window of another can match."""
-    some = F.lit(False)
-    for w in needed_words(templates, threshold):
-        some = some | F.col("low").contains(w)
-    # the running id keeps the filter above, so each text is folded once
-    return documents(docs).select("doc_id", "text", F.lower("text").alias("low"), F.monotonically_increasing_id().alias("a")).filter(some).select("doc_id", "text")
+    """The documents with a needed word somewhere, found in one pass; no unit or window of another can match."""
+    some = f"(?i)(?<![a-z0-9])(?:{'|'.join(needed_words(templates, threshold))})(?![a-z0-9])"
+    return documents(docs).select("doc_id", "text").filter(F.col("text").rlike(some))
 
 
 def windows(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
