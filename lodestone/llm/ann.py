@@ -18,6 +18,7 @@ are ignored.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -119,8 +120,12 @@ def train(x: np.ndarray, part: np.ndarray, parts: int, hidden: int = HIDDEN, epo
     return Index(mean, scale, *w, parts, parts)
 
 
-def fit(vectors: DataFrame, parts: int = PARTS, sample: int = SAMPLE, recall: float = RECALL, k: int = 20) -> Index | None:
-    """An index from at most ``sample`` of the usable vectors, chosen by a hash of their ids. None: no usable vector."""
+def fit(vectors: DataFrame, parts: int | None = None, sample: int = SAMPLE, recall: float = RECALL, k: int = 20) -> Index | None:
+    """An index from at most ``sample`` of the usable vectors, chosen by a hash of their ids. None: no usable vector.
+
+    Without ``parts`` their number grows with the square root of the vectors', as far as the sample bears (32 vectors a part).
+    """
+    parts = parts or max(PARTS, math.isqrt(vectors.count()) // 8)
     rows = vectors.withColumn("at", F.xxhash64("vec_id")).orderBy("at", "vec_id").limit(sample).select("v").toPandas()["v"]
     if not len(rows):
         return None
@@ -173,14 +178,20 @@ def search(vectors: DataFrame, queries: DataFrame, index: Index | None, k: int =
             left = left.sort_values("vec_id", kind="stable")
             ids, x = left["vec_id"].to_numpy(), np.array(left["v"].tolist(), np.float64)
             own, q = right["vec_id"].to_numpy(), np.array(right["v"].tolist(), np.float64)
+            size = np.abs(x).max() * x.shape[1]
             for lo in range(0, len(q), 256):
                 s = q[lo : lo + 256] @ x.T
                 s[own[lo : lo + 256, None] == ids] = -np.inf
                 top = min(k, len(ids))
                 bar = -np.partition(-s, top - 1, axis=1)[:, top - 1]
-                a, b = np.nonzero((s >= bar[:, None]) & (s > -np.inf))  # ties at the bar are kept
-                found.append(pd.DataFrame({"query_id": own[lo + a], "vec_id": ids[b], "score": s[a, b]}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                for j, y in enumerate(q[lo : lo + 256]):
+                    # the product's last bits depend on the block's shape: what it can't tell from the bar is summed again in one order
+                    at = np.flatnonzero((s[j] >= bar[j] - 1e-11 * size * np.abs(y).max()) & (s[j] > -np.inf))
+                    score = (x[at] * y).sum(1)
+                    at, score = (z[np.lexsort((ids[at], -score))[:k]] for z in (at, score))
+                    found.append((np.full(len(at), own[lo + j]), ids[at], score))
+        cols = [np.concatenate(c) for c in zip(*found)] if found else [[], [], []]
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), cols)))
 
     keys = ["part", "r", "q"]
     near = rows.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInPandas(best, "query_id long, vec_id long, score double")
