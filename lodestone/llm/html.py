@@ -37,9 +37,13 @@ _TOKENS = frozenset("mi mn mo mtext ms".split())
 #: An open element (key) that the start of any of these (value) ends.
 _PARAGRAPH_ENDS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul li dd dt td th tr".split())
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"})}
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_TABLE_PARTS = frozenset("td th tr tbody thead tfoot table body html".split())
 _SCOPE = frozenset("table td th caption button object html".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: What may begin a tag, and what ends one or begins a quoted value in it.
+_OPEN = re.compile(r"<!--|<!|<\?|<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -59,66 +63,109 @@ class Node:
         return None
 
 
+def _tags(text: str, at: int = 0):
+    """(start, end, closing, name, attributes) of each tag from ``at`` on, name None for comments and declarations; ``send`` moves on.
+
+    A quoted value may hold '>'. Where a quote is never closed, values in quotes aren't heeded from there on, so
+    that no text is looked through again and again; without a '>' to come, what is left is text.
+    """
+    quoted, last = True, text.rfind(">")
+    while m := _OPEN.search(text, at):
+        start, at = m.start(), m.end()
+        if m[2] is None:
+            end = text.find("-->" if m[0] == "<!--" else ">", at)
+            end = len(text) if end < 0 else end + (3 if m[0] == "<!--" else 1)
+        else:
+            if at > last:
+                return
+            end = at
+            while quoted:
+                stop = _STOP.search(text, end)
+                if stop and stop[0] == ">":
+                    end = stop.end()
+                    break
+                end = text.find(stop[0], stop.end()) + 1 if stop else 0
+                quoted = end > 0
+            if not quoted:
+                end = text.find(">", at) + 1
+        at = (yield start, end, m[1], m[2], text[m.end() : end - 1] if m[2] else "") or end
+
+
+class _Open:
+    """The open elements, with the places of each name, so that none is looked for along the whole stack."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.name, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, names) -> int:
+        return max((p[-1] for n in names if (p := self.places.get(n))), default=0)
+
+    def cut(self, k: int) -> None:
+        """Close what stands at place k and above."""
+        for node in self.stack[k:]:
+            self.places[node.name].pop()
+        del self.stack[k:]
+
+    def close(self, name: str) -> None:
+        """An end tag: of an element outside the cell or table at hand only where that is its business."""
+        k = self.last((name,))
+        if k and (name in _TABLE_PARTS or k >= self.last(("td", "th", "table"))):
+            self.cut(k)
+
+    def end(self, names, within) -> None:
+        """Close the outermost of the open elements named, looking no further than ``within``."""
+        k = self.last(names)
+        if k > self.last(within):
+            while k > 1 and self.stack[k - 1].name in names and self.stack[k - 1].name not in within:
+                k -= 1
+            self.cut(k)
+
+
 def parse(text: str) -> Node:
     """The tree of a document; children are nodes and strings."""
     root = Node("#root")
-    open_, at = [root], 0
-    find = _TAG.search
-    while m := find(text, at):
-        if m.start() > at:
-            open_[-1].children.append(entities.unescape(text[at : m.start()]))
-        at = m.end()
-        if m[2] is None:
+    open_, at, tags, move = _Open(root), 0, _tags(text), None
+    while True:
+        try:
+            start, end, closing, name, attributes = tags.send(move)
+        except StopIteration:
+            break
+        move, top = None, open_.stack
+        if start > at:
+            top[-1].children.append(entities.unescape(text[at:start]))
+        at = end
+        if name is None:
             continue
-        name = m[2].lower()
-        if m[1]:
-            _close(open_, name)
+        name = name.lower()
+        if closing:
+            open_.close(name)
             continue
         if name in _PARAGRAPH_ENDS:
-            _end(open_, {"p"}, _SCOPE)
+            open_.end(("p",), _SCOPE)
         if name in _ENDS:
-            _end(open_, *_ENDS[name])
-        if len(name) == 2 and name[0] == "h" and open_[-1].name in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            open_.pop()
-        if name == "body" and open_[-1].name == "head":
-            open_.pop()
-        node = Node(name, m[3] or "")
-        open_[-1].children.append(node)
-        if name in _VOID or node.attributes.endswith("/") and any(o.name in ("svg", "math") for o in open_):
+            open_.end(*_ENDS[name])
+        if name in _HEADINGS and top[-1].name in _HEADINGS or name == "body" and top[-1].name == "head":
+            open_.cut(len(top) - 1)
+        node = Node(name, attributes)
+        top[-1].children.append(node)
+        if name in _VOID or attributes.endswith("/") and open_.last(("svg", "math")):
             continue
         if name in _RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(text, at)
-            stop = end.start() if end else len(text)
-            node.children.append(entities.unescape(text[at:stop]) if name in ("textarea", "title") else text[at:stop])
-            at = end.end() if end else len(text)
+            stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(text, at)
+            body = text[at : stop.start() if stop else len(text)]
+            node.children.append(entities.unescape(body) if name in ("textarea", "title") else body)
+            at = move = stop.end() if stop else len(text)
             continue
-        open_.append(node)
+        open_.push(node)
     if at < len(text):
-        open_[-1].children.append(entities.unescape(text[at:]))
+        open_.stack[-1].children.append(entities.unescape(text[at:]))
     return root
 
 
-def _close(open_: list[Node], name: str) -> None:
-    for k in range(len(open_) - 1, 0, -1):
-        if open_[k].name == name:
-            del open_[k:]
-            return
-        if open_[k].name in ("td", "th", "table") and name not in ("td", "th", "tr", "tbody", "thead", "tfoot", "table", "body", "html"):
-            return
-
-
-def _end(open_: list[Node], names: set[str], within) -> None:
-    """Close the outermost of the open elements named, looking no further than ``within``."""
-    for k in range(len(open_) - 1, 0, -1):
-        if open_[k].name in within:
-            break
-        if open_[k].name in names:
-            while k > 1 and open_[k - 1].name in names and open_[k - 1].name not in within:
-                k -= 1
-            del open_[k:]
-            return
-
-
 def hidden(node: Node) -> bool:
     if node.name in _HIDDEN:
         return True
