@@ -15,7 +15,8 @@ Tokens are the words ``[^\\x20\\x09-\\x0D]+``, or a column.
 
 Defined results: a null source counts as the source ''; null or empty text has no tokens and goes with its
 source's whole passes; repeated rows are mixed each (their ties in the order of a hash of their text);
-sources without tokens pass once; an empty table gives no rows; all columns are kept.
+sources without tokens pass once; an empty table gives no rows; all columns are kept, but ones named
+mix_pass or mix_order give way to this operator's.
 """
 
 from __future__ import annotations
@@ -97,6 +98,7 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, max_repeats: float = MAX_REPE
     ``budget``: tokens to give, as a multiple of all tokens; None: as many as let every document pass at
     least once.
     """
+    docs = docs.drop("mix_pass", "mix_order")
     shares = staged(source_shares(docs, tokens), "sources")
     total = shares.agg(F.sum("tokens")).first()[0] or 0
     if not total:
