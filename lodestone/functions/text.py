@@ -32,8 +32,9 @@ def contains_any(c: Column, markers) -> Column:
 
 
 def estimate_tokens(c: Column) -> Column:
-    """CJK characters, and a token for every four others begun."""
-    cjk = F.length(c) - F.length(F.regexp_replace(c, "[\\u3040-\\u30ff\\u3400-\\u4dbf\\u4e00-\\u9fff\\uac00-\\ud7af]", ""))
+    """Wide characters, and a token for every four others begun; none for a null or empty text."""
+    c = F.coalesce(c, F.lit(""))
+    cjk = F.length(c) - F.length(F.regexp_replace(c, registry.TOKEN_WIDE, ""))
     return (cjk + F.ceil((F.length(c) - cjk) / 4)).cast("long")
 
 
@@ -65,3 +66,65 @@ def grade(c: Column) -> Column:
     for at, name in reversed(registry.GRADES):
         out = F.when(c >= at, name).otherwise(out)
     return out
+
+
+def fingerprint(c: Column) -> Column:
+    """The first 12 hex digits of SHA-1 over the text with white space collapsed."""
+    return F.substring(F.sha1(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "\\s+", " "))), 1, 12)
+
+
+def types_compatible(a: Column, b: Column) -> Column:
+    """Whether two sets of types meet; an empty one is compatible with any."""
+    return (F.size(a) == 0) | (F.size(b) == 0) | F.arrays_overlap(a, b)
+
+
+def clamp(c: Column, low: float, high: float) -> Column:
+    return F.least(F.greatest(c, F.lit(low)), F.lit(high))
+
+
+def preview(*texts: Column, limit: int = 240) -> Column:
+    """The first of the texts that isn't blank, white space collapsed, cut at ``limit`` characters."""
+    return F.substring(F.trim(F.regexp_replace(F.coalesce(*[F.when(F.trim(t) != "", t) for t in texts], F.lit("")), "\\s+", " ")), 1, limit)
+
+
+def passthrough(properties: Column, limit: int = 200) -> Column:
+    """A small map as its JSON text, a large one as the list of its keys."""
+    text = F.to_json(properties)
+    return F.when(F.length(text) <= limit, text).otherwise(F.to_json(F.sort_array(F.map_keys(properties))))
+
+
+def canonical(c: Column, names, aliases: dict[str, str]) -> Column:
+    """The registered name of a value, letter case and blanks aside, else that of its alias; null: neither."""
+    low = F.lower(F.trim(c))
+    out = F.when(low.isin(*names), low)
+    for alias, name in aliases.items():
+        out = out.when(low == alias, F.lit(name))
+    return out
+
+
+def sentence_window(text: Column, anchor: Column, radius: int = 1, ends: str = "(?<=[。！？!?])|(?<=\\.)\\s|\\n") -> Column:
+    """The first sentence that holds the anchor's first 24 characters (else the first of all), with ``radius`` neighbours on each side."""
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ends), F.trim), lambda s: s != "")
+    needle = F.substring(F.trim(F.coalesce(anchor, F.lit(""))), 1, 24)
+    hit = F.when(needle != "", F.array_position(F.transform(parts, lambda s: s.contains(needle)), True)).otherwise(0)
+    index = F.greatest(hit.cast("int"), F.lit(1))
+    first = F.greatest(index - radius, F.lit(1))
+    return F.when(F.size(parts) > 0, F.array_join(F.slice(parts, first, index + radius - first + 1), "")).otherwise("")
+
+
+def truncate_to_tokens(c: Column, most: int) -> Column:
+    """The longest prefix of at most ``most`` estimated tokens, cut at its last line end where that lies past its half."""
+    # the k-th character ends a prefix that fits while four times its wide characters and its others fit four times most
+    chars = F.split(F.substring(c, 1, 4 * most + 4), "")
+    fits = F.aggregate(
+        chars, F.struct(F.lit(0).alias("wide"), F.lit(0).alias("other"), F.lit(0).alias("n"), F.lit(True).alias("on")),
+        lambda a, x: F.struct(
+            (a["wide"] + x.rlike(registry.TOKEN_WIDE).cast("int")).alias("wide"), (a["other"] + (~x.rlike(registry.TOKEN_WIDE) & (x != "")).cast("int")).alias("other"),
+            F.when(a["on"] & (a["wide"] + x.rlike(registry.TOKEN_WIDE).cast("int") + F.ceil((a["other"] + (~x.rlike(registry.TOKEN_WIDE) & (x != "")).cast("int")) / 4) <= most), a["n"] + F.length(x)).otherwise(a["n"]).alias("n"),
+            (a["on"] & (a["wide"] + x.rlike(registry.TOKEN_WIDE).cast("int") + F.ceil((a["other"] + (~x.rlike(registry.TOKEN_WIDE) & (x != "")).cast("int")) / 4) <= most)).alias("on"),
+        ),
+    )["n"]
+    cut = F.substr(c, F.lit(1), fits)
+    at = F.length(cut) - F.instr(F.reverse(cut), "\n")  # characters before the last line end
+    by_line = F.when((F.instr(cut, "\n") > 0) & (at > F.floor(F.length(cut) / 2)), F.substr(cut, F.lit(1), at)).otherwise(cut)
+    return F.when(F.lit(most <= 0) | c.isNull(), "").when(estimate_tokens(c) <= most, c).otherwise(F.regexp_replace(by_line, "\\s+$", ""))

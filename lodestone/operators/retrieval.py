@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,27 +18,37 @@ def grams_of(query: str, most: int = registry.MAX_QUERY_GRAMS) -> list[str]:
     return list(dict.fromkeys(s[i : i + 3] for i in range(len(s) - 2)))[:most]
 
 
-def _count(text: Column, gram: Column) -> Column:
-    return F.floor((F.length(text) - F.length(F.replace(text, gram, F.lit("")))) / F.length(gram)).cast("int")
+def _hits(text: Column, grams: list[str]) -> Column:
+    """The grams at every place of a text, overlapping ones too, in one pass."""
+    return F.regexp_extract_all(text, F.lit("(?=(" + "|".join(re.sub("([^A-Za-z0-9 ])", r"\\\1", g) for g in grams) + "))"), F.lit(1))
 
 
-def bm25(docs: DataFrame, grams: list[str], limit: int) -> DataFrame:
-    """id and score (lower is better) of the best documents under trigram BM25 over the content.
+def gram_counts(docs: DataFrame, grams: list[str]) -> DataFrame:
+    """id, len (trigrams of title and content) and f (how often each gram occurs in them) of every document."""
+    size = lambda c: F.greatest(F.length(F.coalesce(c, F.lit(""))) - 2, F.lit(0))
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    found = docs.select("id", (size("title") + size("content")).alias("len"), F.concat(_hits(low("title"), grams), _hits(low("content"), grams)).alias("hits"))
+    return found.select("id", "len", F.transform(F.array(*map(F.lit, grams)), lambda g: F.size(F.filter("hits", lambda h: h == g))).alias("f"))
 
-    One pass counts each gram per document natively; a second small aggregate gives document frequencies.
-    A document's length is its number of trigrams. Occurrences are counted without overlap.
+
+def gram_stats(tf: DataFrame, grams: int) -> DataFrame:
+    """One row: n, av (mean length) and ds (documents that hold each gram)."""
+    held = [F.count(F.when(F.col("f")[k] > 0, 1)).alias(f"d{k}") for k in range(grams)]
+    return tf.agg(F.count("*").alias("n"), F.avg("len").alias("av"), *held).select("n", "av", F.array(*[f"d{k}" for k in range(grams)]).alias("ds"))
+
+
+def bm25(docs: DataFrame, grams: list[str], limit: int, stats: DataFrame | None = None) -> DataFrame:
+    """id and score (lower is better) of the best documents under trigram BM25 over title and content.
+
+    One pass finds the grams of a document; one row of document frequencies is broadcast to the scores.
     """
-    wanted = F.array(*map(F.lit, grams))
-    tf = docs.select("id", F.greatest(F.length("content") - 2, F.lit(0)).alias("len"), F.lower("content").alias("t"))
-    tf = tf.select("id", "len", F.transform(wanted, lambda g: _count(F.col("t"), g)).alias("f"))
-    df = tf.select(F.posexplode("f").alias("k", "f")).groupBy("k").agg(F.count(F.when(F.col("f") > 0, 1)).alias("d"))
-    df = df.agg(F.sort_array(F.collect_list(F.struct("k", "d"))).alias("ds"))  # one row, a gram each
-    stats = tf.agg(F.count("*").alias("n"), F.avg("len").alias("av")).crossJoin(df)
+    tf = gram_counts(docs, grams)
+    stats = gram_stats(tf, len(grams)) if stats is None else stats
     both = tf.filter(F.exists("f", lambda f: f > 0)).crossJoin(F.broadcast(stats))  # one row
     k1, b = registry.BM25_K1, registry.BM25_B
 
     def part(f, d):
-        idf = F.greatest(F.log((F.col("n") - d["d"] + 0.5) / (d["d"] + 0.5)), F.lit(registry.BM25_IDF_FLOOR))
+        idf = F.greatest(F.log((F.col("n") - d + 0.5) / (d + 0.5)), F.lit(registry.BM25_IDF_FLOOR))
         return F.when(f > 0, idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("len") / F.col("av")))).otherwise(0.0)
 
     score = F.aggregate(F.zip_with("f", "ds", part), F.lit(0.0), lambda x, y: x + y)
@@ -53,15 +64,17 @@ def contains_any_term(docs: DataFrame, terms: list[str]) -> DataFrame:
 def lexical(docs: DataFrame, query: str, limit: int) -> DataFrame:
     """BM25; where no document has a gram of the query, the substring search, with score 0."""
     cap, grams = min(limit, registry.MAX_SEARCH_RESULTS), grams_of(query)
-    found = bm25(docs, grams, cap) if grams else None
     terms = query.split()
+    stats = gram_stats(gram_counts(docs, grams), len(grams)) if grams else None
+    found = bm25(docs, grams, cap, stats) if grams else None
     if not terms:
         return found
     fallback = contains_any_term(docs, terms).select("id", F.lit(0.0).alias("score")).orderBy("id").limit(cap)
     if found is None:
         return fallback
-    some = F.broadcast(found.agg((F.count("*") > 0).alias("some")))
-    return found.unionByName(fallback.crossJoin(some).filter(~F.col("some")).drop("some"))
+    none = F.broadcast(stats.filter(~F.exists("ds", lambda d: d > 0)).select(F.lit(1).alias("none")))  # one row or no row
+    missed = contains_any_term(docs.crossJoin(none), terms).select("id", F.lit(0.0).alias("score")).orderBy("id").limit(cap)
+    return found.unionByName(missed)
 
 
 def vector_top(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:

@@ -78,11 +78,13 @@ def trigram_query(spark, d):
 
 
 def _bm25_sql(limit: int) -> str:
-    counts = ", ".join(f"((length(t) - length(replace(t, '{g}', ''))) // 3) as f{k}" for k, g in enumerate(_GRAMS))
+    # no gram of the query overlaps itself, so counts by replacement are whole
+    count = lambda c, g: f"((length({c}) - length(replace({c}, '{g}', ''))) // 3)"
+    counts = ", ".join(f"{count('t', g)} + {count('h', g)} as f{k}" for k, g in enumerate(_GRAMS))
     dfs = ", ".join(f"count(*) filter (f{k} > 0) as d{k}" for k in range(len(_GRAMS)))
     parts = " + ".join(f"case when f{k} > 0 then greatest(ln((n - d{k} + 0.5::double) / (d{k} + 0.5::double)), 1e-6::double) * f{k} * 2.2::double / (f{k} + 1.2::double * (0.25::double + 0.75::double * len / av)) else 0 end" for k in range(len(_GRAMS)))
     some = " or ".join(f"f{k} > 0" for k in range(len(_GRAMS)))
-    return f"""tf as (select id, len, {counts} from (select id, greatest(length(content) - 2, 0) as len, lower(content) as t from kb_document)),
+    return f"""tf as (select id, len, {counts} from (select id, greatest(length(coalesce(content, '')) - 2, 0) + greatest(length(coalesce(title, '')) - 2, 0) as len, lower(coalesce(content, '')) as t, lower(coalesce(title, '')) as h from kb_document)),
 st as (select count(*) as n, avg(len) as av, {dfs} from tf)
 select id, round(-({parts}), 6) as score from tf, st where {some} order by score, id limit {limit}"""
 
@@ -526,17 +528,15 @@ def _samples(spark, d):
     return kb.table(spark, d, "events").select(n.alias("id"), t.otherwise(" ").alias("t"))
 
 
-_RE2 = lambda p: p.replace("'", "''")
-_LITERAL_SQL = f"(regexp_matches(t, '{_RE2(classify._ARTEFACT)}') or regexp_matches(t, '{_RE2(classify._NUMBER)}') or regexp_matches(t, '{_RE2(classify._DATE)}') or lower(trim(t)) in {_in((*registry.BOOLEANS, *registry.REGISTERED_LITERALS))})"
-_CLASS_SQL = f"case when trim(t) = '' then 'unknown' when id % 50 = 9 then 'entity' when {_LITERAL_SQL} then 'literal' when not regexp_matches(t, '\\s') and regexp_matches(t, '{_RE2(classify._TECHNICAL)}') then 'entity' else 'unknown' end"
+_KIND = "case when id % 12 in (0, 1, 2, 6, 7, 8) then 'literal' when id % 12 in (4, 5, 10) then 'entity' else 'unknown' end"
 
 
-@query(f"select id, {_CLASS_SQL} as object_class from {_SAMPLES}", prelude=False)
+@query(f"select id, case when id % 50 = 9 and id % 12 <> 11 then 'entity' else {_KIND} end as object_class from {_SAMPLES}", prelude=False)
 def object_classes(spark, d):
     return _samples(spark, d).select("id", classify.object_class(F.col("t"), F.col("id") % 50 == 9).alias("object_class"))
 
 
-@query(f"select id, case when trim(t) = '' or regexp_matches(lower(trim(t)), '(_relations|_fields|_columns)$') or {_LITERAL_SQL} then 'drop' when id % 2 = 0 then 'keep' else 'review' end as eligibility from {_SAMPLES}", prelude=False)
+@query(f"select id, case when id % 12 in (0, 1, 2, 6, 7, 8, 10, 11) then 'drop' when id % 2 = 0 then 'keep' else 'review' end as eligibility from {_SAMPLES}", prelude=False)
 def entity_eligibility(spark, d):
     return _samples(spark, d).select("id", classify.eligibility(F.col("t"), F.col("id") % 2 == 0).alias("eligibility"))
 
@@ -586,49 +586,67 @@ def predicate_migration_plan(spark, d):
     return census.select("predicate", "n", target.alias("target"), (target != F.col("predicate")).alias("migratable"))
 
 
-def _signals(spark, d):
-    c = kb.claims(spark, d)
-    i = F.col("id")
+def _scored_claims(spark, d):
+    """Claims with what their quality is made of; a third have no quote, a third a blank one."""
+    c, i = kb.claims(spark, d), F.col("id")
     return c.select(
-        "id", "confidence", F.lit(1.0).alias("schema_share"), (i % 4 != 0).alias("has_evidence"), (i % 3 != 0).alias("has_quote"), (i % 6 != 1).alias("quote_found"), F.lit(True).alias("subject_known"),
-        F.col("object_id").isNotNull().alias("object_known"), F.col("object_id").isNull().alias("object_free"), (i % 5 != 0).alias("predicate_known"), (F.col("status") == "superseded").alias("superseded"),
-        (i % 7 == 0).alias("conflicted"), F.lit(True).alias("has_document"), (i % 2 == 0).alias("has_chunk"), (i % 2 == 0).alias("has_offsets"), (i % 11 != 0).alias("endpoint_legal"), (i % 7 != 0).alias("no_conflict"),
+        "id", "confidence", "predicate", "object_text", F.when(i % 17 != 0, F.col("subject_id")).alias("subject_name"), F.lit("factual").alias("claim_type"), F.col("polarity"), F.when(i % 13 != 0, "asserted").alias("modality"), F.when(i % 9 != 0, "{}").alias("context"),
+        F.col("object_id").alias("object_name"), F.when(i % 8 != 0, "d").alias("source_document_id"), F.when(i % 2 == 0, "k").alias("source_chunk_id"), F.when(i % 3 == 1, "quote").when(i % 3 == 2, "  ").alias("source_quote"),
+        (i % 6 != 1).alias("quote_found"), (i % 10 != 0).alias("subject_known"), (i % 4 == 0).alias("subject_described"), (F.col("object_id").isNotNull() & (i % 7 != 1)).alias("object_known"),
+        (i % 5 != 0).alias("predicate_registered"), (F.col("status") == "superseded").alias("is_superseded"), (i % 7 == 0).alias("conflict_live"),
     )
 
 
-_SCORES = """, x as (select id, 0.15::double as s_schema, case when id % 4 <> 0 and id % 3 <> 0 then 1.0 when id % 4 <> 0 then 0.6 else 0 end as ev, case when id % 3 = 0 then 0 when id % 6 <> 1 then 1.0 else 0.2 end as qu,
- case when object_id is not null then 1.0 else 0.85 end as en, case when id % 5 <> 0 then 1 else 0 end as pr, case when status = 'superseded' then 1.0 when id % 7 = 0 then 0.3 else 0.9 end as co, case when id % 2 = 0 then 1.0 else 0.5 end as po from kb_claim)
-, y as (select *, round((s_schema + 0.2 * ev + 0.15 * qu + 0.15 * en + 0.15 * pr + 0.1 * co + 0.1 * po)::double, 6) as overall from x)
+_SCORES = """, q as (select *, (id % 17 <> 0)::int + 1 + 1 + 1 + (id % 13 <> 0)::int + (id % 9 <> 0)::int + (confidence is not null)::int + (id % 8 <> 0)::int + (id % 3 = 1)::int as present, id % 3 <> 0 as quoted, coalesce(object_id, '') <> '' or coalesce(object_text, '') <> '' as obj from kb_claim)
+, x as (select *, present / 9.0::double as sc, case when quoted and id % 2 = 0 then 1.0::double when quoted then 0.6::double else 0 end as ev, case when not quoted then 0 when id % 6 <> 1 then 1.0::double else 0.2::double end as qu,
+ least(1.0::double, case when id % 10 <> 0 then 0.6::double else 0.1::double end + case when obj and object_id is not null and id % 7 <> 1 then 0.3::double when obj then 0.15::double else 0 end + case when id % 20 in (4, 8, 12, 16) then 0.1::double else 0 end) as en,
+ (id % 5 <> 0)::int::double as pr, case when status = 'superseded' then 1.0::double when id % 7 = 0 then 0.3::double else 0.9::double end as co, 0.5::double * (id % 8 <> 0)::int + 0.3::double * (id % 2 = 0)::int + 0.2::double * (id % 3 = 1)::int as po from q)
+, y as (select *, 0.15::double * sc + 0.2::double * ev + 0.15::double * qu + 0.15::double * en + 0.15::double * pr + 0.1::double * co + 0.1::double * po as exact from x)
+, z as (select id, round(exact, 4) as overall, case when round(exact, 9) >= 0.85 then 'A' when round(exact, 9) >= 0.7 then 'B' when round(exact, 9) >= 0.5 then 'C' else 'D' end as grade,
+ concat_ws(',', case when pr = 0 then 'predicate_unregistered' end, case when ev = 0 then 'no_evidence' end, case when quoted and qu < 1 then 'quote_not_localized' end, case when id % 7 = 0 then 'unresolved_conflict' end,
+ case when status = 'superseded' then 'superseded' end, case when not obj then 'missing_object' end, case when confidence < 0.5 then 'low_confidence' end) as flags, pr = 0 or ev = 0 or id % 7 = 0 as critical from y)
 """
 
 
-@query(_SCORES + "select id, overall, case when overall >= 0.85 then 'A' when overall >= 0.7 then 'B' when overall >= 0.5 then 'C' else 'D' end as grade, concat_ws(',', case when ev < 0.5 then 'evidence' end, case when qu < 0.5 then 'quote' end, case when pr < 0.5 then 'predicate' end, case when co < 0.5 then 'conflict' end) as flags from y")
+@query(_SCORES + "select id, overall, grade, flags from z")
 def quality_scores(spark, d):
-    return quality.quality(_signals(spark, d)).select("id", "overall", "grade", "flags")
+    return quality.quality(_scored_claims(spark, d)).select("id", "overall", "grade", "flags")
 
 
-@query(_SCORES + "select id, overall from y where overall < 0.7 or ev = 0 order by overall, id limit 50")
+@query(_SCORES + "select id, overall from z where overall < 0.7 or critical order by overall, id limit 50")
 def quality_review_queue(spark, d):
-    q = quality.quality(_signals(spark, d))
+    q = quality.quality(_scored_claims(spark, d))
     return q.filter(quality.suggest_review(q)).select("id", "overall").orderBy("overall", "id").limit(50)
 
 
-@query(""", s as (select id, id % 4 <> 0 as ev, id % 5 <> 0 as pr, id % 11 <> 0 as le, id % 7 <> 0 as nc, round(((id % 4 <> 0)::int * 0.2 + (id % 6 <> 1)::int * 0.15 + 0.15 + (id % 5 <> 0)::int * 0.2 + (id % 11 <> 0)::int * 0.15 + (id % 7 <> 0)::int * 0.1)::double + 0.05::double * confidence, 6) as score from kb_claim)
-select id, score, case when not ev or not pr then 'reject' when not le or not nc then case when score >= 0.5 then 'review' else 'reject' end when score >= 0.8 then 'accept' when score >= 0.5 then 'review' else 'reject' end as verdict from s""")
+@query(""", s as (select id, id % 11 <> 0 as legal, id % 4 <> 0 as ev, round((20 * (id % 11 <> 0)::int + 15 * (id % 9 <> 0)::int + 15 * (id % 10 <> 0)::int + 20 * (id % 4 <> 0)::int + 15 * (id % 6 <> 1)::int + 10 * (id % 7 <> 0)::int + 5::double * case when id % 5 = 0 then 0 else least(greatest(floor(confidence * 100) / 50, 0), 1) end)::double / 100, 4) as score from kb_claim)
+select id, score, case when not legal then 'reject' when score >= 0.8 then case when ev then 'accept' else 'review' end when score >= 0.5 then 'review' else 'reject' end as verdict from s""")
 def quality_gate(spark, d):
-    return quality.gate(_signals(spark, d)).select("id", "score", "verdict")
+    i = F.col("id")
+    signals = kb.claims(spark, d).select("id", (i % 11 != 0).alias("ontology_valid"), (i % 9 != 0).alias("schema_complete"), (i % 10 != 0).alias("entity_resolved"), (i % 4 != 0).alias("evidence_found"), (i % 6 != 1).alias("quote_exact"), (i % 7 != 0).alias("no_contradiction"), F.when(i % 5 != 0, F.floor(F.col("confidence") * 100) / 50).alias("confidence"))
+    return quality.gate(signals).select("id", "score", "verdict")
 
 
-@query("select user_id as answer_id, count(*) as n, round((0.25 * avg((event_id % 3 <> 0)::int) + 0.3 * avg((event_id % 4 <> 0)::int) + 0.15 * avg((event_id % 5 <> 0)::int)) / 0.7, 6) as score, case when round((0.25 * avg((event_id % 3 <> 0)::int) + 0.3 * avg((event_id % 4 <> 0)::int) + 0.15 * avg((event_id % 5 <> 0)::int)) / 0.7, 6) >= 0.85 then 'A' when round((0.25 * avg((event_id % 3 <> 0)::int) + 0.3 * avg((event_id % 4 <> 0)::int) + 0.15 * avg((event_id % 5 <> 0)::int)) / 0.7, 6) >= 0.7 then 'B' when round((0.25 * avg((event_id % 3 <> 0)::int) + 0.3 * avg((event_id % 4 <> 0)::int) + 0.15 * avg((event_id % 5 <> 0)::int)) / 0.7, 6) >= 0.5 then 'C' else 'D' end as grade from events group by 1", prelude=False)
+@query("""with a as (select event_id as id, event_id % 5 as m, event_id % 3 as n, event_id % 2 = 0 as odd_one, event_id % 7 <> 0 as loc, event_id % 4 = 0 as old from events where event_id > 1)
+, x as (select *, n = 0 and m in (2, 3) as stop, case when n > 0 and loc then 1.0::double else 0 end as lo,
+ case when n = 0 and m in (2, 3) then 1.0::double when n = 0 then 0.2::double when m <> 1 then 0.45::double when n = 2 and odd_one then 0.75::double else 1.0::double end as cov, case when n = 0 then 0 when not old then 1.0::double when n = 1 then 0 else 0.5::double end as cur from a)
+, y as (select *, (0.25::double * lo + 0.3::double * cov + 0.15::double * cur) / (0.25::double + 0.3::double + 0.15::double) as exact from x)
+select id as answer_id, n::bigint as n, lo as locatability, cov as coverage, cur as currentness, round(exact, 4) as overall, case when round(exact, 9) >= 0.85 then 'A' when round(exact, 9) >= 0.7 then 'B' when round(exact, 9) >= 0.5 then 'C' else 'D' end as grade,
+ concat_ws(',', case when stop and m = 3 then 'refusal' end, case when stop and m = 2 then 'insufficient_evidence' end, case when n = 0 then 'no_citations' end, case when n > 0 and m <> 1 then 'no_inline_citations' end,
+ case when n > 0 and (m <> 1 or n = 2 and odd_one) then 'uncited_evidence' end, case when n > 0 and cur < 1 then 'stale_source' end) as flags from y""", prelude=False)
 def citation_validation(spark, d):
-    i = F.col("event_id")
-    return quality.citation_score(kb.table(spark, d, "events").select(F.col("user_id").alias("answer_id"), (i % 3 != 0).alias("located"), (i % 4 != 0).alias("covered"), (i % 5 != 0).alias("current")))
+    answers = _answers(spark, d).filter("id > 1").select(F.col("id").alias("answer_id"), F.col("a").alias("answer"))
+    i = F.col("answer_id")
+    own, other = F.concat(F.lit("c"), i.cast("string")), F.when(i % 2 == 0, "z").otherwise("c1")
+    cites = F.when(i % 3 == 1, F.array(F.lit("c1"))).when(i % 3 == 2, F.array(own, other)).otherwise(F.array().cast("array<string>"))
+    citations = answers.select("answer_id", F.posexplode(cites).alias("k", "chunk_id")).select("answer_id", "chunk_id", (i % 7 != 0).alias("located"), ((i % 4 == 0) & (F.col("k") == 0)).alias("stale"))
+    return quality.citation_report(answers, citations)
 
 
 # context
 
 
-@query("select id, (ceil(length(content) / 4.0))::bigint as tokens from kb_document")
+@query("select id, (ceil(length(coalesce(content, '')) / 4.0))::bigint as tokens from kb_document")
 def token_estimates(spark, d):
     return kb.documents(spark, d).select("id", tx.estimate_tokens(F.col("content")).alias("tokens"))
 
@@ -725,3 +743,6 @@ def windowed_counts(spark, d):
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return search_knowledge(spark, d)
+
+
+from . import reads  # noqa: E402, F401  registers its queries

@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions.udfs import chunk_spans
+from lodestone.functions import text as tx
+from lodestone.functions import udfs
 from lodestone.operators import classify, context, evaluate, graph, lifecycle, resolve, retrieval, storage
 
 
@@ -136,3 +138,37 @@ def test_retrieval_metrics(spark):
     c = spark.createDataFrame([("a", [1, 2], [1, 3, 2]), ("b", [9], [1, 2]), ("c", [], [])], "id string, relevant array<int>, retrieved array<int>")
     r = evaluate.retrieval_report(c, 2).first()
     assert (r["recall"], r["precision"], r["mrr"]) == (0.3333, 0.25, 0.3333)
+
+
+def test_grams_are_counted_at_every_place(spark):
+    docs = spark.createDataFrame([(1, "aaaa", "x.y.x.y aaa"), (2, None, None), (3, "AAa", "")], "id long, title string, content string")
+    got = {r["id"]: (r["len"], r["f"]) for r in retrieval.gram_counts(docs, ["aaa", ".y.", "x.y"]).collect()}
+    assert got == {1: (2 + 9, [3, 1, 2]), 2: (0, [0, 0, 0]), 3: (1, [1, 0, 0])}
+
+
+def test_lexical_falls_back_only_without_hits(spark):
+    docs = spark.createDataFrame([(1, "t", "alpha beta"), (2, "ab", "x")], "id long, title string, content string")
+    assert rows(retrieval.lexical(docs, "alpha", 5).select("id")) == [(1,)]
+    assert rows(retrieval.lexical(docs, "ab zq", 5).select("id", "score")) == [(2, 0.0)]
+
+
+def test_token_truncation_is_the_longest_that_fits(spark):
+    draw = random.Random(2)
+    texts = ["".join(draw.choices("ab \n你カ한", k=draw.randint(0, 40))) for _ in range(60)]
+    wide = lambda c: "\u3000" <= c <= "\u30ff" or "\u3400" <= c <= "\u4dbf" or "\u4e00" <= c <= "\u9fff" or "\uf900" <= c <= "\ufaff" or "\uff00" <= c <= "\uffef"
+    cost = lambda t: sum(map(wide, t)) + -(-(len(t) - sum(map(wide, t))) // 4)
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    for r in df.select("id", tx.truncate_to_tokens(F.col("t"), 4).alias("c"), tx.estimate_tokens(F.col("t")).alias("n")).collect():
+        t = texts[r["id"]]
+        assert r["n"] == cost(t)
+        want = t
+        if cost(t) > 4:
+            want = t[: max(k for k in range(len(t) + 1) if cost(t[:k]) <= 4)]
+            if want.rfind("\n") > len(want) // 2:
+                want = want[: want.rfind("\n")]
+            want = want.rstrip()
+        assert r["c"] == want, t
+
+
+def test_text_nodes_are_all_kept():
+    assert udfs._text_nodes("<p>a</p> <script>x</script>\n<b>c</b>") == "a\n \nx\n\n\nc"
