@@ -287,7 +287,8 @@ def _similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, often, words:
         first = links(cut, now, percent, parts).select("a", "b")
         rooted = components(known.union(first), "a", "b")
         ra, rb = (rooted.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
-        left = pairs.join(now.select("a", "b"), ["a", "b"], "left_anti").join(ra, "a", "left").join(rb, "b", "left")
+        # the few that were counted and aren't similar are counted again: cheaper than a join that takes them out
+        left = pairs.join(ra, "a", "left").join(rb, "b", "left")
         left = staged(left.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "na", "b", "nb"), "apart")
         dropped(now, pairs)
         pairs = left
@@ -336,25 +337,25 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     buckets = live = staged(postings.join(leaders.select("h", "leader"), "h"), "buckets")
     near = live.filter(F.col("node") != F.col("leader.node")).select(F.col("leader.node").alias("a"), F.col("leader.n").alias("na"), F.col("leader.pos").alias("pa"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
     pairs = staged(near.filter(_may_link(percent)).select("a", "na", "b", "nb").distinct(), "pairs")
-    tried = pairs.select("a", "b")
     found = _similar(docs, nodes, _promising(pairs, full, percent), often, words, percent, parts)
     rooted = components(found, "a", "b")
 
     live = live.select("h", "node", "n", "pos")
-    # leaders of the largest component in a bucket: the others' nodes are likeliest to be similar to one of it. Each is
-    # the least by another hash, the same in all buckets; where many pairs would be left, all of them are tried
+    # a node of the largest component in a bucket: the others' nodes are likeliest to be similar to it. Where many pairs
+    # would be left, some of the whole bucket as well, each the least by another hash, the same in all buckets, so that nodes meet
     rest = _open(live, rooted)
-    drawn = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("order"), "node", "n", "pos")).alias(f"l{k}") for k in range(LEADERS)]
+    drawn = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("order"), "node", "n", "pos", "root")).alias(f"l{k}") for k in range(LEADERS)]
     leaders = rest.groupBy("h", "root").agg(F.count("*").alias("size"), *drawn)
-    leaders = leaders.groupBy("h").agg(F.max(F.struct("size", "root", *[f"l{k}" for k in range(LEADERS)])).alias("m"), F.sum("size").alias("total"))
+    most = F.max(F.struct("size", "root", "l0")).alias("m")
+    leaders = leaders.groupBy("h").agg(most, F.sum("size").alias("total"), *[F.min(f"l{k}").alias(f"l{k}") for k in range(LEADERS)])
     many = F.col("m.size") * (F.col("total") - F.col("m.size")) > MANY
-    some = F.when(many, F.array_distinct(F.array(*[F.col(f"m.l{k}").dropFields("order") for k in range(LEADERS)]))).otherwise(F.array(F.col("m.l0").dropFields("order")))
-    near = rest.join(leaders.select("h", F.col("m.root").alias("of"), some.alias("leaders")), "h").filter(F.col("root") != F.col("of"))
-    near = near.select("node", "n", "pos", F.explode("leaders").alias("leader"))
+    plain = lambda c: F.col(c).dropFields("order")
+    some = F.when(many, F.array_distinct(F.array(plain("m.l0"), *[plain(f"l{k}") for k in range(LEADERS)]))).otherwise(F.array(plain("m.l0")))
+    near = rest.join(leaders.select("h", some.alias("leaders")), "h")
+    near = near.select("node", "n", "pos", "root", F.explode("leaders").alias("leader")).filter(F.col("root") != F.col("leader.root"))
     near = near.select(F.col("leader.node").alias("a"), F.col("leader.n").alias("na"), F.col("leader.pos").alias("pa"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
     more = staged(near.filter(_may_link(percent)).select("a", "na", "b", "nb").distinct(), "more_pairs")
     dropped(rest)
-    tested = tried.union(more.select(F.least("a", "b"), F.greatest("a", "b")))
     more = _promising(more, full, percent)
     if more.take(1):
         found = found.union(_similar(docs, nodes, more, often, words, percent, parts))
@@ -364,7 +365,7 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     x = rest.select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"))
     y = rest.select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"))
     crossing = x.join(y, (x.h == y.h) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _may_link(percent)).select("a", "na", "b", "nb").distinct()
-    untested = staged(crossing.join(tested, ["a", "b"], "left_anti").select("a", "na", "b", "nb"), "crossing")
+    untested = staged(crossing, "crossing")
     dropped(rest, buckets)
     crossing = _promising(untested, full, percent)
     dropped(untested)
