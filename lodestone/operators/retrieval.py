@@ -23,36 +23,31 @@ def _hits(text: Column, grams: list[str]) -> Column:
     return F.regexp_extract_all(text, F.lit("(?=(" + "|".join(re.sub("([^A-Za-z0-9 ])", r"\\\1", g) for g in grams) + "))"), F.lit(1))
 
 
-def gram_counts(docs: DataFrame, grams: list[str]) -> DataFrame:
-    """id, len (trigrams of title and content) and f (how often each gram occurs in them) of every document."""
-    size = lambda c: F.greatest(F.length(F.coalesce(c, F.lit(""))) - 2, F.lit(0))
-    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
-    found = docs.select("id", (size("title") + size("content")).alias("len"), F.concat(_hits(low("title"), grams), _hits(low("content"), grams)).alias("hits"))
-    return found.select("id", "len", F.transform(F.array(*map(F.lit, grams)), lambda g: F.size(F.filter("hits", lambda h: h == g))).alias("f"))
+def _trigrams(*texts: str) -> Column:
+    """How many trigrams the texts have."""
+    return sum((F.greatest(F.length(F.coalesce(c, F.lit(""))) - 2, F.lit(0)) for c in texts[1:]), F.greatest(F.length(F.coalesce(texts[0], F.lit(""))) - 2, F.lit(0)))
 
 
-def gram_stats(tf: DataFrame, grams: int) -> DataFrame:
-    """One row: n, av (mean length) and ds (documents that hold each gram)."""
-    held = [F.count(F.when(F.col("f")[k] > 0, 1)).alias(f"d{k}") for k in range(grams)]
-    return tf.agg(F.count("*").alias("n"), F.avg("len").alias("av"), *held).select("n", "av", F.array(*[f"d{k}" for k in range(grams)]).alias("ds"))
+def gram_counts(docs: DataFrame, grams: list[str]) -> DataFrame:
+    """id, len (trigrams of title and content), gram and n: how often each gram that a document holds occurs in it. One pass, summed in each task before the shuffle."""
+    hits = F.concat(*[_hits(F.lower(F.coalesce(c, F.lit(""))), grams) for c in ("title", "content")])
+    found = docs.select("id", _trigrams("title", "content").alias("len"), F.explode(hits).alias("gram"))
+    return found.groupBy("id", "len", "gram").agg(F.count("*").alias("n"))
 
 
-def bm25(docs: DataFrame, grams: list[str], limit: int, stats: DataFrame | None = None) -> DataFrame:
+def bm25(docs: DataFrame, grams: list[str], limit: int) -> DataFrame:
     """id and score (lower is better) of the best documents under trigram BM25 over title and content.
 
-    One pass finds the grams of a document; one row of document frequencies is broadcast to the scores.
+    Document frequencies, a row a gram, and the number of documents and their mean length, one row, are broadcast.
     """
-    tf = gram_counts(docs, grams)
-    stats = gram_stats(tf, len(grams)) if stats is None else stats
-    both = tf.filter(F.exists("f", lambda f: f > 0)).crossJoin(F.broadcast(stats))  # one row
+    counts = gram_counts(docs, grams)
+    held = counts.groupBy("gram").agg(F.count("*").alias("d"))
+    sizes = docs.agg(F.count("*").alias("docs"), F.avg(_trigrams("title", "content")).alias("av"))
+    both = counts.join(F.broadcast(held), "gram").crossJoin(F.broadcast(sizes))
     k1, b = registry.BM25_K1, registry.BM25_B
-
-    def part(f, d):
-        idf = F.greatest(F.log((F.col("n") - d + 0.5) / (d + 0.5)), F.lit(registry.BM25_IDF_FLOOR))
-        return F.when(f > 0, idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("len") / F.col("av")))).otherwise(0.0)
-
-    score = F.aggregate(F.zip_with("f", "ds", part), F.lit(0.0), lambda x, y: x + y)
-    return both.select("id", F.round(-score, 6).alias("score")).orderBy("score", "id").limit(limit)
+    idf = F.greatest(F.log((F.col("docs") - F.col("d") + 0.5) / (F.col("d") + 0.5)), F.lit(registry.BM25_IDF_FLOOR))
+    part = idf * F.col("n") * (k1 + 1) / (F.col("n") + k1 * (1 - b + b * F.col("len") / F.col("av")))
+    return both.groupBy("id").agg(F.round(-F.sum(part), 6).alias("score")).orderBy("score", "id").limit(limit)
 
 
 def contains_any_term(docs: DataFrame, terms: list[str]) -> DataFrame:
@@ -65,14 +60,13 @@ def lexical(docs: DataFrame, query: str, limit: int) -> DataFrame:
     """BM25; where no document has a gram of the query, the substring search, with score 0."""
     cap, grams = min(limit, registry.MAX_SEARCH_RESULTS), grams_of(query)
     terms = query.split()
-    stats = gram_stats(gram_counts(docs, grams), len(grams)) if grams else None
-    found = bm25(docs, grams, cap, stats) if grams else None
+    found = bm25(docs, grams, cap) if grams else None
     if not terms:
         return found
     fallback = contains_any_term(docs, terms).select("id", F.lit(0.0).alias("score")).orderBy("id").limit(cap)
     if found is None:
         return fallback
-    none = F.broadcast(stats.filter(~F.exists("ds", lambda d: d > 0)).select(F.lit(1).alias("none")))  # one row or no row
+    none = F.broadcast(gram_counts(docs, grams).agg(F.count("*").alias("met")).filter("met = 0").drop("met"))  # one row or no row
     missed = contains_any_term(docs.crossJoin(none), terms).select("id", F.lit(0.0).alias("score")).orderBy("id").limit(cap)
     return found.unionByName(missed)
 
