@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and read again as the
 next one's docs; all but the last return the columns of ``documents``.
+
+Defined results: null or empty text is rejected by the first stage; a null doc_id takes part in no group and stays;
+of rows alike in id and text one stays; of equally good copies the one with the smallest doc_id; a null source counts as
+the source '' in the mixing; very long texts go through whole; an empty table gives no rows; columns beside those of
+``documents``, whatever their names, are left out at each stage.
 """
 
 from __future__ import annotations
