@@ -40,6 +40,8 @@ WORDS, PERCENT, FRAGMENTS = 5, 80, 4
 FREQUENT, REPORT, COUNTED, MERGED = 200_000, 5, 500_000, 200_000
 #: Leaders tried in a bucket where more than MANY pairs of different components are left.
 LEADERS, MANY, FIRST_FROM = 8, 256, 20_000
+#: Shingles of a prefix that the last join of buckets carries along.
+HEAD = 64
 SLICE = 500_000  # bytes of text worked on at a time
 
 _random = np.random.default_rng(20240607)
@@ -324,6 +326,24 @@ def _open(live: DataFrame, rooted: DataFrame) -> DataFrame:
     return staged(joined.join(several, "h"), "open_buckets")
 
 
+def _crossing(rest: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, na, b, nb, shared) of nodes of different components that share a bucket; shared as in `_promising`, null where not known yet.
+
+    A pair is made in the bucket of the first shingle that both prefixes hold, not in each bucket it shares: an earlier
+    one among the first HEAD leaves the others out, as the positional bound is widest there. Where both prefixes
+    end within HEAD, their whole overlap is known too, and pairs that `_promising` would drop aren't made.
+    """
+    head = full.select(F.col("row").alias("node"), F.slice("prefix", 1, HEAD).alias("x"), (F.size("prefix") <= HEAD).alias("w"))
+    held = rest.join(head, "node")
+    side = lambda c, mate: held.select("h", F.col("node").alias(c), *[F.col(k).alias(v + c) for k, v in (("n", "n"), ("pos", "p"), ("root", "r"), ("x", "x"), ("w", "w"))]).withColumnRenamed("h", mate)
+    before = lambda c: F.slice(f"x{c}", F.lit(1), F.col(f"p{c}"))
+    rest_of = F.ceil(F.lit(percent) * F.greatest("na", "nb") / F.lit(100)) - 1
+    shared = F.when(F.col("wa") & F.col("wb"), F.size(F.array_intersect("xa", "xb")))
+    enough = shared.isNull() | (shared + rest_of >= _needed(percent))
+    met = (F.col("ha") == F.col("hb")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _may_link(percent)
+    return side("a", "ha").join(side("b", "hb"), met & ~F.arrays_overlap(before("a"), before("b")) & enough).select("a", "na", "b", "nb", shared.alias("shared")).distinct()
+
+
 def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, parts: int = FRAGMENTS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included)."""
     docs = documents(docs)
@@ -362,16 +382,17 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         rooted = components(found, "a", "b")
 
     rest = _open(live, rooted)
-    x = rest.select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"))
-    y = rest.select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"))
-    crossing = x.join(y, (x.h == y.h) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _may_link(percent)).select("a", "na", "b", "nb").distinct()
-    untested = staged(crossing, "crossing")
+    crossing = _crossing(rest, full, percent)
+    crossing = met = staged(crossing, "crossing")
     dropped(rest, buckets)
-    crossing = _promising(untested, full, percent)
-    dropped(untested)
+    untested, rest = met.filter("shared is null").drop("shared"), None
+    if untested.take(1):
+        rest = _promising(untested, full, percent)
+        crossing = met.filter("shared is not null").unionByName(rest)
     if crossing.take(1):
         found = found.union(_similar(docs, nodes, crossing, often, words, percent, parts, found))
         rooted = components(found, "a", "b")
+    dropped(met, rest)
 
     root = F.coalesce("root", "node")
     whole = nodes.join(rooted, "node", "left").select("set_id", "doc_id", root.alias("root"))
