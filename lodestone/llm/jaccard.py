@@ -25,6 +25,7 @@ null; repeated rows each get their row; an empty table gives no rows; other colu
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -320,14 +321,36 @@ def _promising(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 
 
 def _open(live: DataFrame, rooted: DataFrame) -> DataFrame:
-    """The rows (h, node, n, pos, root) of buckets that hold more than one component."""
+    """The rows (h, node, n, pos, root) of buckets that hold more than one component; of buckets with the same nodes the first one's.
+
+    A passage that some texts share makes many such buckets. Their pairs are the same, and the first shingle in the
+    global order, which is the first in each of those prefixes, has the widest positional bound. Nodes are compared by 128 bits.
+    """
     joined = live.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = joined.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("h")
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"m{k}") for k in range(2)]
+    each = joined.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct("node", "pos")).alias("at"), *marks)
+    several = each.filter("lo < hi").groupBy("m0", "m1").agg(F.min(F.struct("at.pos", "h"))["h"].alias("h")).select("h")
     return staged(joined.join(several, "h"), "open_buckets")
 
 
+def _cells(rest: DataFrame, percent: int) -> DataFrame:
+    """The rows of open buckets by cells (h, cell) of like sizes, those of cells that can hold a pair only; ``own`` marks a row's own size.
+
+    A cell spans the ratio of sizes that can be similar, so of a pair the larger one's cell is the smaller one's or the
+    next: a row stands in its own, and in the next too where its place still allows a partner that large.
+    """
+    width = 1.000001 * max(math.log(100 / percent), 0.01)  # a little wider than the ratio, for rounding
+    largest = F.lit((100 + percent) / percent) * (F.col("n") - F.col("pos")) - F.col("n") + F.lit(0.5)
+    cell = lambda n: F.floor(F.log(n) / F.lit(width))
+    own = rest.withColumn("own_cell", cell(F.col("n"))).withColumn("next", (cell(F.greatest(largest, F.col("n"))) > F.col("own_cell")))
+    placed = own.withColumn("cell", F.explode(F.when(F.col("next"), F.array("own_cell", F.col("own_cell") + 1)).otherwise(F.array("own_cell"))))
+    placed = placed.select("h", "cell", "node", "n", "pos", "root", (F.col("cell") == F.col("own_cell")).alias("own"))
+    several = placed.groupBy("h", "cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("own").alias("met")).filter("met and lo < hi")
+    return staged(placed.join(several.select("h", "cell"), ["h", "cell"]), "cells")
+
+
 def _crossing(rest: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, na, b, nb, shared) of nodes of different components that share a bucket; shared as in `_promising`, null where not known yet.
+    """The pairs (a, na, b, nb, shared) of nodes of different components that share a cell of `_cells`; shared as in `_promising`, null where not known yet.
 
     A pair is made in the bucket of the first shingle that both prefixes hold, not in each bucket it shares: an earlier
     one among the first HEAD leaves the others out, as the positional bound is widest there. Where both prefixes
@@ -335,13 +358,14 @@ def _crossing(rest: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """
     head = full.select(F.col("row").alias("node"), F.slice("prefix", 1, HEAD).alias("x"), (F.size("prefix") <= HEAD).alias("w"))
     held = rest.join(head, "node")
-    side = lambda c, mate: held.select("h", F.col("node").alias(c), *[F.col(k).alias(v + c) for k, v in (("n", "n"), ("pos", "p"), ("root", "r"), ("x", "x"), ("w", "w"))]).withColumnRenamed("h", mate)
+    side = lambda c, rows: rows.select(F.col("h").alias(f"h{c}"), F.col("cell").alias(f"c{c}"), F.col("node").alias(c), *[F.col(k).alias(v + c) for k, v in (("n", "n"), ("pos", "p"), ("root", "r"), ("x", "x"), ("w", "w"))])
     before = lambda c: F.slice(f"x{c}", F.lit(1), F.col(f"p{c}"))
     rest_of = F.ceil(F.lit(percent) * F.greatest("na", "nb") / F.lit(100)) - 1
     shared = F.when(F.col("wa") & F.col("wb"), F.size(F.array_intersect("xa", "xb")))
     enough = shared.isNull() | (shared + rest_of >= _needed(percent))
-    met = (F.col("ha") == F.col("hb")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _may_link(percent)
-    return side("a", "ha").join(side("b", "hb"), met & ~F.arrays_overlap(before("a"), before("b")) & enough).select("a", "na", "b", "nb", shared.alias("shared")).distinct()
+    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    met = (F.col("ha") == F.col("hb")) & (F.col("ca") == F.col("cb")) & ordered & (F.col("ra") != F.col("rb")) & _may_link(percent)
+    return side("a", held).join(side("b", held.filter("own")), met & ~F.arrays_overlap(before("a"), before("b")) & enough).select("a", "na", "b", "nb", shared.alias("shared")).distinct()
 
 
 def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, parts: int = FRAGMENTS) -> DataFrame:
@@ -382,9 +406,10 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         rooted = components(found, "a", "b")
 
     rest = _open(live, rooted)
-    crossing = _crossing(rest, full, percent)
-    crossing = met = staged(crossing, "crossing")
+    cells = _cells(rest, percent)
     dropped(rest, buckets)
+    crossing = met = staged(_crossing(cells, full, percent), "crossing")
+    dropped(cells)
     untested, rest = met.filter("shared is null").drop("shared"), None
     if untested.take(1):
         rest = _promising(untested, full, percent)
