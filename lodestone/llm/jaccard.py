@@ -234,7 +234,7 @@ def cut_nodes(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, often, words:
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = staged(nodes.join(wanted, "node").select("node", "set_id", "doc_id"), "wanted")
     texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    cut = fragments(texts, often, words, parts).join(wanted.select("node", "set_id"), "set_id").dropDuplicates(["node"])
+    cut = fragments(texts, often, words, parts).join(wanted.select("node", "set_id"), "set_id").dropDuplicates(["set_id"])
     cut = staged(cut.select("node", "hashes"), "fragments")
     dropped(wanted)
     return cut
@@ -313,7 +313,7 @@ def _may_link(percent: int):
 
 def _promising(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """The pairs whose prefixes share enough, and how many (shared): past its prefix, the one whose prefix ends first in the order has fewer than ``_least`` shingles left to share."""
-    prefix = lambda c: full.select(F.col("row").alias(c), F.col("prefix").alias(f"x{c}"))
+    prefix = lambda c: full.select(F.col("row").alias(c), F.col("prefix").alias(f"x{c}")).join(pairs.select(c).distinct(), c, "left_semi")
     met = pairs.join(prefix("a"), "a").join(prefix("b"), "b")
     left = F.ceil(F.lit(percent) * F.greatest("na", "nb") / F.lit(100)) - 1
     met = met.withColumn("shared", F.size(F.array_intersect("xa", "xb"))).drop("xa", "xb")
@@ -377,8 +377,13 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     nodes = staged(full.groupBy("set_id").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "nodes")
     prefixes = full.select("row", "n", "prefix").join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
     postings = prefixes.select(F.col("row").alias("node"), "n", F.posexplode("prefix").alias("pos", "h"))
-    leaders = postings.groupBy("h").agg(F.min(F.struct("node", "n", "pos")).alias("leader"), F.count("*").alias("size")).filter("size > 1")
-    buckets = live = staged(postings.join(leaders.select("h", "leader"), "h"), "buckets")
+    # most shingles are in one prefix only: they go by their counts, before rows are moved
+    repeated = staged(postings.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1").select("h"), "repeated")
+    held = staged(postings.join(repeated, "h", "left_semi"), "postings")
+    dropped(repeated)
+    leaders = held.groupBy("h").agg(F.min(F.struct("node", "n", "pos")).alias("leader"))
+    buckets = live = staged(held.join(leaders, "h"), "buckets")
+    dropped(held)
     near = live.filter(F.col("node") != F.col("leader.node")).select(F.col("leader.node").alias("a"), F.col("leader.n").alias("na"), F.col("leader.pos").alias("pa"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
     pairs = staged(near.filter(_may_link(percent)).select("a", "na", "b", "nb").distinct(), "pairs")
     found = _similar(docs, nodes, _promising(pairs, full, percent), often, words, percent, parts)
