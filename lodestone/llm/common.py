@@ -7,7 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,3 +84,35 @@ def documents(docs: DataFrame, *extra: str) -> DataFrame:
 def words_of(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text, in order."""
     return F.filter(F.split(text, "[ \\t-\\r]+"), lambda w: w != "")
+
+
+def finite(vector: Column) -> Column:
+    """Whether a vector is there and holds neither null nor non-finite components; an empty one does not."""
+    return vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
+#: Integers made of components stay within this bound, so that exact sums of squares fit 38 digits.
+WIDEST = float(2**55)
+
+
+def floored(vector: Column, scale: float, offset: int = 0) -> Column:
+    """floor(scale * component) + offset of every component, as longs; beyond 2^55 either way the bound is taken."""
+    return F.transform(vector.cast("array<double>"), lambda c: F.floor(F.greatest(F.least(c * scale, F.lit(WIDEST)), F.lit(-WIDEST))).cast("long") + F.lit(offset).cast("long"))
+
+
+def looked_up(big: DataFrame, small: DataFrame, keys: tuple[str, ...], weight: str, n: int, share: int = 1000) -> DataFrame:
+    """``big`` with the columns of ``small`` beside ``keys`` and ``weight``, which has each key once; null keys meet.
+
+    ``weight`` is a key's number of rows in ``big``. Keys of over 1 / ``share`` of the ``n`` rows are so few that they
+    are broadcast; the rest is shuffled, and no key of it is hot. Rows of ``big`` without a match go.
+    """
+    kept = [c for c in small.columns if c not in (*keys, weight)]
+
+    def meet(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        left, right = left.alias("l"), right.alias("r")
+        out = left.join(right, reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]), how)
+        return out.select("l.*", *[f"r.{c}" for c in kept]) if how == "inner" else out
+
+    hot = small.filter(F.col(weight) * share > n)
+    cold = meet(big, F.broadcast(hot.select(*keys)), "left_anti")
+    return meet(big, F.broadcast(hot), "inner").unionByName(meet(cold, small.filter(F.col(weight) * share <= n), "inner"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html, jaccard, licenses, mixing, packing, quality, secrets, tokencounts, tokenfiles
+from . import ann, codes, html, jaccard, licenses, mixing, packing, quality, secrets, tokencounts, tokenfiles, whitening
 from .common import shared_dir, table
 
 
@@ -58,13 +58,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(table(spark, sf_dir, "embeddings")).drop("label")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_mixing, op3_neighbours, op4_token_files, op5_token_counts, op6_licenses, op7_packing, op8_html, op9_jaccard, op10_quality, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_mixing, op3_neighbours, op4_token_files, op5_token_counts, op6_licenses, op7_packing, op8_html, op9_jaccard, op10_quality, op12_whitening, op13_codes, pipeline)}
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -100,4 +108,33 @@ b as (select *, row_number() over (partition by r, unit order by dice desc, lice
 select doc_id, unit::bigint as unit, license, round(dice, 9) as dice from b where k = 1"""
 
 
-ORACLE_SQL = {"op6_licenses": _op6(), "op10_quality": _OP10}
+
+
+def _op13(rounds: int = codes.ROUNDS, parts: int = codes.PARTS, entries: int = codes.ENTRIES) -> str:
+    def nearest(k: int) -> str:
+        return f"""
+far{k} as (select pos, part, weight, e, list_sum(list_transform(range(1, len(part) + 1), lambda i: (part[i] - entry[i]) * (part[i] - entry[i])))::bigint as d from parts join book{k} using (pos)),
+best{k} as (select pos, part, any_value(weight) as weight, arg_min(e, (d, e)) as e, min(d) as d from far{k} group by pos, part)"""
+
+    def replaced(k: int) -> str:
+        return f"""{nearest(k)},
+comps{k} as (select pos, e, i, sum(weight * part[i])::hugeint as s, sum(weight)::hugeint as c from best{k}, range(1, (select w + 1 from size)) as r(i) group by pos, e, i),
+means{k} as (select pos, e, list(((s - ((s % c) + c) % c) // c)::bigint order by i) as entry from comps{k} group by pos, e),
+book{k + 1} as (select pos, e, coalesce(m.entry, b.entry) as entry from book{k} b left join means{k} m using (pos, e))"""
+
+    return f"""
+with kept as (select row_number() over () as r, vec_id, label, list_transform(embedding, lambda c: floor(256 * c::double)::bigint) as x from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+size as (select (max(len(x)) // {parts})::bigint as w from kept),
+cut as (select r, vec_id, label, pos, x[pos * w + 1:(pos + 1) * w] as part from kept, size, range({parts}) as p(pos)),
+parts as (select pos, part, count(*) as weight from cut group by pos, part),
+firsts as (select row_number() over (order by vec_id nulls last, x) - 1 as e, x from kept qualify e < {entries}),
+book0 as (select pos, e, x[pos * w + 1:(pos + 1) * w] as entry from firsts, size, range({parts}) as p(pos)),
+{",".join(replaced(k) for k in range(rounds))},
+{nearest(rounds)},
+sha as (select sha256(string_agg(v, ',' order by pos, e)) as codebooks_sha256 from (select pos, e, array_to_string(entry, ',') as v from book{rounds})),
+coded as (select r, vec_id, label, string_agg(printf('%02x', e), '' order by pos) as code, sum(d)::bigint as error from cut join best{rounds} using (pos, part) group by r, vec_id, label)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from coded, sha"""
+
+
+ORACLE_SQL = {"op6_licenses": _op6(), "op10_quality": _OP10, "op13_codes": _op13()}
