@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, codes, html, jaccard, licenses, mixing, packing, quality, secrets, tokencounts, tokenfiles, whitening
+from . import ann, codes, html, jaccard, licenses, mixing, packing, pii, quality, secrets, tokencounts, tokenfiles, whitening
 from .common import shared_dir, table
 
 
@@ -58,6 +58,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
@@ -72,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_mixing, op3_neighbours, op4_token_files, op5_token_counts, op6_licenses, op7_packing, op8_html, op9_jaccard, op10_quality, op12_whitening, op13_codes, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_mixing, op3_neighbours, op4_token_files, op5_token_counts, op6_licenses, op7_packing, op8_html, op9_jaccard, op10_quality, op11_personal_data, op12_whitening, op13_codes, pipeline)}
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
