@@ -156,7 +156,7 @@ def fresh(kinds: int, hidden: int, draw: np.random.Generator) -> Tagger:
 
 
 def train(samples: list[tuple[str, list[tuple[int, int, int]]]], kinds: int, window: int, hidden: int = 32, steps: int = 500, batch: int = 48, rate: float = 0.012, seed: int = 13) -> Tagger:
-    """A tagger from (text, spans of (kind, start, end)): each step takes windows cut at random places of random samples."""
+    """A tagger from (text, spans of (kind, start, end)): each step takes windows cut at random places of random samples, some beyond their ends."""
     draw = np.random.default_rng(seed)
     model = fresh(kinds, hidden, draw)
     marked = []
@@ -171,7 +171,7 @@ def train(samples: list[tuple[str, list[tuple[int, int, int]]]], kinds: int, win
         x, y = np.zeros((batch, window), np.int64), np.zeros((batch, window), np.int64)
         for j, at in enumerate(draw.integers(0, len(marked), batch)):
             chars, labels = marked[at]
-            lo = int(draw.integers(0, max(1, len(chars) - window + 1)))
+            lo = int(draw.integers(0, max(1, len(chars) - window // 3)))
             part = slice(lo, lo + window)
             x[j, : len(chars[part])], y[j, : len(chars[part])] = chars[part], labels[part]
         _, grads = model.gradients(x, y)

@@ -38,7 +38,9 @@ from .common import documents
 KINDS = ("email", "ip", "card", "phone")
 #: What any span of any kind holds, written alike for Java and Python.
 TRIGGER = r"[0-9@]|[(\[{<][ \t]?[aA][tT][ \t]?[)\]}>]"
-WINDOW, MARGIN, SAMPLES, HIDDEN, STEPS = 96, 40, 6000, 32, 450
+WINDOW, MARGIN = 96, 40
+#: Of the training: samples, characters of a window, size of each direction, steps, windows a step, rate.
+SAMPLES, CUT, HIDDEN, STEPS, BATCH, RATE = 6000, 64, 32, 700, 32, 0.02
 _SPAN = "array<struct<kind:string,start:int,end:int>>"
 
 # the base patterns: lookbehinds and possessive runs only keep a match from being tried again inside a run that failed
@@ -207,7 +209,7 @@ class Samples:
 def trained(seed: int = 29, samples: int = SAMPLES, steps: int = STEPS) -> chartagger.Tagger:
     """The tagger, trained on the driver; the same session trains it once."""
     draw = Samples(seed)
-    return chartagger.train([draw.one() for _ in range(samples)], len(KINDS), WINDOW, HIDDEN, steps)
+    return chartagger.train([draw.one() for _ in range(samples)], len(KINDS), CUT, HIDDEN, steps, BATCH, RATE)
 
 
 # spans of whole texts
@@ -248,11 +250,11 @@ def window_starts(text: str, window: int = WINDOW, margin: int = MARGIN) -> list
             regions.append([lo, hi])
     out = []
     for lo, hi in regions:
-        while True:
-            out.append((lo, min(hi, lo + window)))
-            if lo + window >= hi:
-                break
+        while lo + window < hi:
+            out.append((lo, lo + window))
             lo += window // 2
+        lo = max(0, min(lo, len(text) - window))  # the last one is whole where the text is long enough
+        out.append((lo, min(len(text), lo + window)))
     return out
 
 
