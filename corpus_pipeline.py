@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parqu
 next one's docs; all but the last return the columns of ``documents``.
 
 Defined results: null or empty text is rejected by the first stage; a null doc_id takes part in no group and stays;
-of rows alike in id and text one stays; of equally good copies the one with the smallest doc_id; a null source counts as
+of near copies the row with the smallest doc_id stays, of one id the first; rows of one id and unlike texts all stay; a null source counts as
 the source '' in the mixing; very long texts go through whole; an empty table gives no rows; columns beside those of
 ``documents``, whatever their names, are left out at each stage.
 """
@@ -29,12 +29,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest doc_id. Of rows alike in id and text one stays; documents without id, or without words, stay as they are."""
-    docs = docs.select(*COLUMNS)
-    found = jaccard.similar_components(docs)
-    gone = found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    return left.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(left.filter("doc_id is null"))
+    """One row of each group of near duplicates stays: the one with the smallest doc_id, of one id the first. Rows without id, or without words, stay as they are.
+
+    Rows, not ids, are compared and dropped: two rows of one id may hold different texts. A row is known by its place
+    in ``docs``, which are read from files, so that it is the same each time.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), *COLUMNS)
+    known = rows.filter("doc_id is not null")
+    found = jaccard.similar_components(known.select(F.col("_row").alias("doc_id"), "text")).filter("n_shingles > 0")
+    at = found.select(F.col("doc_id").alias("_row"), "component_id").join(known.select("_row", "doc_id"), "_row")
+    best = at.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("best"))
+    gone = at.select("_row").join(best.select("best._row"), "_row", "left_anti")
+    return rows.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

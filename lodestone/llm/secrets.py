@@ -1,13 +1,16 @@
 """Secret scans, in DataFrame functions only.
 
 Three base patterns give spans; two character Markov models (order one) add more. The models are trained
-from labelled samples, strings drawn at random and ordinary identifiers, and a token is reported where the
-log-likelihood ratio per character exceeds a threshold. What the base patterns found is blanked out before, so
+from labelled samples, strings drawn at random and ordinary identifiers (the names that Python's own library
+defines, cut into words and joined as programs, paths and addresses join them), and a token is reported where the
+log-likelihood ratio per character exceeds a threshold. Letters alone are a word unless their case is mixed inside,
+and a UUID is a name; neither is judged. What the base patterns found is blanked out before, so
 what is left of a token around it is a token of its own. Their table of transition log ratios has a fixed
 size, so it travels in the plan as a literal.
 
 Spans are (kind, start, end) in code points, end exclusive. A text is cut at a pattern's matches; the
-lengths of the pieces before each match give its place, so one pass of the pattern serves all its spans.
+lengths of the pieces before each match give its place, so one pass of the pattern serves all its spans; to
+blank or mask them, the text is cut into blocks once, from which the pieces between spans are taken.
 
 Defined results: null or empty text has no spans; null doc_id is kept; repeated rows are scanned alike; an
 empty table gives no rows; other columns are ignored by ``scan`` and kept by ``redact``.
@@ -16,8 +19,10 @@ empty table gives no rows; other columns are ignored by ``scan`` and kept by ``r
 from __future__ import annotations
 
 import functools
+import importlib
 import math
 import random
+import re
 import string
 
 from pyspark.sql import Column, DataFrame
@@ -33,39 +38,53 @@ PATTERNS = {
     "hex": ("(?<![0-9a-f])[0-9a-f]{24,}+", 0, 24, "(?<![0-9a-f])[0-9a-f]{24}"),
 }
 BASE = tuple(PATTERNS)
-#: A token long enough to be judged by the models; letters alone are a word unless their case is mixed inside.
+#: A token long enough to be judged by the models, what of these is judged, and what is not.
 TOKEN = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+JUDGED, UUID = "[0-9+/_=-]|[a-z][A-Z]", "^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_=-"
-THRESHOLD, SAMPLES = 0.35, 4000
-
-_SPAN = "array<struct<kind:string,start:int,end:int>>"
-
-
-#: Words that programs name things by: the labelled sample of ordinary identifiers is joins of these.
-WORDS = (
-    "abstract accept access account action active adapter address admin agent alias allow amount append apply archive argument array assert asset attach author "
-    "background backup balance base batch before begin bind block body border bottom branch bucket buffer build button bytes cache callback cancel capture category "
-    "channel char check child class clean clear click client clone close cluster code collect color column command comment commit compare complete compute config "
-    "connect constant container content context control convert cookie copy count create current cursor data date debug decode default define delay delete depth "
-    "device digest direct disable dispatch display document domain download driver dump edit element email enable encode engine entry error event exact example "
-    "exception execute exists export extend factory failure feature fetch field file filter final find flag flush folder format forward frame function general "
-    "generate graph group handle hash header height helper hidden history host identity image import index info init input insert instance integer internal "
-    "invalid item iterator join kernel label language layout length level library limit line list load local lock logger lookup manager mapping match"
+THRESHOLD, SAMPLES, RANDOM = 0.35, 1500, 12_000
+#: Modules whose names make the labelled sample of ordinary identifiers.
+MODULES = (
+    "ast asyncio builtins calendar collections concurrent.futures configparser csv datetime decimal difflib email.message errno ftplib functools gzip html.parser http http.client imaplib inspect io "
+    "itertools json locale logging logging.handlers mailbox math mimetypes multiprocessing operator os pathlib pickle platform queue random re sched shutil signal smtplib socket socketserver statistics "
+    "string subprocess tarfile tempfile textwrap threading time tokenize traceback types typing unittest.mock urllib.parse urllib.request uuid warnings weakref xml.dom.minidom xml.sax.handler xmlrpc.client zipfile"
 ).split()
 
-
-def identifiers() -> list[str]:
-    """The labelled sample of ordinary identifiers: joins of ``WORDS`` as programs write them. It is the same in every Python version."""
-    draw = random.Random(11)
-    joins = ("_".join, "-".join, lambda w: "".join(x.title() for x in w), lambda w: w[0] + "".join(x.title() for x in w[1:]), "/".join, lambda w: "_".join(w) + str(draw.randint(0, 99)), lambda w: "_".join(w).upper(), "".join)
-    return [j(draw.choices(WORDS, k=draw.randint(2, 5))) for _ in range(SAMPLES) for j in joins]
+_SPAN = "array<struct<kind:string,start:int,end:int>>"
 
 
-def random_strings() -> list[str]:
+def words(modules=MODULES) -> list[str]:
+    """The words of the names that modules define, and their classes: cut at signs and at changes of case."""
+    names: set[str] = set()
+    for m in map(importlib.import_module, modules):
+        names.update(dir(m))
+        names.update(x for n in dir(m) if isinstance(getattr(m, n, None), type) for x in dir(getattr(m, n)))
+    return sorted({w.lower() for n in names for w in re.findall("[A-Z]?[a-z]+|[A-Z]+(?![a-z])", n) if 3 <= len(w) <= 16})
+
+
+def identifiers(vocabulary: list[str] | None = None, samples: int = SAMPLES, seed: int = 11) -> list[str]:
+    """The labelled sample of ordinary identifiers: joins of words as names, paths, options and dated addresses have them, numbers, rules of signs, runs of the alphabet."""
+    draw, vocabulary = random.Random(seed), vocabulary or words()
+    number = lambda k: "".join(draw.choices(string.digits, k=k))
+    title = lambda w: "".join(x.title() for x in w)
+    short = lambda w: "".join(x.upper() if len(x) < 5 and draw.random() < 0.5 else x.title() for x in w)  # noqa: E731  acronyms
+    date = lambda sep: sep.join([str(draw.randint(1970, 2039)), number(2), number(2)])
+    shapes = (
+        "_".join, "-".join, title, lambda w: w[0] + title(w[1:]), short, "/".join, lambda w: "/".join(w) + "/", lambda w: "/" + "/".join(w), lambda w: "_".join(w).upper(), "".join,
+        lambda w: "_".join(w) + number(draw.randint(1, 3)), lambda w: "-".join(w) + "-" + number(draw.randint(1, 4)), lambda w: short(w) + number(draw.randint(1, 2)), lambda w: "/".join(w[:2]) + "/" + title(w[1:]),
+        lambda w: "--" + "-".join(w), lambda w: "__" + "_".join(w) + "__", lambda w: w[0] + "=" + "_".join(w[1:]), "+".join, lambda w: "-".join(x.title() for x in w), lambda w: "_".join(x.title() for x in w),
+        lambda w: "/".join(short(draw.choices(vocabulary, k=2)) for _ in w), lambda w: f"{w[0]}-{number(1)}/{'-'.join(w[1:])}", lambda w: f"{date('-')}/{'-'.join(w)}", lambda w: f"{date('/')}/{'-'.join(w)}",
+        lambda w: f"{date('')}{number(6)}-{number(6)}", lambda w: number(draw.randint(20, 30)), lambda w: draw.choice("-=_+/") * draw.randint(20, 60), lambda w: draw.choice(["-=", "=-", "+-", "_-", "/-"]) * draw.randint(10, 30),
+    )
+    out = [shape(draw.choices(vocabulary, k=draw.randint(2, 5))) for _ in range(samples) for shape in shapes]
+    return out + [draw.choice([string.ascii_lowercase, string.ascii_uppercase, string.digits * 2])[draw.randint(0, 5) :] for _ in range(samples // 2)]
+
+
+def random_strings(samples: int = RANDOM, seed: int = 7) -> list[str]:
     """The labelled sample of random strings: hexadecimal, base 62, base 64 and its URL form, in either case of letters."""
-    draw = random.Random(7)
+    draw = random.Random(seed)
     kinds = ["0123456789abcdef", "0123456789ABCDEF", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_", string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits]
-    return ["".join(draw.choices(draw.choice(kinds), k=draw.randint(20, 64))) for _ in range(SAMPLES * 3)]
+    return ["".join(draw.choices(draw.choice(kinds), k=draw.randint(20, 64))) for _ in range(samples)]
 
 
 def _transitions(samples: list[str]) -> list[list[float]]:
@@ -97,32 +116,76 @@ def score(token: Column, model: tuple[float, ...]) -> Column:
     return total["sum"] / F.greatest(F.length(token) - 1, F.lit(1))
 
 
-def _before(lengths: Column, block: int = 128) -> Column:
-    """For each of the lengths the sum of those before it.
+def _let(value: Column, body) -> Column:
+    """``body`` of the value, which is worked out once, however often and in whatever loop ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running(values: Column, step, block: int = 128) -> Column:
+    """For each of the values (int) what ``step`` makes of those before it, from 0.
 
-    A fold that appends copies what it has, so it runs within blocks, and once over the blocks' sums: a text of
+    A fold that appends copies what it has, so it runs within blocks, and once over the blocks' results: a text of
     many matches costs their number times ``block``, not its square.
     """
     start = lambda at: F.struct(at.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
-    sums = lambda xs, at: F.aggregate(xs, start(at), lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
-    last = F.floor(F.greatest(F.size(lengths) - 1, F.lit(0)) / block).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(lengths, k * block + 1, block))
-    first = sums(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x)), F.lit(0))
-    return F.when(F.size(lengths) > block, F.flatten(F.zip_with(blocks, first, sums))).otherwise(sums(lengths, F.lit(0)))
+    walk = lambda xs, at: F.aggregate(xs, start(at), lambda a, x: F.struct(step(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(v) - 1, F.lit(0)) / block).cast("int")), lambda k: F.slice(v, k * block + 1, block))
+    long = lambda v: _let(cut(v), lambda blocks: F.flatten(F.zip_with(blocks, _running_ends(blocks, step), walk)))
+    return _let(values, lambda v: F.when(F.size(v) > block, long(v)).otherwise(walk(v, F.lit(0))))
+
+
+def _running_ends(blocks: Column, step) -> Column:
+    """What ``step`` makes of all blocks before each."""
+    done = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), step))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(done, start, lambda a, x: F.struct(step(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
+
+
+def _before(lengths: Column) -> Column:
+    """For each of the lengths the sum of those before it."""
+    return _running(lengths, lambda a, x: a + x)
+
+
+def _blocks(text: Column, size: int) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+
+def _replaced(text: Column, spans: Column, filler, size: int = 2048) -> Column:
+    """The text with ``filler(span, end of all spans before)`` in place of its spans, which are in order of start.
+
+    Each piece is taken from the blocks that it lies in, so the whole costs the text's length and, for each span, a block's.
+    """
+
+    def of(blocks, own):
+        def piece(lo, hi):  # places from 0
+            first, last = F.floor(lo / size).cast("int"), F.floor((hi - 1) / size).cast("int")
+            inside = F.substr(F.get(blocks, first), lo - first * size + 1, hi - lo)
+            head, tail = F.substr(F.get(blocks, first), lo - first * size + 1), F.substr(F.get(blocks, last), F.lit(1), hi - last * size)
+            across = F.concat(head, F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), tail)
+            return F.when(hi <= lo, F.lit("")).when(first == last, inside).otherwise(across)
+
+        ends = F.transform(own, lambda s: s["end"])
+        parts = F.zip_with(own, _running(ends, lambda a, x: F.greatest(a, x)), lambda s, reach: F.concat(piece(reach, s["start"]), filler(s, reach)))
+        return F.concat(F.array_join(parts, ""), _let(F.array_max(ends), lambda end: piece(end, F.length(text))))
+
+    return F.when(F.size(spans) > 0, _let(_blocks(text, size), lambda blocks: _let(spans, lambda own: of(blocks, own)))).otherwise(text)
 
 
 def _matches(text: Column, kind: str, pattern: str, group: int) -> Column:
     """The matches of a pattern, leftmost and non-overlapping, with their places."""
-    matches, groups = (F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in (0, group))
-    pieces = F.slice(F.split(text, pattern, -1), 1, F.size(matches))
-    before = _before(F.zip_with(pieces, matches, lambda p, m: F.length(p) + F.length(m)))
-    zipped = F.arrays_zip(matches.alias("m"), groups.alias("g"), pieces.alias("p"), before.alias("b"))
 
-    def row(x):
-        start = x["b"] + F.length(x["p"])
-        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(x["m"])).alias("end"), x["m"].alias("text"), x["g"].alias("group"))
+    def of(matches, pieces):
+        before = _before(F.zip_with(pieces, matches, lambda p, m: F.length(p) + F.length(m)))
+        zipped = F.arrays_zip(matches.alias("m"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g"), pieces.alias("p"), before.alias("b"))
+
+        def row(x):
+            start = x["b"] + F.length(x["p"])
+            return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(x["m"])).alias("end"), x["m"].alias("text"), x["g"].alias("group"))
 
-    return F.transform(zipped, row)
+        return F.transform(zipped, row)
+
+    every = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return _let(every, lambda matches: _let(F.slice(F.split(text, pattern, -1), 1, F.size(matches)), lambda pieces: of(matches, pieces)))
 
 
 def _at_least(n: int):
@@ -133,17 +196,6 @@ def _bare(found: Column) -> Column:
     return F.transform(found, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
 
-def _blanked(text: Column, spans: Column) -> Column:
-    """The text with spaces, which no token holds, in place of the spans (in order of start)."""
-
-    def step(a, s):
-        start, end = F.greatest(a["at"], s["start"]), F.greatest(a["at"], s["end"])
-        return F.struct(end.alias("at"), F.concat(a["out"], F.substr(text, a["at"] + 1, start - a["at"]), F.repeat(F.lit(" "), end - start)).alias("out"))
-
-    walked = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    return F.when(F.size(spans) > 0, F.concat(walked["out"], F.substr(text, walked["at"] + 1))).otherwise(text)
-
-
 def with_spans(docs: DataFrame, text: str = "text", model: tuple[float, ...] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``base`` and ``spans``: the base patterns' spans, and those together with the models'. ``text`` isn't null."""
     t, none = F.col(text), F.array().cast(_SPAN)
@@ -152,8 +204,11 @@ def with_spans(docs: DataFrame, text: str = "text", model: tuple[float, ...] | N
         docs = docs.withColumn(f"_{kind}", F.when(t.rlike(hint), _bare(found)).otherwise(none))
     docs = docs.withColumn("base", _ordered(F.concat(*[F.col(f"_{k}") for k in BASE]), BASE)).drop(*[f"_{k}" for k in BASE])
     table, left = model or trained(), F.col("_left")
-    docs = docs.withColumn("_left", F.when(t.rlike(TOKEN), _blanked(t, F.col("base"))).otherwise(""))
-    tokens = _bare(F.filter(_matches(left, "markov", TOKEN, 0), lambda s: score(s["text"], table) > threshold))
+    # spaces, which no token holds, in place of the base spans
+    blank = _replaced(t, F.col("base"), lambda s, reach: F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], reach), F.lit(0))))
+    docs = docs.withColumn("_left", F.when(t.rlike(TOKEN), blank).otherwise(""))
+    judged = lambda s: s["text"].rlike(JUDGED) & ~s["text"].rlike(UUID)
+    tokens = _bare(F.filter(_matches(left, "markov", TOKEN, 0), lambda s: judged(s) & (score(s["text"], table) > threshold)))
     docs = docs.withColumn("_more", F.when(left.rlike(TOKEN), tokens).otherwise(none))
     return docs.withColumn("spans", _ordered(F.concat("base", "_more"), (*BASE, "markov"))).drop("_more", "_left")
 
@@ -168,16 +223,8 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", model: tuple[float, ...] | N
     names = docs.columns
     held = docs.select(F.struct(*[F.col(c) for c in names]).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     held = with_spans(held, model=model, threshold=threshold)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(a, s):
-        inside = s["start"] < a["at"]
-        cut = F.concat(a["out"], F.substr(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.lit(mask))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(inside, a["out"]).otherwise(cut).alias("out"))
-
-    walked = F.aggregate("spans", start, step)
-    clean = F.when(F.size("spans") > 0, F.concat(walked["out"], F.substr(F.col("text"), walked["at"] + 1))).otherwise(F.col("row.text"))
-    held = held.select("row", clean.alias("clean"))
+    clean = _replaced(F.col("text"), F.col("spans"), lambda s, reach: F.when(s["start"] >= reach, F.lit(mask)).otherwise(""))
+    held = held.select("row", F.when(F.col("row.text").isNotNull(), clean).alias("clean"))
     new = {"text": F.col("clean"), "n_chars": F.when(F.col("clean").isNotNull(), F.length("clean")).otherwise(F.col("row.n_chars")).cast("long") if "n_chars" in names else None}
     return held.select(*[(new[c] if new.get(c) is not None else F.col("row")[c]).alias(c) for c in names])
 
