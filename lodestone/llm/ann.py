@@ -10,15 +10,17 @@ Index and search cover every row: each vector goes to its most probable part; pa
 of at most about ``block`` rows, and queries likewise, so a task's work is bounded however full a part is;
 each block pair is one matrix product in double precision, and only its best rows leave the task.
 
-Defined results: vectors that are null, zero, of another length than the first sampled one, or that hold
-null or non-finite components take no part; a query with fewer candidates gets all; ties go to the smaller
-id; repeated ids are candidates each, but not of their own id; an empty table gives no rows; other columns
-are ignored.
+Defined results: vectors that are null, zero or hold null or non-finite components take no part; vectors of
+different lengths have no inner product, so a query's candidates are those of its own length: the index is of the
+sample's commonest length, and rows of each other length are one part of their own, every one of which a query
+visits; a query with fewer candidates gets all; ties go to the smaller id; rows of one id are queries and candidates
+each, a row is no candidate of itself only; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,10 +35,13 @@ SAMPLE, PARTS, HIDDEN, RECALL, BLOCK = 8192, 16, 64, 0.97, 16_384
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id and v (array of double) of the vectors that take part."""
+    """vec_id, v (array of double) and row, which tells rows of one id apart, of the vectors that take part.
+
+    ``vectors`` are read from files or otherwise come in the same partitions each time."""
     v = F.col(vector_col).cast("array<double>")
     good = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).filter(good & F.col("vec_id").isNotNull())
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), F.monotonically_increasing_id().alias("row"))
+    return rows.filter(good & F.col("vec_id").isNotNull())
 
 
 def _neighbours(x: np.ndarray, k: int) -> np.ndarray:
@@ -125,11 +130,17 @@ def fit(vectors: DataFrame, parts: int | None = None, sample: int = SAMPLE, reca
 
     Without ``parts`` their number grows with the square root of the vectors', as far as the sample bears (32 vectors a part).
     """
-    parts = parts or max(PARTS, math.isqrt(vectors.count()) // 8)
-    rows = vectors.withColumn("at", F.xxhash64("vec_id")).orderBy("at", "vec_id").limit(sample).select("v").toPandas()["v"]
+    n = vectors.count()
+    parts = parts or max(PARTS, math.isqrt(n) // 8)
+    at = F.xxhash64("vec_id", "row")
+    # a share by hash comes first, twice as large as is wanted, so that few rows meet in the one task that cuts it
+    share = vectors.filter(F.pmod(at, F.lit(1_000_003)) < F.lit(max(1, min(1_000_003, 2 * sample * 1_000_003 // max(1, n)) if n > 4 * sample else 1_000_003)))
+    rows = share.withColumn("at", at).orderBy("at", "vec_id").limit(sample).select("v").toPandas()["v"]
     if not len(rows):
         return None
-    x = np.array([r for r in rows if len(r) == len(rows[0])], np.float64)
+    lengths = Counter(map(len, rows))
+    common = max(lengths, key=lambda k: (lengths[k], -k))
+    x = np.array([r for r in rows if len(r) == common], np.float64)
     parts = max(1, min(parts, len(x) // 32))
     held = len(x) // 8
     graph = _neighbours(x, min(16, len(x) - 1)) if len(x) > 1 else np.zeros((1, 0), np.int64)
@@ -145,11 +156,12 @@ def fit(vectors: DataFrame, parts: int | None = None, sample: int = SAMPLE, reca
 
 
 def search(vectors: DataFrame, queries: DataFrame, index: Index | None, k: int = 20, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: for each query (vec_id, v) its ``k`` best candidates of other ids in the parts it visits."""
+    """query_id, rank, vec_id, score: for each query (vec_id, v, row) its ``k`` best candidates, other rows of its length in the parts it visits."""
     spark = vectors.sparkSession
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dims, shared = len(index.mean), spark.sparkContext.broadcast(index)  # fixed size
+    columns = ["vec_id", "v", "row"]
 
     def route(visits: int):
         def of(batches):
@@ -157,43 +169,44 @@ def search(vectors: DataFrame, queries: DataFrame, index: Index | None, k: int =
                 v = b.column(1)
                 x = v.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims) if len(v) else np.zeros((0, dims))
                 best = shared.value.ranked(x)[:, :visits]
-                yield pa.RecordBatch.from_arrays([b.column(0), v, pa.array(list(best.astype(np.int32)), pa.list_(pa.int32()))], ["vec_id", "v", "parts"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(best.astype(np.int32)), pa.list_(pa.int32()))], [*columns, "parts"])
 
         return of
 
     right = F.size("v") == dims
-    schema = "vec_id long, v array<double>, parts array<int>"
-    homes = staged(vectors.filter(right).mapInArrow(route(1), schema).select("vec_id", "v", F.col("parts")[0].alias("part")), "index")
-    asks = staged(queries.filter(right).mapInArrow(route(index.probes), schema).select("vec_id", "v", F.explode("parts").alias("part")), "asks")
-    # how many blocks each part's rows and queries need: as many rows as parts
+    schema = "vec_id long, v array<double>, row long, parts array<int>"
+    # parts from 0 are the index's; rows of another length go to the part of that length, below 0
+    own = lambda df: df.filter(~right).select(*columns, (-F.size("v")).alias("part"))
+    homes = staged(vectors.select(*columns).filter(right).mapInArrow(route(1), schema).select(*columns, F.col("parts")[0].alias("part")).unionByName(own(vectors)), "index")
+    asks = staged(queries.select(*columns).filter(right).mapInArrow(route(index.probes), schema).select(*columns, F.explode("parts").alias("part")).unionByName(own(queries)), "asks")
+    # how many blocks each part's rows and queries need: as many rows as parts, and as lengths that queries have
     n = homes.groupBy("part").count().join(asks.groupBy("part").agg(F.count("*").alias("q")), "part")
     n = n.select("part", F.ceil(F.col("count") / block).cast("int").alias("rb"), F.ceil(F.col("q") / (block // 4)).cast("int").alias("qb"))
-    n = F.broadcast(n)
-    rows = homes.join(n, "part").select("part", F.pmod(F.xxhash64("vec_id"), F.col("rb")).alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("qb") - F.lit(1).cast("long"))).alias("q"), "vec_id", "v")
-    asks = asks.join(n, "part").select("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rb") - F.lit(1).cast("long"))).alias("r"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("qb")).alias("q"), "vec_id", "v")
+    rows = homes.join(n, "part").select("part", F.pmod(F.xxhash64("vec_id", "row"), F.col("rb")).alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("qb") - F.lit(1).cast("long"))).alias("q"), *columns)
+    asks = asks.join(n, "part").select("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rb") - F.lit(1).cast("long"))).alias("r"), F.pmod(F.xxhash64("vec_id", "row", F.lit(1)), F.col("qb")).alias("q"), *columns)
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(left) and len(right):
-            left = left.sort_values("vec_id", kind="stable")
-            ids, x = left["vec_id"].to_numpy(), np.array(left["v"].tolist(), np.float64)
-            own, q = right["vec_id"].to_numpy(), np.array(right["v"].tolist(), np.float64)
+            left = left.sort_values(["vec_id", "row"], kind="stable")
+            ids, at_row, x = left["vec_id"].to_numpy(), left["row"].to_numpy(), np.array(left["v"].tolist(), np.float64)
+            asked, own, q = right["vec_id"].to_numpy(), right["row"].to_numpy(), np.array(right["v"].tolist(), np.float64)
             size = np.abs(x).max() * x.shape[1]
             for lo in range(0, len(q), 256):
                 s = q[lo : lo + 256] @ x.T
-                s[own[lo : lo + 256, None] == ids] = -np.inf
+                s[own[lo : lo + 256, None] == at_row] = -np.inf
                 top = min(k, len(ids))
                 bar = -np.partition(-s, top - 1, axis=1)[:, top - 1]
                 for j, y in enumerate(q[lo : lo + 256]):
                     # the product's last bits depend on the block's shape: what it can't tell from the bar is summed again in one order
                     at = np.flatnonzero((s[j] >= bar[j] - 1e-11 * size * np.abs(y).max()) & (s[j] > -np.inf))
                     score = (x[at] * y).sum(1)
-                    at, score = (z[np.lexsort((ids[at], -score))[:k]] for z in (at, score))
-                    found.append((np.full(len(at), own[lo + j]), ids[at], score))
-        cols = [np.concatenate(c) for c in zip(*found)] if found else [[], [], []]
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), cols)))
+                    at, score = (z[np.lexsort((at_row[at], ids[at], -score))[:k]] for z in (at, score))
+                    found.append((np.full(len(at), asked[lo + j]), np.full(len(at), own[lo + j]), ids[at], at_row[at], score))
+        cols = [np.concatenate(c) for c in zip(*found)] if found else [[], [], [], [], []]
+        return pd.DataFrame(dict(zip(("query_id", "query_row", "vec_id", "row", "score"), cols)))
 
     keys = ["part", "r", "q"]
-    near = rows.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInPandas(best, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    near = rows.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInPandas(best, "query_id long, query_row long, vec_id long, row long, score double")
+    order = Window.partitionBy("query_id", "query_row").orderBy(F.col("score").desc(), "vec_id", "row")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

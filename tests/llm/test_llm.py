@@ -544,6 +544,58 @@ def test_neighbours_recall_on_the_given_table(spark):
     assert hits / n >= 0.9
 
 
+def brute_neighbours(rows, picked, k=20):
+    """Of each picked row: scores and ids of the best other rows of its length."""
+    good = [(i, np.array(v, float)) for i, v in rows if v and all(c is not None and math.isfinite(c) for c in v) and any(v)]
+    out = []
+    for at, (i, v) in enumerate(good):
+        if picked(i):
+            best = sorted((-float((w * v).sum()), j) for b, (j, w) in enumerate(good) if b != at and len(w) == len(v))[:k]
+            out.append((i, tuple((j, round(-s, 9)) for s, j in best)))
+    return sorted(out)
+
+
+def test_neighbours_of_mixed_lengths_and_repeated_ids(spark, tmp_path):
+    draw = random.Random(12)
+    vec = lambda n: [draw.gauss(0, 1) for _ in range(n)]
+    rows = [(k, vec(3)) for k in range(200)] + [(900, vec(2)), (920, vec(2)), (940, vec(5)), (960, [0.0, 0.0]), (980, None), (1000, [1.0, None, 2.0])]
+    rows += [(20, vec(3)), (20, rows[20][1]), (40, vec(2)), (7, vec(3))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("row", F.lit("clash")).repartition(4).write.parquet(f"{tmp_path}/v.parquet")
+    v = ann.usable(spark.read.parquet(f"{tmp_path}/v.parquet"))
+    asks = v.filter("vec_id % 20 = 0")
+    n = asks.count()
+    index = ann.fit(v)
+    index.probes = index.parts  # all parts, so that the result is exact
+    got = ann.search(v, asks, index).collect()
+    want = brute_neighbours(rows, lambda i: i % 20 == 0)
+    assert len(want) == n and len(got) == sum(len(b) for _, b in want)
+    by = {}
+    for r in got:
+        by.setdefault(r["query_id"], []).append((r["vec_id"], round(r["score"], 9)))
+    mine = {}
+    for i, best in want:
+        mine.setdefault(i, []).extend(best)
+    assert {i: sorted(b) for i, b in by.items()} == {i: sorted(b) for i, b in mine.items() if b}
+
+
+def test_neighbours_of_clustered_vectors_visit_few_parts(spark):
+    draw = np.random.default_rng(4)
+    centres = draw.standard_normal((60, 16)) * 3
+    x = centres[draw.integers(0, 60, 12_000)] + draw.standard_normal((12_000, 16)) * 0.4
+    v = ann.usable(spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "vec_id long, embedding array<double>"))
+    index = ann.fit(v)
+    assert index.probes <= index.parts // 2
+    found = {}
+    for r in ann.search(v, v.filter("vec_id % 100 = 0"), index).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for k in range(0, 12_000, 100):
+        s = x @ x[k]
+        s[k] = -np.inf
+        hits += len(found[k] & set(np.argsort(-s, kind="stable")[:20].tolist()))
+    assert hits >= 0.9 * 20 * 120
+
+
 def test_columns_that_clash(spark, docs):
     mixed = mixing.mix(docs.withColumn("mix_pass", F.lit("x")).withColumn("mix_order", F.lit(1)).withColumn("row", F.lit(2)))
     assert mixed.columns.count("mix_pass") == 1 and mixed.select("mix_pass", "mix_order").count() > 0
