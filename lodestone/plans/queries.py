@@ -745,4 +745,4 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return search_knowledge(spark, d)
 
 
-from . import reads  # noqa: E402, F401  registers its queries
+from . import drafts, reads  # noqa: E402, F401  they register their queries
