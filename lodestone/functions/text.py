@@ -112,10 +112,11 @@ def sentence_window(text: Column, anchor: Column, radius: int = 1, ends: str = "
     return F.when(F.size(parts) > 0, F.array_join(F.slice(parts, first, index + radius - first + 1), "")).otherwise("")
 
 
-def truncate_to_tokens(c: Column, most: int) -> Column:
+def truncate_to_tokens(c: Column, most: int | Column) -> Column:
     """The longest prefix of at most ``most`` estimated tokens, cut at its last line end where that lies past its half."""
+    most = F.lit(most) if isinstance(most, int) else most
     # the k-th character ends a prefix that fits while four times its wide characters and its others fit four times most
-    chars = F.split(F.substring(c, 1, 4 * most + 4), "")
+    chars = F.split(F.substr(c, F.lit(1), (most * 4 + 4).cast("int")), "")
     fits = F.aggregate(
         chars, F.struct(F.lit(0).alias("wide"), F.lit(0).alias("other"), F.lit(0).alias("n"), F.lit(True).alias("on")),
         lambda a, x: F.struct(
@@ -127,4 +128,4 @@ def truncate_to_tokens(c: Column, most: int) -> Column:
     cut = F.substr(c, F.lit(1), fits)
     at = F.length(cut) - F.instr(F.reverse(cut), "\n")  # characters before the last line end
     by_line = F.when((F.instr(cut, "\n") > 0) & (at > F.floor(F.length(cut) / 2)), F.substr(cut, F.lit(1), at)).otherwise(cut)
-    return F.when(F.lit(most <= 0) | c.isNull(), "").when(estimate_tokens(c) <= most, c).otherwise(F.regexp_replace(by_line, "\\s+$", ""))
+    return F.when((most <= 0) | c.isNull(), "").when(estimate_tokens(c) <= most, c).otherwise(F.regexp_replace(by_line, "\\s+$", ""))

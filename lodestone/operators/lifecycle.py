@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import registry
+from ..sources.staging import staged
+
 
 def _fact():
     return Window.partitionBy("subject_id", "predicate")
@@ -96,41 +98,53 @@ def states(claims: DataFrame, disputed: DataFrame) -> DataFrame:
     return claims.filter("status <> 'rejected'").join(d, "id", "left").select("id", s.alias("state"))
 
 
+def _older(edges: DataFrame) -> DataFrame:
+    """a, b: of each newer claim the first claim (the smallest id) that it supersedes."""
+    return edges.filter("source_id <> target_id").groupBy(F.col("source_id").alias("a")).agg(F.min("target_id").alias("b"))
+
+
+def _doubled(jump: DataFrame) -> DataFrame:
+    """Steps of twice the length."""
+    return jump.join(jump.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
+
+
 def supersede_chains(edges: DataFrame) -> DataFrame:
-    """root (a claim nothing supersedes), id, depth along supersede edges newer to older, a row for each way from root to id.
+    """root (a claim nothing supersedes), id, depth: from each root along the first edge of each claim, newer to older.
 
-    The walk doubles its length each round, with what is reached and all ways of that length joined, until
-    nothing new is found. A way ends before it meets a claim again; loops are reported by `supersede_cycles`.
+    Steps are doubled each round, and what is reached is a pair and a depth, so a chain of n costs n rows and a
+    logarithm of rounds. Where a chain runs into a loop, each claim has its first depth; `supersede_cycles` reports loops.
     """
-    e = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
-    roots = e.join(e.select(F.col("b").alias("a")), "a", "left_anti")
-    # localCheckpoint cuts the plan, which would double each round as well
-    step = lambda df: df.select("a", "b", F.array("b").alias("way")).localCheckpoint()
-    jump, out = step(e.filter("a <> b")), step(roots)
-    while True:
-        ends = jump.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("way").alias("more"))
-        longer = lambda df: df.join(ends, "b").filter((F.col("c") != F.col("a")) & ~F.array_contains("more", F.col("a")) & ~F.arrays_overlap("way", "more")).select("a", F.col("c").alias("b"), F.concat("way", "more").alias("way")).localCheckpoint()
-        # what is deeper than the jumps are long is reached from what is so much less deep
-        new = longer(out)
-        if new.isEmpty():
+    jump = staged(_older(edges), "older")
+    roots = jump.join(edges.filter("source_id <> target_id").select(F.col("target_id").alias("a")), "a", "left_anti")
+    out, length = staged(roots.select(F.col("a").alias("root"), F.col("b").alias("id"), F.lit(1).cast("long").alias("depth")), "chains"), 1
+    n = out.count()
+    while n:
+        further = out.join(jump.select(F.col("a").alias("id"), "b"), "id").select("root", F.col("b").alias("id"), (F.col("depth") + length).alias("depth"))
+        out = staged(out.unionByName(further).groupBy("root", "id").agg(F.min("depth").alias("depth")), "chains")
+        last, n = n, out.count()
+        if n == last:
             break
-        out, jump = out.unionByName(new).localCheckpoint(), longer(jump)
-    return out.select(F.col("a").alias("root"), F.col("b").alias("id"), F.size("way").alias("depth"))
+        jump, length = staged(_doubled(jump), "older"), 2 * length
+    return out.select("root", "id", F.col("depth").cast("int").alias("depth"))
 
 
 def supersede_cycles(edges: DataFrame) -> DataFrame:
-    """id of each claim on a loop of supersede edges, or on a way from one loop to another.
+    """id of each claim on a loop of first edges: where steps longer than there are claims still lead."""
+    jump, length = staged(_older(edges), "older"), 1
+    n = jump.count()
+    while length <= n and not jump.isEmpty():
+        jump, length = staged(_doubled(jump), "older"), 2 * length
+    return jump.select(F.col("b").alias("id")).distinct()
 
-    These begin and end walks of any length: walks are doubled until they are longer than there are edges.
-    """
-    e = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).filter("a <> b").distinct().localCheckpoint()
-    n, length = e.count(), 1
-    while length <= n:
-        e = e.join(e.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct().localCheckpoint()
-        if e.isEmpty():
-            break
-        length *= 2
-    return e.select(F.col("a").alias("id")).distinct().join(e.select(F.col("b").alias("id")), "id", "left_semi")
+
+def supersede_recommended(relationship: Column, functional: Column, temporal: Column, evolution: Column, signal: Column) -> Column:
+    """Whether to offer a supersession: a contradiction of a functional, temporal, supersedable predicate with a sign of change."""
+    return (relationship == "contradicts") & functional & temporal & (F.coalesce(evolution, F.lit("supersedable")) == "supersedable") & F.coalesce(signal.isin(*registry.EVOLUTION_SIGNALS), F.lit(False))
+
+
+def canonical_pair(a: Column, b: Column) -> Column:
+    """One key for both orders of a pair."""
+    return F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
 
 def effective_periods(claims: DataFrame, edges: DataFrame) -> DataFrame:
