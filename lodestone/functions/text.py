@@ -84,7 +84,8 @@ def clamp(c: Column, low: float, high: float) -> Column:
 
 def preview(*texts: Column, limit: int = 240) -> Column:
     """The first of the texts that isn't blank, white space collapsed, cut at ``limit`` characters."""
-    return F.substring(F.trim(F.regexp_replace(F.coalesce(*[F.when(F.trim(t) != "", t) for t in texts], F.lit("")), "\\s+", " ")), 1, limit)
+    tidy = [F.trim(F.regexp_replace(t, "(?U)\\s+", " ")) for t in texts]
+    return F.substring(F.coalesce(*[F.when(t != "", t) for t in tidy], F.lit("")), 1, limit)
 
 
 def passthrough(properties: Column, limit: int = 200) -> Column:
@@ -102,10 +103,11 @@ def canonical(c: Column, names, aliases: dict[str, str]) -> Column:
     return out
 
 
-def sentence_window(text: Column, anchor: Column, radius: int = 1, ends: str = "(?<=[。！？!?])|(?<=\\.)\\s|\\n") -> Column:
+def sentence_window(text: Column, anchor: Column, radius: int = 1, ends: str = "(?<=[。！？!?；;])|(?<=\\.\\s)|\\n+") -> Column:
     """The first sentence that holds the anchor's first 24 characters (else the first of all), with ``radius`` neighbours on each side."""
-    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ends), F.trim), lambda s: s != "")
-    needle = F.substring(F.trim(F.coalesce(anchor, F.lit(""))), 1, 24)
+    strip = lambda c: F.regexp_replace(c, "(?U)^\\s+|\\s+$", "")
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ends), strip), lambda s: s != "")
+    needle = F.substring(strip(F.coalesce(anchor, F.lit(""))), 1, 24)
     hit = F.when(needle != "", F.array_position(F.transform(parts, lambda s: s.contains(needle)), True)).otherwise(0)
     index = F.greatest(hit.cast("int"), F.lit(1))
     first = F.greatest(index - radius, F.lit(1))

@@ -110,13 +110,19 @@ def graph_edges_limited(spark, d):
     return reads.limited_neighborhood(kb.relations(spark, d), kb.entities(spark, d), "n:1", 2, 12)
 
 
-@query("select 'e' || a as a_id, 'e' || b as b_id, round(1.0::double / (a + b), 6) as similarity from range(1, 30) x(a), range(1, 30) y(b) where a < b and (a + b) % 5 <> 0 order by similarity desc, a_id, b_id limit 40", prelude=False)
+_PAIRS = """, pr as (select case when a.c_custkey % 2 = 0 then a.c_custkey else b.c_custkey end as a_id, case when a.c_custkey % 2 = 0 then b.c_custkey else a.c_custkey end as b_id, round(1.0::double / (1 + abs(a.c_acctbal - b.c_acctbal)), 6) as similarity
+ from customer a join customer b on a.c_nationkey = b.c_nationkey and a.c_mktsegment = b.c_mktsegment and a.c_custkey < b.c_custkey)"""
+
+
+@query(_PAIRS + " select a_id, b_id, similarity from pr where (a_id + b_id) % 5 <> 0 order by similarity desc, a_id, b_id limit 40")
 def undecided_pairs(spark, d):
-    name = lambda c: F.concat(F.lit("e"), F.col(c).cast("string"))
-    n = spark.range(1, 30)
-    pairs = n.select(F.col("id").alias("a"), F.explode(F.sequence(F.col("id") + 1, F.lit(30))).alias("b")).filter("b < 30")
-    pairs = pairs.select(name("a").alias("a_id"), name("b").alias("b_id"), F.round(1.0 / (F.col("a") + F.col("b")), 6).alias("similarity"), ((F.col("a") + F.col("b")) % 5).alias("m"))
-    return reads.undecided(pairs.drop("m"), pairs.filter("m = 0").select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id")), 40)
+    """Customers of one nation and segment, the two named in one order or the other; decided ones are named the other way round."""
+    c = kb.table(spark, d, "customer")
+    a, b = (c.select(F.col("c_custkey").alias(x), F.col("c_acctbal").alias(f"{x}_bal"), "c_nationkey", "c_mktsegment") for x in "ab")
+    even = F.col("a") % 2 == 0
+    pairs = a.join(b, ["c_nationkey", "c_mktsegment"]).filter("a < b").select(F.when(even, F.col("a")).otherwise(F.col("b")).alias("a_id"), F.when(even, F.col("b")).otherwise(F.col("a")).alias("b_id"), F.round(1.0 / (1 + F.abs(F.col("a_bal") - F.col("b_bal"))), 6).alias("similarity"))
+    decided = pairs.filter((F.col("a_id") + F.col("b_id")) % 5 == 0).select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"))
+    return reads.undecided(pairs, decided, 40)
 
 
 @query("select surface, id from (values ('EUROPE', 'r:3'), (' asia ', 'r:2'), ('gaul', 'n:6'), ('asia', 'r:2'), ('nowhere', null), ('', null)) t(surface, id)", prelude=False)
@@ -175,47 +181,58 @@ def evidence_previews(spark, d):
     return docs.select("id", tx.preview(F.lit("  "), F.lit(None).cast("string"), F.col("content")).alias("preview"))
 
 
-_WIDE = "(values (1, '你好世界', 4), (2, 'abcd', 1), (3, 'abcde', 2), (4, '你a', 2), (5, '', 0), (6, '한글', 1), (7, 'カナ！', 3), (8, '豈abcd', 2), (9, null, 0)) t(id, t, tokens)"
-
-
-@query(f"select id, tokens::bigint as tokens from {_WIDE}", prelude=False)
+@query("select doc_id, doc_id % 7 + ceil(length(text) / 4)::bigint as tokens from documents", prelude=False)
 def token_estimates_wide(spark, d):
-    rows = [(1, "你好世界"), (2, "abcd"), (3, "abcde"), (4, "你a"), (5, ""), (6, "한글"), (7, "カナ！"), (8, "豈abcd"), (9, None)]
-    return spark.createDataFrame(rows, "id int, t string").select("id", tx.estimate_tokens(F.col("t")).alias("tokens"))
+    wide = F.concat(F.expr("repeat('字', cast(doc_id % 7 as int))"), F.col("text"))
+    return kb.table(spark, d, "documents").select("doc_id", tx.estimate_tokens(wide).alias("tokens"))
 
 
-@query("select id, t from (values (1, 'abcdefgh'), (2, 'abcdefghijkl'), (3, '你好世'), (4, 'aaaaaaaa'), (5, 'a' || chr(10) || 'bb'), (6, '你ab'), (7, '')) x(id, t)", prelude=False)
+@query(r"""with t as (select conv_id, turn, replace(text, '. ', '.' || chr(10)) as t, (turn % 9 + 1) * 3 as most from conversations), c as (select *, t[1:4 * most] as cut from t),
+l as (select *, length(cut) - position(chr(10) in reverse(cut)) as line from c)
+select conv_id, turn, case when ceil(length(t) / 4) <= most then t else regexp_replace(case when contains(cut, chr(10)) and line > length(cut) // 2 then cut[1:line] else cut end, '\s+$', '') end as t from l""", prelude=False)
 def token_truncation(spark, d):
-    rows = [(1, "abcdefgh"), (2, "abcdefghijklmnop"), (3, "你好世界人"), (4, "aaaaaaaa\nbbbbbb"), (5, "a\nbbbbbbbbbbbbbbbbbbb"), (6, "你ab"), (7, None)]
-    df = spark.createDataFrame(rows, "id int, t string")
-    cut = F.when(F.col("id") == 5, tx.truncate_to_tokens(F.col("t"), 1)).otherwise(tx.truncate_to_tokens(F.col("t"), 3))
-    return df.select("id", cut.alias("t"))
+    turns = kb.table(spark, d, "conversations").withColumn("t", F.replace("text", F.lit(". "), F.lit(".\n")))
+    return turns.select("conv_id", "turn", tx.truncate_to_tokens(F.col("t"), ((F.col("turn") % 9 + 1) * 3).cast("int")).alias("t"))
 
 
-@query("select id, s as start, e as \"end\", q as quote, f as found from (values (1, 104, 109, 'brown', true), (2, 100, 130, 'quick   brown', true), (3, 100, 130, 'ＱＵＩＣＫ-brown', true), (4, 100, 130, 'thx quick brown fox', true), (5, 100, 130, 'nothing like it', false), (6, 100, 130, null, false)) t(id, s, e, q, f)", prelude=False)
-def quote_localisation(spark, d):
-    text = "a\n  brown\n"
-    rows = [(1, text, " brown "), (2, "the quick brown fox", "quick   brown"), (3, "the quick, brown fox", "ＱＵＩＣＫ-brown"), (4, "first\nthe quick brown fox\nlast", "thx quick brown fox"), (5, "the quick brown fox", "nothing like it"), (6, text, "  ")]
-    df = spark.createDataFrame(rows, "id int, c string, q string")
-    return df.select("id", locate_quote(F.col("c"), F.col("q"), F.lit(100).cast("long"), F.lit(130).cast("long")).alias("p")).select("id", "p.*")
+_QUOTED = """with q as (select conv_id, turn, text, conv_id * 1000 as s, conv_id * 1000 + length(text) as e, trim(text[5:24]) as piece, case turn % 4 when 0 then ' ' || text[5:24] || ' ' when 1 then replace(trim(text[5:24]), ' ', '   ') when 2 then replace(upper(trim(text[5:24])), ' ', '-') else 'zzzz qqqq' end as quote from conversations)
+select conv_id, turn, case when turn % 4 = 0 or turn % 4 = 1 and not contains(piece, ' ') then s + position(piece in text) - 1 else s end as start,
+ case when turn % 4 = 0 or turn % 4 = 1 and not contains(piece, ' ') then s + position(piece in text) - 1 + length(piece) else e end as "end", turn % 4 < 3 as found from q"""
 
 
-@query("select id, w from (values (1, 'One.Two.Three.'), (2, 'Two.Three.'), (3, 'One.Two.'), (4, ''), (5, '甲。乙！')) t(id, w)", prelude=False)
+@query(_QUOTED, prelude=False)
+def quote_localisation(spark, d):
+    """Quotes as they stand, with wider blanks, in capitals with other signs, and of nothing that is there."""
+    piece = F.trim(F.substring("text", 5, 20))
+    kind = F.col("turn") % 4
+    quote = F.when(kind == 0, F.concat(F.lit(" "), F.substring("text", 5, 20), F.lit(" "))).when(kind == 1, F.replace(piece, F.lit(" "), F.lit("   "))).when(kind == 2, F.replace(F.upper(piece), F.lit(" "), F.lit("-"))).otherwise("zzzz qqqq")
+    start = F.col("conv_id") * 1000
+    at = locate_quote(F.col("text"), quote, start, start + F.length("text"))
+    return kb.table(spark, d, "conversations").select("conv_id", "turn", at.alias("p")).select("conv_id", "turn", "p.start", "p.end", "p.found")
+
+
+@query(r"""with t as (select doc_id, text, split_part(text, ' ', 40) as anchor from documents),
+p as (select *, list_filter(list_transform(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([。！？!?；;])', '\1' || chr(10), 'g'), '(\.\s)', '\1' || chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as parts, regexp_replace(anchor, '^\s+|\s+$', '', 'g')[1:24] as needle from t),
+i as (select *, greatest(coalesce(case when needle <> '' then list_position(list_transform(parts, lambda x: contains(x, needle)), true) end, 1), 1) as i from p)
+select doc_id, coalesce(array_to_string(parts[greatest(i - 1, 1):i + 1], ''), '') as w from i""", prelude=False)
 def sentence_windows(spark, d):
-    rows = [(1, "One. Two. Three.", "Two"), (2, "One. Two. Three.", "Three"), (3, "One. Two. Three.", "missing"), (4, None, "x"), (5, "甲。乙！丙", None)]
-    return spark.createDataFrame(rows, "id int, t string, a string").select("id", tx.sentence_window(F.col("t"), F.col("a")).alias("w"))
+    anchor = F.split_part("text", F.lit(" "), F.lit(40))
+    return kb.table(spark, d, "documents").select("doc_id", tx.sentence_window(F.col("text"), anchor).alias("w"))
 
 
-@query("select id, ok from (values (1, true), (2, true), (3, false), (4, true)) t(id, ok)", prelude=False)
+@query("""with t as (select conv_id, turn, case turn % 4 when 0 then []::varchar[] when 1 then ['user'] else [role] end as a, case conv_id % 3 when 0 then []::varchar[] when 1 then ['user', 'x'] else ['assistant'] end as b from conversations)
+select conv_id, turn, len(a) = 0 or len(b) = 0 or list_has_any(a, b) as ok from t""", prelude=False)
 def type_compatibility(spark, d):
-    rows = [(1, ["A"], []), (2, ["A", "B"], ["B"]), (3, ["A"], ["C"]), (4, [], [])]
-    return spark.createDataFrame(rows, "id int, a array<string>, b array<string>").select("id", tx.types_compatible(F.col("a"), F.col("b")).alias("ok"))
+    none = F.array().cast("array<string>")
+    a = F.when(F.col("turn") % 4 == 0, none).when(F.col("turn") % 4 == 1, F.array(F.lit("user"))).otherwise(F.array("role"))
+    b = F.when(F.col("conv_id") % 3 == 0, none).when(F.col("conv_id") % 3 == 1, F.array(F.lit("user"), F.lit("x"))).otherwise(F.array(F.lit("assistant")))
+    return kb.table(spark, d, "conversations").select("conv_id", "turn", tx.types_compatible(a, b).alias("ok"))
 
 
-@query("select id, v from (values (1, 'positive'), (2, 'negative'), (3, null), (4, 'positive')) t(id, v)", prelude=False)
+@query("select event_id, case event_type when 'view' then 'seen' when 'click' then 'click' when 'purchase' then 'buy' end as v from events", prelude=False)
 def enum_canonical(spark, d):
-    rows = [(1, " Positive "), (2, "neg"), (3, "other"), (4, "POS")]
-    return spark.createDataFrame(rows, "id int, t string").select("id", tx.canonical(F.col("t"), ("positive", "negative"), {"pos": "positive", "neg": "negative"}).alias("v"))
+    written = F.concat(F.lit(" "), F.initcap("event_type"), F.lit(" "))
+    return kb.table(spark, d, "events").select("event_id", tx.canonical(written, ("click", "seen", "buy"), {"view": "seen", "purchase": "buy"}).alias("v"))
 
 
 #: (text, its class, whether its name drops) by the rules for objects and names.
@@ -229,7 +246,9 @@ _OBJECTS = (
 _OBJECT_SQL = ", ".join(f"({k}, '{c}', '{'drop' if drop or c == 'literal' else 'keep'}', {str(not drop and c != 'literal').lower()})" for k, (_, c, drop) in enumerate(_OBJECTS))
 
 
-@query(f"select id, c as object_class, e as eligibility, p as plausible from (values {_OBJECT_SQL}) t(id, c, e, p)", prelude=False)
+@query(f"select event_id, c as object_class, e as eligibility, p as plausible from events join (values {_OBJECT_SQL}) t(id, c, e, p) on id = event_id % {len(_OBJECTS)}", prelude=False)
 def object_rules(spark, d):
-    df = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(_OBJECTS)], "id int, t string")
-    return df.select("id", classify.object_class(F.col("t"), F.lit(False)).alias("object_class"), classify.eligibility(F.col("t"), F.lit(True)).alias("eligibility"), classify.plausible_subject(F.col("t")).alias("plausible"))
+    """The forms, whose classes were worked out by hand, as the objects of all events."""
+    form = F.element_at(F.array(*[F.lit(t) for t, _, _ in _OBJECTS]), (F.col("event_id") % len(_OBJECTS) + 1).cast("int"))
+    df = kb.table(spark, d, "events").select("event_id", form.alias("t"))
+    return df.select("event_id", classify.object_class(F.col("t"), F.lit(False)).alias("object_class"), classify.eligibility(F.col("t"), F.lit(True)).alias("eligibility"), classify.plausible_subject(F.col("t")).alias("plausible"))
