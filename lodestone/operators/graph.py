@@ -5,15 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
 
 def neighborhood(edges: DataFrame, root: str, depth: int) -> DataFrame:
-    """id and hop (1 to ``depth``, at most 3) of the nodes around a root: one pair of equi-joins a hop, no OR-join."""
+    """id and hop (1 to ``depth``, at most 3) of the nodes around a root: one pair of equi-joins a hop, no OR-join.
+
+    Each frontier is a table of its own, so a hop's plan holds neither the hops before it nor their edges again.
+    """
     both = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).unionByName(edges.select(F.col("target_id").alias("a"), F.col("source_id").alias("b")))
-    frontier = both.filter(F.col("a") == root).select(F.col("b").alias("id")).filter(F.col("id") != root).distinct().withColumn("hop", F.lit(1))
+    both = staged(both, "edges") if depth > 1 else both
+    first = both.filter(F.col("a") == root).select(F.col("b").alias("id")).filter(F.col("id") != root).distinct().withColumn("hop", F.lit(1))
+    frontier = staged(first, "frontier") if depth > 1 else first
     seen = frontier
     for k in range(2, max(1, min(depth, 3)) + 1):
         step = both.join(frontier.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).filter(F.col("id") != root).distinct()
-        frontier = step.join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(k))
+        frontier = staged(step.join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(k)), "frontier")
         seen = seen.unionByName(frontier)
     return seen
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
 from .retrieval import with_names
 
 
@@ -161,6 +163,7 @@ def limited_neighborhood(edges: DataFrame, names: DataFrame, root: str, depth: i
         if out is not None:
             step = step.join(out, ["source_id", "predicate", "target_id"], "left_anti")
         step = step.orderBy("source_id", "predicate", "target_id").limit(per_hop).withColumn("hop", F.lit(hop))
+        step = staged(step, "hop") if depth > 1 else step  # ``per_hop`` rows, not planned again by the hops after it
         out = step if out is None else out.unionByName(step)
         ends = step.select(F.col("source_id").alias("id")).union(step.select("target_id")).distinct()
         frontier = ends.join(seen, "id", "left_anti")

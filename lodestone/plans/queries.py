@@ -745,4 +745,4 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return search_knowledge(spark, d)
 
 
-from . import drafts, reads, state  # noqa: E402, F401  they register their queries
+from . import drafts, knowledge, reads, state  # noqa: E402, F401  they register their queries
