@@ -42,3 +42,20 @@ def touching(claims: DataFrame, ids: DataFrame) -> DataFrame:
     s = claims.join(ids.select(F.col("id").alias("subject_id")), "subject_id", "left_semi").select(claims.columns)
     o = claims.join(ids.select(F.col("id").alias("object_id")), "object_id", "left_semi").select(claims.columns)
     return s.unionByName(o).dropDuplicates(["id"])
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """id, component (the smallest id reachable) of the nodes of undirected edges (a, b).
+
+    Each round a node takes its neighbours' smallest label and then its label's label, so long paths shrink by doubling.
+    """
+    both = staged(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "links")
+    labels = staged(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    while True:
+        near = both.join(labels.select(F.col("id").alias("b"), F.col("component").alias("_near")), "b").groupBy(F.col("a").alias("id")).agg(F.min("_near").alias("_near"))
+        step = labels.join(near, "id").select("id", F.col("component").alias("_was"), F.least("component", "_near").alias("_now"))
+        jump = labels.select(F.col("id").alias("_now"), F.col("component").alias("_root"))
+        step = staged(step.join(jump, "_now", "left").select("id", "_was", F.least("_now", F.coalesce("_root", "_now")).alias("component")), "labels")
+        labels = step.select("id", "component")
+        if step.filter(F.col("_was") != F.col("component")).isEmpty():
+            return labels
