@@ -544,6 +544,35 @@ def test_neighbours_recall_on_the_given_table(spark):
     assert hits / n >= 0.9
 
 
+def test_join_branches_that_large_tables_take(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FIRST_FROM", -1)
+    monkeypatch.setattr(jaccard, "MANY", 0)
+    monkeypatch.setattr(jaccard, "HEAD", 3)
+    draw, rows = random.Random(21), []
+    for group in range(4):
+        base = [f"g{group}w{k}" for k in range(90)]
+        for _ in range(10):
+            near = list(base)
+            for at in draw.sample(range(90), draw.choice([0, 1, 2, 3])):
+                near[at] = f"x{draw.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(near)))
+    rows += [(len(rows), "all of them begin with the same five words " + " ".join(f"y{k}_{j}" for j in range(60))) for k in range(3)]
+    sets = {k: shingles(t) for k, t in rows}
+    root = {k: k for k in sets}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i, j in itertools.combinations(sets, 2):
+        if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {k: find(k) for k in sets} and len(set(got.values())) < len(rows)
+
+
 def brute_neighbours(rows, picked, k=20):
     """Of each picked row: scores and ids of the best other rows of its length."""
     good = [(i, np.array(v, float)) for i, v in rows if v and all(c is not None and math.isfinite(c) for c in v) and any(v)]
