@@ -99,9 +99,9 @@ def lexical_search(spark, d):
     return retrieval.lexical(kb.documents(spark, d), _QUERY, 100)
 
 
-@query("select id, 0.0::double as score from kb_document where contains(lower(title), 'src7-17') or contains(lower(content), 'src7-17') order by id limit 50")
+@query("select id, 0.0::double as score from kb_document where contains(lower(title), 'src1-1') or contains(lower(content), 'src1-1') order by id limit 50")
 def lexical_fallback(spark, d):
-    return retrieval.contains_any_term(kb.documents(spark, d), ["src7-17"]).select("id", F.lit(0.0).alias("score")).orderBy("id").limit(50)
+    return retrieval.contains_any_term(kb.documents(spark, d), ["src1-1"]).select("id", F.lit(0.0).alias("score")).orderBy("id").limit(50)
 
 
 @query(f"select e.vec_id as id, {_COS} as score from embeddings e, embeddings q where q.vec_id = 0 order by score desc, id limit 10", prelude=False)
