@@ -57,12 +57,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(_FILES_GO) if before is None else spark.conf.set(_FILES_GO, before)
-    _at(spark, path, lambda files, at: files.deleteOnExit(at))
+    gone_with_session(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out
 
 
+def gone_with_session(spark: SparkSession, path: str) -> None:
+    """Files at a path, which is there, go when the driver's JVM ends."""
+    _at(spark, path, lambda files, at: files.deleteOnExit(at))
+
+
 def _at(spark: SparkSession, path: str, do) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     do(at.getFileSystem(spark._jsc.hadoopConfiguration()), at)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, codes, html, jaccard, licenses, mixing, packing, pii, quality, secrets, tokencounts, tokenfiles, whitening
-from .common import shared_dir, table
+from .common import gone_with_session, shared_dir, table
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,7 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
     tokenfiles.write_files(table(spark, sf_dir, "documents"), path)
+    gone_with_session(spark, path)
     return tokenfiles.read_files(spark, path)
 
 
