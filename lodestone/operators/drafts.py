@@ -75,32 +75,42 @@ def _get(item: Column, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(item, f"$.{path}", kind)
 
 
-def _kind(item: Column, path: str) -> Column:
-    """string, number, boolean, array, object, null, or SQL's null where there is no such field."""
-    v = F.try_variant_get(item, f"$.{path}", "variant")
+def _kind_of(v: Column) -> Column:
     name = F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
-    return F.when(v.isNull(), F.lit(None).cast("string")).when(F.is_variant_null(v), "null").when(name == "STRING", "string").when(name.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DECIMAL", "DOUBLE", "FLOAT"), "number").otherwise(F.lower(name))
+    kinds = lambda n: F.when(n == "STRING", "string").when(n == "VOID", "null").when(n.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DECIMAL", "DOUBLE", "FLOAT"), "number").otherwise(F.lower(n))
+    return F.when(v.isNotNull(), let(name, kinds))
 
 
-def _text(item: Column, path: str) -> Column:
+def _fields(item: Column) -> Column:
+    """(item, kinds) of an item: with the kind of each of its own fields, so that rules read it once and not once each."""
+    own = F.try_variant_get(item, "$", "map<string,variant>")
+    return F.struct(item.alias("item"), F.transform_values(own, lambda _, v: _kind_of(v)).alias("kinds"))
+
+
+def _kind(x: Column, path: str) -> Column:
+    """string, number, boolean, array, object, null, or SQL's null where there is no such field; of ``_fields`` of an item."""
+    return _kind_of(F.try_variant_get(x["item"], f"$.{path}", "variant")) if "." in path else x["kinds"][path]
+
+
+def _text(x: Column, path: str) -> Column:
     """A string that isn't empty."""
-    return (F.coalesce(_kind(item, path), F.lit("")) == "string") & (F.length(_get(item, path)) > 0)
+    return (F.coalesce(_kind(x, path), F.lit("")) == "string") & (F.length(_get(x["item"], path)) > 0)
 
 
-def _text_or_null(item: Column, path: str) -> Column:
-    return F.coalesce(_kind(item, path), F.lit("null")).isin("string", "null")
+def _text_or_null(x: Column, path: str) -> Column:
+    return F.coalesce(_kind(x, path), F.lit("null")).isin("string", "null")
 
 
-def _one_of(item: Column, path: str, words) -> Column:
-    return (F.coalesce(_kind(item, path), F.lit("")) == "string") & _get(item, path).isin(*words)
+def _one_of(x: Column, path: str, words) -> Column:
+    return (F.coalesce(_kind(x, path), F.lit("")) == "string") & _get(x["item"], path).isin(*words)
 
 
-def _share(item: Column, path: str) -> Column:
-    return (F.coalesce(_kind(item, path), F.lit("")) == "number") & _get(item, path, "double").between(0, 1)
+def _share(x: Column, path: str) -> Column:
+    return (F.coalesce(_kind(x, path), F.lit("")) == "number") & _get(x["item"], path, "double").between(0, 1)
 
 
-def _only(item: Column, fields) -> Column:
-    return F.size(F.array_except(F.json_object_keys(F.to_json(item)), F.array(*map(F.lit, fields)))) == 0
+def _only(fields: Column, names) -> Column:
+    return F.size(F.array_except(F.map_keys(fields), F.array(*map(F.lit, names)))) == 0
 
 
 def _strings(item: Column, path: str) -> Column:
@@ -113,44 +123,47 @@ def _strings(item: Column, path: str) -> Column:
 _SOURCE = ("source_chunk", "evidence_quote")
 
 
-def _sourced(item: Column) -> list[Column]:
-    return [_share(item, "confidence"), *[_text(item, f) for f in _SOURCE]]
+def _sourced(x: Column) -> list[Column]:
+    return [_share(x, "confidence"), *[_text(x, f) for f in _SOURCE]]
 
 
 def schema_problems(item: Column, section: Column, sections=SECTIONS) -> Column:
     """Names of the schema rules that a whole item (a VARIANT object, defaults filled in) of one of the sections breaks, in the rules' order."""
+    return let(_fields(item), lambda x: _broken_rules(x, section, sections))
+
+
+def _broken_rules(x: Column, section: Column, sections) -> Column:
     def words(path):
-        every = _strings(item, path)
-        return every.isNotNull() & F.forall(every, lambda s: s != "") & (F.size(F.array_distinct(every)) == F.size(every))
-
-    is_object = lambda path: F.coalesce(_kind(item, path), F.lit("")) == "object"
-    absent_or = lambda path, rule: _kind(item, path).isNull() | rule
-    null_or = lambda path, names: absent_or(path, (_kind(item, path) == "null") | _one_of(item, path, names))
-    time = _kind(item, "time.start").isin("string", "null") & _kind(item, "time.end").isin("string", "null") & _one_of(item, "time.precision", registry.TIME_PRECISIONS) & _only(F.try_variant_get(item, "$.time", "variant"), ("start", "end", "precision"))
-    types = _strings(item, "types")
+        return let(_strings(x["item"], path), lambda every: every.isNotNull() & F.forall(every, lambda s: s != "") & (F.size(F.array_distinct(every)) == F.size(every)))
+
+    is_object = lambda path: F.coalesce(_kind(x, path), F.lit("")) == "object"
+    absent_or = lambda path, rule: _kind(x, path).isNull() | rule
+    null_or = lambda path, names: absent_or(path, (_kind(x, path) == "null") | _one_of(x, path, names))
+    time = _kind(x, "time.start").isin("string", "null") & _kind(x, "time.end").isin("string", "null") & _one_of(x, "time.precision", registry.TIME_PRECISIONS) & _only(F.try_variant_get(x["item"], "$.time", "map<string,variant>"), ("start", "end", "precision"))
+    types = _strings(x["item"], "types")
     rules = {
         "entities": {
-            "fields": _only(item, ("name", "types", "aliases", "description", "properties")), "name": _text(item, "name"),
+            "fields": _only(x["kinds"], ("name", "types", "aliases", "description", "properties")), "name": _text(x, "name"),
             "types": words("types") & (F.size(types) > 0) & F.forall(types, lambda t: t.isin(*registry.ENTITY_TYPES)), "aliases": words("aliases"),
-            "description": _text_or_null(item, "description"), "properties": absent_or("properties", is_object("properties")),
+            "description": _text_or_null(x, "description"), "properties": absent_or("properties", is_object("properties")),
         },
         "claims": {
-            "fields": _only(item, ("subject", "predicate", "object", "object_kind", "temporal_signal", "claim_type", "polarity", "modality", "content", "context", "confidence", *_SOURCE)),
-            "subject": _text(item, "subject") & (strip(_get(item, "subject")) != ""), "object": _text_or_null(item, "object"), "object_kind": null_or("object_kind", registry.OBJECT_KINDS), "content": _text_or_null(item, "content"),
+            "fields": _only(x["kinds"], ("subject", "predicate", "object", "object_kind", "temporal_signal", "claim_type", "polarity", "modality", "content", "context", "confidence", *_SOURCE)),
+            "subject": _text(x, "subject") & (strip(_get(x["item"], "subject")) != ""), "object": _text_or_null(x, "object"), "object_kind": null_or("object_kind", registry.OBJECT_KINDS), "content": _text_or_null(x, "content"),
         },
         "events": {
-            "fields": _only(item, ("event_type", "description", "participants", "time", "location", "status", "confidence", *_SOURCE)), "event_type": _one_of(item, "event_type", registry.EVENT_TYPES), "description": _text(item, "description"),
-            "participants": _strings(item, "participants").isNotNull(), "time": time, "location": _text_or_null(item, "location"), "status": _one_of(item, "status", registry.EVENT_STATUSES),
+            "fields": _only(x["kinds"], ("event_type", "description", "participants", "time", "location", "status", "confidence", *_SOURCE)), "event_type": _one_of(x, "event_type", registry.EVENT_TYPES), "description": _text(x, "description"),
+            "participants": _strings(x["item"], "participants").isNotNull(), "time": time, "location": _text_or_null(x, "location"), "status": _one_of(x, "status", registry.EVENT_STATUSES),
         },
-        "ideas": {"fields": _only(item, ("content", "status", "confidence", *_SOURCE)), "content": _text(item, "content"), "status": _one_of(item, "status", registry.IDEA_STATUSES)},
-        "questions": {"fields": _only(item, ("content", "question_type", "status", "confidence", *_SOURCE)), "content": _text(item, "content"), "question_type": _one_of(item, "question_type", registry.QUESTION_TYPES), "status": _one_of(item, "status", registry.QUESTION_STATUSES)},
+        "ideas": {"fields": _only(x["kinds"], ("content", "status", "confidence", *_SOURCE)), "content": _text(x, "content"), "status": _one_of(x, "status", registry.IDEA_STATUSES)},
+        "questions": {"fields": _only(x["kinds"], ("content", "question_type", "status", "confidence", *_SOURCE)), "content": _text(x, "content"), "question_type": _one_of(x, "question_type", registry.QUESTION_TYPES), "status": _one_of(x, "status", registry.QUESTION_STATUSES)},
     }
     out = F.array().cast("array<string>")
     for name, own in ((n, r) for n, r in rules.items() if n in sections):
         if name != "entities":
-            own |= dict(zip(("confidence", *_SOURCE), _sourced(item)))
+            own |= dict(zip(("confidence", *_SOURCE), _sourced(x)))
         if name == "claims":
-            own["confidence"] |= _one_of(item, "confidence", ("unstated",))  # 0.5 in older forms
+            own["confidence"] |= _one_of(x, "confidence", ("unstated",))  # 0.5 in older forms
         broken = F.array_compact(F.array(*[F.when(~F.coalesce(rule, F.lit(False)), f) for f, rule in own.items()]))
         out = F.when(section == name, broken).otherwise(out)
     return out
@@ -166,37 +179,39 @@ _DEFAULTS = {
 }
 
 
-def items(envelopes: DataFrame, id_col: str = "id", body: str = "body") -> DataFrame:
-    """id, section, item_index, item (VARIANT) of every item of JSON envelopes; defaults of older forms filled in."""
+def items(envelopes: DataFrame, id_col: str = "id", body: str = "body", sections=("envelope", *SECTIONS)) -> DataFrame:
+    """id, section, item_index, item (VARIANT) of every item of JSON envelopes, of some sections only where a step needs no others."""
     v = F.try_parse_json(F.col(body))
     df = envelopes.select(F.col(id_col).alias("id"), F.col(body).alias("body"), v.alias("v")).filter(F.col("body").isNotNull())
     whole = F.coalesce(F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0), F.lit("")) == "OBJECT"
     legacy = F.exists(F.try_variant_get("v", "$.entities", "array<variant>"), lambda e: F.try_variant_get(e, "$.types", "variant").isNull() & F.try_variant_get(e, "$.type", "variant").isNotNull() & canonical_type(F.try_variant_get(e, "$.type", "string")).isNull())
     df = df.withColumn("_bad", ~whole | F.coalesce(legacy, F.lit(False)))
     rows = lambda s: F.transform(F.try_variant_get("v", f"$.{s}", "array<variant>"), lambda item, k: F.struct(F.lit(s).alias("section"), k.alias("item_index"), item.alias("item")))
-    each = [rows(s) for s in SECTIONS]
+    each = [rows(s) for s in SECTIONS if s in sections]
     none = F.array().cast("array<struct<section:string,item_index:int,item:variant>>")
     lone = F.array(F.struct(F.lit("envelope").alias("section"), F.lit(0).alias("item_index"), F.coalesce("v", F.to_variant_object(F.struct(F.col("body").alias("text")))).alias("item")))
-    every = F.when(F.col("_bad"), lone).otherwise(F.concat(*[F.coalesce(e, none) for e in each]))
+    every = F.when(F.col("_bad"), lone if "envelope" in sections else none).otherwise(F.concat(none, *[F.coalesce(e, none) for e in each]))
     return df.select("id", F.explode(every).alias("x")).select("id", "x.section", "x.item_index", F.col("x.item").alias("item"))
 
 
-def _filled(df: DataFrame) -> DataFrame:
-    """Items with the defaults of their section: the JSON text of each is merged, not parsed by field."""
-    item, section = F.col("item"), F.col("section")
-    text = F.to_json(item)
-    is_object = F.coalesce(F.regexp_extract(F.schema_of_variant(item), "^[A-Z]+", 0), F.lit("")) == "OBJECT"
-    out = text
-    for name, defaults in _DEFAULTS.items():
-        lacking = F.concat(*[F.when(_kind(item, f).isNull(), f',"{f}":{value}').otherwise("") for f, value in defaults.items()])
-        extra = lacking
-        if name == "entities":
-            kind = canonical_type(_get(item, "type"))
-            extra = F.concat(extra, F.when(_kind(item, "types").isNull() & kind.isNotNull(), F.concat(F.lit(',"types":["'), kind, F.lit('"]'))).otherwise(""))
-        merged = F.regexp_replace(F.concat(F.substr(text, F.lit(1), F.length(text) - 1), extra, F.lit("}")), r"^\{,", "{")
-        out = F.when(is_object & (section == name), merged).otherwise(out)
-    whole = F.struct(F.coalesce(F.try_parse_json(out), item).alias("item"), is_object.alias("object"))
-    return fixed(df, "_x", whole).select(*[F.col(n) for n in df.columns if n != "item"], F.col("_x.item").alias("item"), F.col("_x.object").alias("_object"))
+def _filled(df: DataFrame, sections) -> DataFrame:
+    """Items, of these sections alone, with the defaults of their section: the JSON text of each is merged, not parsed by field. ``_kinds`` has the kind of each field."""
+    is_object = F.coalesce(F.regexp_extract(F.schema_of_variant(F.col("item")), "^[A-Z]+", 0), F.lit("")) == "OBJECT"
+
+    def merged(x: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for name in (n for n in _DEFAULTS if n in sections):
+            extra = F.concat(*[F.when(_kind(x, f).isNull(), f',"{f}":{value}').otherwise("") for f, value in _DEFAULTS[name].items()])
+            if name == "entities":
+                typed = lambda kind: F.when(_kind(x, "types").isNull() & kind.isNotNull(), F.concat(F.lit(',"types":["'), kind, F.lit('"]'))).otherwise("")
+                extra = F.concat(extra, let(canonical_type(_get(x["item"], "type")), typed))
+            whole = let(F.to_json(x["item"]), lambda text: F.regexp_replace(F.concat(F.substr(text, F.lit(1), F.length(text) - 1), extra, F.lit("}")), r"^\{,", "{"))
+            out = F.when(F.col("section") == name, whole).otherwise(out)
+        return F.coalesce(F.try_parse_json(out), x["item"])
+
+    whole = F.when(is_object, let(_fields(F.col("item")), merged)).otherwise(F.col("item"))
+    df = fixed(df, "_x", F.struct(let(whole, _fields).alias("x"), is_object.alias("object")))
+    return df.select("id", "section", "item_index", F.to_json("item").alias("input"), F.col("_x.x.item").alias("item"), F.col("_x.x.kinds").alias("_kinds"), F.col("_x.object").alias("_object"))
 
 
 def entity_index(entities: DataFrame) -> DataFrame:
@@ -207,11 +222,15 @@ def entity_index(entities: DataFrame) -> DataFrame:
 
 
 def _with_types(claims: DataFrame, index: DataFrame) -> DataFrame:
-    """Claims (id, subject, object) with the types that their envelope's entities give to both ends; null where it knows none."""
-    for end in ("subject", "object"):
-        known = index.select("id", F.col("key").alias("_key"), F.col("types").alias(f"{end}_types"))
-        claims = fixed(claims, "_key", fold(F.coalesce(F.col(end), F.lit("")))).join(known, ["id", "_key"], "left").drop("_key")
-    return claims
+    """Claims (id, subject, object) with the types that their envelope's entities give to both ends; null where it knows none.
+
+    An envelope's keys are one map, so both ends take one join; the map's side grows with the envelopes, and sizes guessed
+    from compressed files must not make it a broadcast.
+    """
+    known = index.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("key", "types"))).alias("_known"))
+    met = claims.join(known.hint("merge"), "id", "left")
+    at = lambda end: F.col("_known")[fold(F.coalesce(F.col(end), F.lit("")))].alias(f"{end}_types")
+    return met.select(*claims.columns, at("subject"), at("object"))
 
 
 def compile_items(envelopes: DataFrame, id_col: str = "id", body: str = "body", limit: int = 5, known: Predicates = DEFAULT) -> DataFrame:
@@ -219,27 +238,28 @@ def compile_items(envelopes: DataFrame, id_col: str = "id", body: str = "body",
 
     Codes: SCHEMA_INVALID, ENTITY_INVALID, EVIDENCE_INVALID, UNSUPPORTED_PREDICATE, DOMAIN_RANGE_INVALID, CLAIM_INVALID.
     """
-    raw = items(envelopes, id_col, body)
-    df = _filled(raw.withColumn("input", F.to_json("item")))
+    raw = lambda *sections: items(envelopes, id_col, body, sections)
+    filled = lambda *sections: _filled(raw(*sections), sections)
     c, item = F.col, F.col("item")
+    x = {"item": item, "kinds": c("_kinds")}
     # entities: a name and at least one type that the registry has
     types, aliases = _strings(item, "types"), _strings(item, "aliases")
     tidy = lambda x: strip(F.regexp_replace(x, r"(?U)\s+", " "))
     none = F.array().cast("array<string>")
     given = F.struct(tidy(F.coalesce(_get(item, "name"), F.lit(""))).alias("name"), F.coalesce(types, none).alias("given"), F.coalesce(aliases, none).alias("aliases"))
-    e = fixed(df.filter("section = 'entities'"), "_e", given).select("*", "_e.name", F.col("_e.given").alias("_given"), F.array_distinct(F.transform("_e.given", canonical_type)).alias("types"), F.array_distinct(F.filter(F.transform("_e.aliases", tidy), lambda a: a != "")).alias("aliases"))
+    e = fixed(filled("entities"), "_e", given).select("*", "_e.name", F.col("_e.given").alias("_given"), F.array_distinct(F.transform("_e.given", canonical_type)).alias("types"), F.array_distinct(F.filter(F.transform("_e.aliases", tidy), lambda a: a != "")).alias("aliases"))
     unsupported = F.get(F.filter("_given", lambda t: canonical_type(t).isNull()), F.lit(0))
     why = F.when(~c("_object"), "not an object").when(unsupported.isNotNull(), F.concat(F.lit("Unsupported entity type: "), unsupported)).when((c("name") == "") | (F.size("types") == 0), "Entity requires name and at least one type")
     e = fixed(e, "error_message", why).withColumn("error_code", F.when(c("error_message").isNotNull(), "ENTITY_INVALID"))
     index = entity_index(e.filter("error_code is null"))
-    entity_json = F.to_json(F.struct("name", "types", "aliases", F.when(_kind(item, "description") == "string", _get(item, "description")).alias("description"), _get(item, "properties", "variant").alias("properties")), {"ignoreNullFields": "false"})
+    entity_json = F.to_json(F.struct("name", "types", "aliases", F.when(_kind(x, "description") == "string", _get(item, "description")).alias("description"), _get(item, "properties", "variant").alias("properties")), {"ignoreNullFields": "false"})
     entity_rows = e.select("id", "section", "item_index", "input", "error_code", "error_message", F.when(c("error_code").isNull(), entity_json).alias("compiled"), "item")
     # claims: a quote, and what the compiler says
     text = lambda f: _get(item, f).alias(f)
-    note = F.when(_kind(item, "context") == "string", _get(item, "context")).otherwise(_get(item, "context.note"))
+    note = F.when(_kind(x, "context") == "string", _get(item, "context")).otherwise(_get(item, "context.note"))
     quote = F.coalesce(_get(item, "evidence_quote"), F.lit(""))
     fields = F.struct(tidy(F.coalesce(_get(item, "subject"), F.lit(""))).alias("subject"), F.coalesce(_get(item, "predicate_candidate"), _get(item, "predicate")).alias("predicate"), *map(text, ("object", "claim_type", "polarity", "modality", "temporal_signal")), note.alias("context_note"), F.concat_ws(" ", F.nullif(_get(item, "content"), F.lit("")), F.nullif(quote, F.lit(""))).alias("resolution_text"), quote.alias("quote"))
-    claims = fixed(df.filter("section = 'claims'"), "_c", fields).select("id", "section", "item_index", "input", "item", "_object", "_c.*")
+    claims = fixed(filled("claims"), "_c", fields).select("id", "section", "item_index", "input", "item", "_kinds", "_object", "_c.*")
     done = compile_claims(_with_types(claims, index), limit, known)
     near = F.when(F.size("resolution.candidates") > 0, c("resolution.candidates")).otherwise(suggested(c("predicate"), 4, known))
     folded = F.regexp_replace(F.regexp_replace(F.lower(strip(F.coalesce(c("predicate"), F.lit("None")))), "[^a-z0-9_]+", "_"), "^_+|_+$|(?<=_)_+", "")
@@ -247,22 +267,23 @@ def compile_items(envelopes: DataFrame, id_col: str = "id", body: str = "body",
     illegal = F.array_contains("reasons", "domain_range_violation")
     code = F.when(~c("_object"), "CLAIM_INVALID").when(c("quote") == "", "EVIDENCE_INVALID").when(c("status") == "unresolved", "UNSUPPORTED_PREDICATE").when((c("status") == "rejected") & illegal, "DOMAIN_RANGE_INVALID").when(c("status") == "rejected", "CLAIM_INVALID")
     message = F.when(~c("_object"), "not an object").when(c("quote") == "", "an evidence quote is required for every claim").when(c("status") == "unresolved", F.concat(F.lit("Unsupported claim predicate: "), folded, F.lit("."), hint)).when((c("status") == "rejected") & illegal, F.concat_ws(" ", F.lit("Claim violates ontology domain/range:"), c("subject"), c("resolution.predicate"), F.coalesce(c("object"), F.lit("(none)")))).when(c("status") == "rejected", c("reasons")[0])
-    claim_json = F.to_json(F.struct("claim.*", F.when(_kind(item, "context") == "object", F.to_json(_get(item, "context", "variant"))).when(_kind(item, "context") == "string", F.to_json(F.struct(_get(item, "context").alias("note")))).otherwise("{}").alias("context"), F.when(_one_of(item, "confidence", ("unstated",)), 0.5).otherwise(_get(item, "confidence", "double")).alias("confidence"), *[_get(item, f).alias(f) for f in ("content", "object_kind", *_SOURCE)]), {"ignoreNullFields": "false"})
-    claim_rows = done.select("id", "section", "item_index", "input", code.alias("error_code"), message.alias("error_message"), F.when(code.isNull(), claim_json).alias("compiled"), "item")
-    others = df.filter("section in ('events', 'ideas', 'questions')").select("id", "section", "item_index", "input", F.when(~c("_object"), "SCHEMA_INVALID").alias("error_code"), F.when(~c("_object"), "not an object").alias("error_message"), F.to_json("item").alias("compiled"), "item")
-    broken = df.filter("section = 'envelope'").select("id", "section", "item_index", "input", F.lit("ENTITY_INVALID").alias("error_code"), F.lit("not a usable envelope").alias("error_message"), F.lit(None).cast("string").alias("compiled"), "item")
-    extra = ~_only(item, ("name", "types", "type", "id", "aliases", "description", "properties"))
-    entity_rows = _by_schema(entity_rows, F.try_parse_json("compiled"), ("entities",), F.when(extra, F.array(F.lit("fields"))))  # in their canonical form
-    claim_rows = _by_schema(claim_rows, item, ("claims",))
-    others = _by_schema(others, item, ("events", "ideas", "questions"))
+    claim_json = F.to_json(F.struct("claim.*", F.when(_kind(x, "context") == "object", F.to_json(_get(item, "context", "variant"))).when(_kind(x, "context") == "string", F.to_json(F.struct(_get(item, "context").alias("note")))).otherwise("{}").alias("context"), F.when(_one_of(x, "confidence", ("unstated",)), 0.5).otherwise(_get(item, "confidence", "double")).alias("confidence"), *[_get(item, f).alias(f) for f in ("content", "object_kind", *_SOURCE)]), {"ignoreNullFields": "false"})
+    claim_rows = done.select("id", "section", "item_index", "input", code.alias("error_code"), message.alias("error_message"), F.when(code.isNull(), claim_json).alias("compiled"), "item", "_kinds")
+    others = filled("events", "ideas", "questions").select("id", "section", "item_index", "input", F.when(~c("_object"), "SCHEMA_INVALID").alias("error_code"), F.when(~c("_object"), "not an object").alias("error_message"), F.to_json("item").alias("compiled"), "item", "_kinds")
+    broken = raw("envelope").select("id", "section", "item_index", F.to_json("item").alias("input"), F.lit("ENTITY_INVALID").alias("error_code"), F.lit("not a usable envelope").alias("error_message"), F.lit(None).cast("string").alias("compiled"), "item")
+    extra = ~_only(F.try_variant_get(item, "$", "map<string,variant>"), ("name", "types", "type", "id", "aliases", "description", "properties"))
+    entity_rows = _by_schema(entity_rows, _fields(F.try_parse_json("compiled")), ("entities",), F.when(extra, F.array(F.lit("fields"))))  # in their canonical form
+    whole = F.struct("item", c("_kinds").alias("kinds"))
+    claim_rows = _by_schema(claim_rows, whole, ("claims",)).drop("_kinds")
+    others = _by_schema(others, whole, ("events", "ideas", "questions")).drop("_kinds")
     out = reduce(DataFrame.unionByName, (entity_rows, claim_rows, others, broken))
     return out.select("id", "section", "item_index", F.when(c("error_code").isNull(), "ACCEPTED").otherwise("REJECTED").alias("status"), "error_code", "error_message", "input", F.when(c("error_code").isNull(), c("compiled")).alias("compiled"), "item")
 
 
-def _by_schema(rows: DataFrame, item: Column, sections, more: Column | None = None) -> DataFrame:
-    """Rows without an error so far get one where they break the schema's rules."""
+def _by_schema(rows: DataFrame, fields: Column, sections, more: Column | None = None) -> DataFrame:
+    """Rows (``fields``: what ``_fields`` says of each) without an error so far get one where they break the schema's rules."""
     none = F.array().cast("array<string>")
-    problems = schema_problems(item, F.col("section"), sections)
+    problems = let(fields, lambda x: _broken_rules(x, F.col("section"), sections))
     if more is not None:
         problems = F.array_union(F.coalesce(more, none), problems)
     rows = fixed(rows, "_rules", F.when(F.col("error_code").isNull(), problems).otherwise(none))
@@ -345,8 +366,8 @@ def draft_cases(cases: DataFrame, known: Predicates = DEFAULT) -> DataFrame:
     key = fold(F.coalesce(_get(item, "name"), F.lit("")))
     parts = let(given, lambda g: F.struct(g.alias("given"), F.array_distinct(F.array_compact(F.transform(g, canonical_type))).alias("types"), key.alias("key")))
     drafted = fixed(each("model_draft", "$.entities"), "x", parts).select("id", "at", "x.*")
-    violations = drafted.groupBy("id").agg(F.sum(F.size(F.filter("given", lambda t: canonical_type(t).isNull()))).alias("entity_type_violations"))
     index = drafted.filter((F.size("types") > 0) & (c("key") != "")).groupBy("id", "key").agg(F.max_by("types", "at").alias("types"))
+    violations = drafted.groupBy("id").agg(F.sum(F.size(F.filter("given", lambda t: canonical_type(t).isNull()))).alias("entity_type_violations"))
     parts = F.struct(key.alias("key"), F.filter(F.transform(F.coalesce(_strings(item, "types"), none), strip), lambda t: t != "").alias("types"))
     wanted = fixed(each("expected_entities", "$"), "x", parts).groupBy("id", "x.key").agg(F.max_by("x.types", "at").alias("expected"))
     both = index.join(wanted, ["id", "key"], "full")
@@ -360,13 +381,14 @@ def draft_cases(cases: DataFrame, known: Predicates = DEFAULT) -> DataFrame:
     done = compile_claims(_with_types(claims, index), known=known).filter("status = 'compiled'")
     triple = lambda s, p, o: F.struct(fold(F.coalesce(s, F.lit(""))).alias("s"), p.alias("p"), fold(F.coalesce(o, F.lit(""))).alias("o"))
     quote = fold(F.coalesce(c("evidence_quote"), F.lit("")))
-    evidence = done.groupBy("id").agg(F.count("*").alias("compiled_claims"), n((quote != "") & F.contains(fold(F.coalesce("source_text", F.lit(""))), quote), "evidence_hits"), n(~c("claim.predicate").isin(*known.names), "ontology_violations"))
-    got = done.select("id", triple(c("claim.subject"), c("claim.predicate"), c("claim.object")).alias("t")).distinct().withColumn("got", F.lit(True))
+    right = (quote != "") & F.contains(fold(F.coalesce("source_text", F.lit(""))), quote)
+    got = done.groupBy("id", triple(c("claim.subject"), c("claim.predicate"), c("claim.object")).alias("t")).agg(F.count("*").alias("got"), n(right, "right"), n(~c("claim.predicate").isin(*known.names), "strange"))
     want = fixed(each("expected_claims", "$"), "t", triple(_get(item, "subject"), normalize_predicate(F.coalesce(_get(item, "predicate"), F.lit(""))), _get(item, "object"))).select("id", "t").distinct().withColumn("want", F.lit(True))
-    met = got.join(want, ["id", "t"], "full").groupBy("id").agg(n(c("got") & c("want"), "claim_tp"), n(c("got") & c("want").isNull(), "claim_fp"), n(c("got").isNull() & c("want"), "claim_fn"))
+    total = lambda name, out: F.coalesce(F.sum(name), F.lit(0)).alias(out)
+    claim = got.join(want, ["id", "t"], "full").groupBy("id").agg(n(c("got").isNotNull() & c("want"), "claim_tp"), n(c("got").isNotNull() & c("want").isNull(), "claim_fp"), n(c("got").isNull() & c("want"), "claim_fn"), total("got", "compiled_claims"), total("right", "evidence_hits"), total("strange", "ontology_violations"))
     out = cases.select("id")
-    for part in (entity, met, evidence, violations):
-        out = out.join(part, "id", "left")
+    for part in (entity, claim, violations):  # each has a row a case: sizes guessed from compressed files must not make one a broadcast
+        out = out.join(part.hint("merge"), "id", "left")
     return out.na.fill(0)
 
 

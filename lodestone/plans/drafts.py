@@ -55,7 +55,8 @@ _PREDICATES = ("uses", "CEO", "new_ceo", "optimises", "supports and enables", "f
 
 def _envelopes(spark, d):
     """An envelope for each event: a user under an alias, a target, a claim between them, a question and an idea; each breaks some rule now and then."""
-    e, n = kb.table(spark, d, "events"), F.col("event_id")
+    # a row costs some milliseconds' work and few bytes, so files are dealt to all cores, not by their size
+    e, n = kb.table(spark, d, "events").select("event_id", "user_id", "event_type").repartition(4 * spark.sparkContext.defaultParallelism, "event_id"), F.col("event_id")
     pick = lambda words: F.element_at(F.array(*map(F.lit, words)), (n % len(words) + 1).cast("int"))
     user, target = F.concat(F.lit("User  "), F.col("user_id").cast("string")), F.concat(F.lit("target "), (n % 50).cast("string"))
     types = F.when(n % 3 == 0, F.array(F.lit("Organization"))).when(n % 3 == 1, F.array(F.lit("place"), F.lit("Person"))).otherwise(F.array(F.lit("Company")))

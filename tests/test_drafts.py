@@ -121,3 +121,17 @@ def test_draft_scores(spark):
     assert (per["b"].entity_precision, per["b"].evidence_accuracy, per["b"].ontology_violation_rate) == (0.0, 1.0, 0.0)
     whole = drafts.draft_report(df).first()
     assert (whole.cases, whole.entity_precision, whole.entity_recall, whole.claim_recall, whole.evidence_accuracy) == (2, 0.5, 1 / 3, 0.5, 0.5)
+
+
+def test_plans_read_each_item_once_and_broadcast_nothing(spark, tmp_path):
+    """What made the draft queries slow or fail on larger tables: expressions written out at each use, parts per case guessed small, one task a file."""
+    from lodestone.plans import drafts as plans
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    compiled = drafts.compile_items(plans._envelopes(spark, "/root/testdata/sf0.001")).select("id", "section", "status")
+    assert len(plan(compiled)) < 250_000  # 405,940 characters before, for all columns
+    spark.range(20).selectExpr("id as event_id", "id % 3 as user_id", "'view' as event_type").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    assert plans._envelopes(spark, str(tmp_path)).rdd.getNumPartitions() >= 4
+    report = drafts.draft_report(plans._cases(spark, "/root/testdata/sf0.001"), per_case=True)
+    physical = report._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in physical and "BroadcastExchange" not in physical
