@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.udfs import locate_quote
+from ..functions.udfs import quote_locator
 from ..operators import classify, reads
 from ..sources import tables as kb
 from .queries import query
@@ -202,12 +202,12 @@ select conv_id, turn, case when turn % 4 = 0 or turn % 4 = 1 and not contains(pi
 
 @query(_QUOTED, prelude=False)
 def quote_localisation(spark, d):
-    """Quotes as they stand, with wider blanks, in capitals with other signs, and of nothing that is there."""
+    """Quotes as they stand, with wider blanks, in capitals with other signs, and of nothing that is there; a line end at a quote's edge is part of it."""
     piece = F.trim(F.substring("text", 5, 20))
     kind = F.col("turn") % 4
     quote = F.when(kind == 0, F.concat(F.lit(" "), F.substring("text", 5, 20), F.lit(" "))).when(kind == 1, F.replace(piece, F.lit(" "), F.lit("   "))).when(kind == 2, F.replace(F.upper(piece), F.lit(" "), F.lit("-"))).otherwise("zzzz qqqq")
     start = F.col("conv_id") * 1000
-    at = locate_quote(F.col("text"), quote, start, start + F.length("text"))
+    at = quote_locator(" ")(F.col("text"), quote, start, start + F.length("text"))
     return kb.table(spark, d, "conversations").select("conv_id", "turn", at.alias("p")).select("conv_id", "turn", "p.start", "p.end", "p.found")
 
 

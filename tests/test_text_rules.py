@@ -40,3 +40,26 @@ def test_previews_skip_blank_texts(spark):
 def test_types_and_enums(spark):
     assert values(spark, [(["A"], []), (["A", "B"], ["B"]), (["A"], ["C"]), ([], [])], tx.types_compatible(F.col("a"), F.col("b")), "a array<string>, b array<string>") == [True, True, False, True]
     assert values(spark, [(" Positive ",), ("neg",), ("other",), ("POS",)], tx.canonical(F.col("t"), ("positive", "negative"), {"pos": "positive", "neg": "negative"}), "t string") == ["positive", "negative", None, "positive"]
+
+
+def test_quotes_keep_line_ends(spark, tmp_path):
+    """The SQL of quote_localisation takes blanks only off a quote."""
+    import duckdb
+
+    from lodestone.plans.queries import ORACLE_SQL, QUERIES
+
+    rows = [(1, 0, "Tion thea or rendon of.\nEnndre a thntatin this."), (2, 4, "Lee.\nTionchelle onierre, epaellele"), (3, 1, "one two three four five six")]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    c = duckdb.connect()
+    c.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    assert sorted(map(tuple, QUERIES["quote_localisation"](spark, str(tmp_path)).collect())) == sorted(c.sql(ORACLE_SQL["quote_localisation"]).fetchall())
+
+
+def test_a_long_text_is_split_once(spark):
+    """The anchor is worked out once a text, not once a sentence: 20,000 sentences took the square of that."""
+    import time
+
+    text = "Some words here. " * 20000 + "The last one."
+    df = spark.createDataFrame([(text,)], "t string").select(tx.sentence_window(F.col("t"), F.split_part("t", F.lit(" "), F.lit(60002))).alias("w"))
+    began = time.time()
+    assert df.first().w == "Some words here.The last one." and time.time() - began < 60
