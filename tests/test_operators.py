@@ -172,3 +172,17 @@ def test_token_truncation_is_the_longest_that_fits(spark):
 
 def test_text_nodes_are_all_kept():
     assert udfs._text_nodes("<p>a</p> <script>x</script>\n<b>c</b>") == "a\n \nx\n\n\nc"
+
+
+def test_fuzzy_pairs_scores_a_name_once(spark):
+    """Entities of one name: their pairs come from one comparison of names, whose order is that of the ids."""
+    from difflib import SequenceMatcher
+
+    words = ("tide", "diet", "tied red", "red tide")
+    e = spark.createDataFrame([(f"{k:03d}", "T", words[k % 4]) for k in range(60)], "id string, type string, name string")
+    ratio = lambda a, b: 1.0 if a in b or b in a else round(SequenceMatcher(None, a, b).ratio(), 6)
+    want = [(f"{a:03d}", f"{b:03d}", ratio(words[a % 4], words[b % 4])) for a in range(60) for b in range(a + 1, 60) if ratio(words[a % 4], words[b % 4]) >= 0.5]
+    df = resolve.fuzzy_pairs(e, 0.5)
+    assert sorted(map(tuple, df.collect())) == want
+    alike = resolve._alike(e.filter("id < '004'").select("id", "type", F.col("name").alias("k"), F.length("name").alias("l")), 0.5)
+    assert alike.count() <= 4 * 3
