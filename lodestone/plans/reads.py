@@ -117,12 +117,9 @@ _PAIRS = """, pr as (select case when a.c_custkey % 2 = 0 then a.c_custkey else
 @query(_PAIRS + " select a_id, b_id, similarity from pr where (a_id + b_id) % 5 <> 0 order by similarity desc, a_id, b_id limit 40")
 def undecided_pairs(spark, d):
     """Customers of one nation and segment, the two named in one order or the other; decided ones are named the other way round."""
-    c = kb.table(spark, d, "customer")
-    a, b = (c.select(F.col("c_custkey").alias(x), F.col("c_acctbal").alias(f"{x}_bal"), "c_nationkey", "c_mktsegment") for x in "ab")
-    even = F.col("a") % 2 == 0
-    pairs = a.join(b, ["c_nationkey", "c_mktsegment"]).filter("a < b").select(F.when(even, F.col("a")).otherwise(F.col("b")).alias("a_id"), F.when(even, F.col("b")).otherwise(F.col("a")).alias("b_id"), F.round(1.0 / (1 + F.abs(F.col("a_bal") - F.col("b_bal"))), 6).alias("similarity"))
-    decided = pairs.filter((F.col("a_id") + F.col("b_id")) % 5 == 0).select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"))
-    return reads.undecided(pairs, decided, 40)
+    c = kb.table(spark, d, "customer").select("c_nationkey", "c_mktsegment", F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("value"))
+    decided = lambda pairs: pairs.filter((F.col("a_id") + F.col("b_id")) % 5 == 0).select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"))
+    return reads.closest_undecided(c, ["c_nationkey", "c_mktsegment"], lambda x, y: F.when(x % 2 == 0, x).otherwise(y), decided, 40)
 
 
 @query("select surface, id from (values ('EUROPE', 'r:3'), (' asia ', 'r:2'), ('gaul', 'n:6'), ('asia', 'r:2'), ('nowhere', null), ('', null)) t(surface, id)", prelude=False)

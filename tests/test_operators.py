@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.udfs import chunk_spans
 from lodestone.functions import text as tx
 from lodestone.functions import udfs
-from lodestone.operators import classify, context, evaluate, graph, lifecycle, resolve, retrieval, storage
+from lodestone.operators import classify, context, evaluate, graph, lifecycle, reads, resolve, retrieval, storage
 
 
 def rows(df):
@@ -186,3 +186,40 @@ def test_fuzzy_pairs_scores_a_name_once(spark):
     assert sorted(map(tuple, df.collect())) == want
     alike = resolve._alike(e.filter("id < '004'").select("id", "type", F.col("name").alias("k"), F.length("name").alias("l")), 0.5)
     assert alike.count() <= 4 * 3
+
+
+_AS_ONE = lambda x, y: F.when(x % 2 == 0, x).otherwise(y)
+
+
+def _closest(spark, data, limit=15, decided=lambda p: p.filter((F.col("a_id") + F.col("b_id")) % 5 == 0).select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"))):
+    t = spark.createDataFrame(data, "g long, id long, value double")
+    return [tuple(r) for r in reads.closest_undecided(t, ["g"], _AS_ONE, decided, limit).collect()]
+
+
+def _every_pair(data, limit=15):
+    out = []
+    for k, (g, x, v) in enumerate(data):
+        for h, y, w in data[:k]:
+            lo, hi = min(x, y), max(x, y)
+            if g is not None and g == h and lo < hi and (x + y) % 5:
+                out.append((-round(1 / (1 + abs(v - w)), 6) if None not in (v, w) else 1, *((lo, hi) if lo % 2 == 0 else (hi, lo))))
+    return [(a, b, -s if s <= 0 else None) for s, a, b in sorted(out)[:limit]]
+
+
+def test_closest_undecided(spark):
+    rng = random.Random(5)
+    some = [(rng.choice([1, 2, None]), i, rng.choice([rng.uniform(-9, 9), rng.randrange(3) / 100, 1e6 * rng.random()])) for i in range(300)]
+    alike = [(1, i, 5.0) for i in range(0, 1500, 5)] + [(1, i, 6.0 + i * i) for i in range(1, 40, 3)]  # what is closest is decided
+    copies = [(i % 2, i, float(i % 7)) for i in range(200)]
+    nulls = [(1, i, None if i % 3 else float(i)) for i in range(12)]
+    for data in (some, alike, copies, nulls, some[:3], [(1, 1, 2.0)]):
+        assert _closest(spark, data) == _every_pair(data)
+    odd = [(1, 1, float("nan")), (1, 2, 1.0), (1, 5, 1.0), (1, 6, 9.0)]
+    assert [r[:2] for r in _closest(spark, odd, 9)] == [(2, 1), (5, 1), (6, 1), (2, 5), (2, 6), (6, 5)]
+
+
+def test_closest_undecided_of_a_large_group(spark):
+    """100,000 rows of one group have 5 * 10^9 pairs; those that count are few."""
+    data = [(1, i, i * 3.0) for i in range(100_000)] + [(1, 200_000 + i, 3000.0 * i + 0.25) for i in range(1, 21)]
+    want = _every_pair([r for r in data if r[2] % 3000 < 1], 10)
+    assert _closest(spark, data, 10) == want and want[0][2] == 0.8
