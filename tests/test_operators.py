@@ -223,3 +223,16 @@ def test_closest_undecided_of_a_large_group(spark):
     data = [(1, i, i * 3.0) for i in range(100_000)] + [(1, 200_000 + i, 3000.0 * i + 0.25) for i in range(1, 21)]
     want = _every_pair([r for r in data if r[2] % 3000 < 1], 10)
     assert _closest(spark, data, 10) == want and want[0][2] == 0.8
+
+
+def test_contained_pairs_of_one_name_meet_in_blocks(spark, monkeypatch):
+    """Names of several blocks, an id of two names, repeated rows; pairs come once each and in tasks of few."""
+    monkeypatch.setattr(resolve, "BLOCK", 7)
+    monkeypatch.setattr(resolve, "PAIRS", 50)
+    names = ["red", "red box", "red box", "red box lid", "blue box", "Red  Box"]
+    data = [(f"p:{i}", "T" if i % 9 else "U", names[i * i % 6]) for i in range(90)] + [("p:1", "T", "red box lid"), ("p:2", "T", names[4]), ("p:2", "T", names[4]), ("x", "T", None)]
+    found = resolve.contained_pairs(spark.createDataFrame(data, "id string, type string, name string"))
+    assert found.rdd.getNumPartitions() > 16
+    words = lambda s: s.lower().split()
+    want = {(a, b) for (a, t, x), (b, u, y) in itertools.product([d for d in data if d[2]], repeat=2) if a != b and t == u and words(y)[: len(words(x))] == words(x) and (len(words(x)) < len(words(y)) or a < b)}
+    assert rows(found) == sorted(want)
