@@ -45,14 +45,20 @@ def _occurrences(pair: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.n
 
     Of pairs that share a place in the table of hashes the last one is looked for; the others wait for another round.
     """
-    table = np.zeros(1 << _TABLE, np.int32)
-    table[(chosen * _ODD) >> np.uint32(32 - _TABLE)] = np.arange(len(chosen))
-    where = table[(pair * _ODD) >> np.uint32(32 - _TABLE)]
-    at = np.flatnonzero(chosen[where] == pair)
+    slot = (chosen * _ODD) >> np.uint32(32 - _TABLE)
+    taken, table = np.zeros(1 << _TABLE, bool), np.empty(1 << _TABLE, np.uint16)
+    taken[slot] = True
+    table[slot] = np.arange(len(chosen))
+    # most places fall to the small table of flags
+    slot = (pair * _ODD) >> np.uint32(32 - _TABLE)
+    at = np.flatnonzero(taken[slot])
+    where = table[slot[at]]
+    same = chosen[where] == pair[at]
+    at, where = at[same], where[same]
     begins = np.r_[True, np.diff(at) != 1]
     run = at - at[np.flatnonzero(begins)[np.cumsum(begins) - 1]]
-    at = at[run % 2 == 0]
-    return at, where[at]
+    first = run % 2 == 0
+    return at[first], where[first]
 
 
 def compress(ids: np.ndarray, base: int, end_id: int, rounds: int | None = None, least: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,10 +103,13 @@ def expansions(base: int, rules: np.ndarray, lengths: np.ndarray) -> tuple[np.nd
     starts = np.r_[0, np.cumsum(sizes)[:-1]]
     flat = np.empty(int(sizes.sum()), "<u2")
     flat[:base] = np.arange(base)
-    for k, (a, b) in enumerate(rules.tolist()):
-        at, n = starts[base + k], sizes[a]
-        flat[at : at + n] = flat[starts[a] : starts[a] + n]
-        flat[at + n : at + sizes[base + k]] = flat[starts[b] : starts[b] + sizes[b]]
+    latest, done = np.maximum.accumulate(rules.max(1)) if len(rules) else np.zeros(0, np.uint16), 0
+    while done < len(rules):  # a round's rules, whose members all are there, at once
+        stop = max(done + 1, int(np.searchsorted(latest, base + done)))
+        at = int(starts[base + done])
+        found = expand(rules[done:stop].ravel(), (flat, starts, sizes))
+        flat[at : at + len(found)] = found
+        done = stop
     return flat, starts, sizes
 
 

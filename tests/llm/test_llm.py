@@ -631,3 +631,18 @@ def test_columns_that_clash(spark, docs):
     odd = docs.withColumn("n_tokens", F.lit("x")).withColumn("task", F.lit("y")).withColumn("block", F.lit(0))
     assert tokencounts.context_limits(tokencounts.length_histogram(odd)).count() > 0
     assert quality.keep(docs.withColumn("row", F.lit("x")).withColumn("words", F.lit(1))).columns[-2:] == ["row", "words"]
+
+
+@pytest.mark.parametrize("n, kinds", [(0, 9), (1, 9), (3000, 2), (60_000, 300)])
+def test_token_rules_expand_round_by_round(n, kinds, monkeypatch):
+    ids = np.minimum(np.random.default_rng(n).zipf(1.3, n), kinds).astype("<u2")
+    body, rules, lengths = tokenfiles.compress(ids, 1000, 2)
+    calls, own = [], tokenfiles.expand
+    monkeypatch.setattr(tokenfiles, "expand", lambda *a: calls.append(1) or own(*a))
+    flat, starts, sizes = tokenfiles.expansions(1000, rules, lengths)
+    assert np.array_equal(own(body, (flat, starts, sizes)), ids)
+    of = {k: [k] for k in range(1000)}
+    for k, (a, b) in enumerate(rules.tolist()):
+        of[1000 + k] = of[a] + of[b]
+        assert flat[starts[1000 + k] : starts[1000 + k] + sizes[1000 + k]].tolist() == of[1000 + k]
+    assert n < 60_000 or 0 < len(calls) < len(rules) / 20
