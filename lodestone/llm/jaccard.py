@@ -27,10 +27,11 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, dropped, staged
@@ -41,8 +42,10 @@ WORDS, PERCENT, FRAGMENTS = 5, 80, 4
 FREQUENT, REPORT, COUNTED, MERGED = 200_000, 5, 500_000, 200_000
 #: Leaders tried in a bucket where more than MANY pairs of different components are left.
 LEADERS, MANY, FIRST_FROM = 8, 256, 20_000
-#: Shingles of a prefix that the last join of buckets carries along.
+#: Shared shingles of a prefix that the last join of buckets carries along.
 HEAD = 64
+#: Turns in which prefixes are shuffled by shingle, a range of hashes each, so that one turn's files are on disk at once.
+TURNS = 4
 SLICE = 500_000  # bytes of text worked on at a time
 
 _random = np.random.default_rng(20240607)
@@ -311,9 +314,25 @@ def _may_link(percent: int):
     return (100 * low >= percent * high) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= _needed(percent))
 
 
-def _promising(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+def _postings(prefixes: DataFrame, turns: int = TURNS) -> list[DataFrame]:
+    """(h, node, n, pos, leader) of each shingle h that stands in several of the prefixes (node, n, prefix); leader is the bucket's first node, with its n and pos.
+
+    Most shingles are in one prefix only and go where they are counted: each row is shuffled once, in the turn of its hash.
+    """
+    every = prefixes.select("node", "n", F.posexplode("prefix").alias("pos", "h"))
+    bucket = Window.partitionBy("h")
+
+    def turn(k: int) -> DataFrame:
+        met = every.filter(F.pmod("h", F.lit(turns)) == k)
+        met = met.select("h", "node", "n", "pos", F.min(F.struct("node", "n", "pos")).over(bucket).alias("leader"), F.count("*").over(bucket).alias("size"))
+        return staged(met.filter("size > 1").drop("size"), "postings")
+
+    return [turn(k) for k in range(turns)]
+
+
+def _promising(pairs: DataFrame, short: DataFrame, percent: int) -> DataFrame:
     """The pairs whose prefixes share enough, and how many (shared): past its prefix, the one whose prefix ends first in the order has fewer than ``_least`` shingles left to share."""
-    prefix = lambda c: full.select(F.col("row").alias(c), F.col("prefix").alias(f"x{c}")).join(pairs.select(c).distinct(), c, "left_semi")
+    prefix = lambda c: short.select(F.col("node").alias(c), F.col("prefix").alias(f"x{c}"))
     met = pairs.join(prefix("a"), "a").join(prefix("b"), "b")
     left = F.ceil(F.lit(percent) * F.greatest("na", "nb") / F.lit(100)) - 1
     met = met.withColumn("shared", F.size(F.array_intersect("xa", "xb"))).drop("xa", "xb")
@@ -349,17 +368,18 @@ def _cells(rest: DataFrame, percent: int) -> DataFrame:
     return staged(placed.join(several.select("h", "cell"), ["h", "cell"]), "cells")
 
 
-def _crossing(rest: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+def _crossing(rest: DataFrame, short: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, na, b, nb, shared) of nodes of different components that share a cell of `_cells`; shared as in `_promising`, null where not known yet.
 
     A pair is made in the bucket of the first shingle that both prefixes hold, not in each bucket it shares: an earlier
     one among the first HEAD leaves the others out, as the positional bound is widest there. Where both prefixes
     end within HEAD, their whole overlap is known too, and pairs that `_promising` would drop aren't made.
     """
-    head = full.select(F.col("row").alias("node"), F.slice("prefix", 1, HEAD).alias("x"), (F.size("prefix") <= HEAD).alias("w"))
-    held = rest.join(head, "node")
-    side = lambda c, rows: rows.select(F.col("h").alias(f"h{c}"), F.col("cell").alias(f"c{c}"), F.col("node").alias(c), *[F.col(k).alias(v + c) for k, v in (("n", "n"), ("pos", "p"), ("root", "r"), ("x", "x"), ("w", "w"))])
-    before = lambda c: F.slice(f"x{c}", F.lit(1), F.col(f"p{c}"))
+    head = short.select("node", F.slice("prefix", 1, HEAD).alias("x"), (F.size("prefix") <= HEAD).alias("w"))
+    place = F.array_position("x", F.col("h")).cast("int")  # from 1; 0: beyond HEAD
+    held = rest.join(head, "node").withColumn("before", F.when(place > 0, place - 1).otherwise(F.size("x")))
+    side = lambda c, rows: rows.select(F.col("h").alias(f"h{c}"), F.col("cell").alias(f"c{c}"), F.col("node").alias(c), *[F.col(k).alias(v + c) for k, v in (("n", "n"), ("pos", "p"), ("root", "r"), ("x", "x"), ("w", "w"), ("before", "q"))])
+    before = lambda c: F.slice(f"x{c}", F.lit(1), F.col(f"q{c}"))
     rest_of = F.ceil(F.lit(percent) * F.greatest("na", "nb") / F.lit(100)) - 1
     shared = F.when(F.col("wa") & F.col("wb"), F.size(F.array_intersect("xa", "xb")))
     enough = shared.isNull() | (shared + rest_of >= _needed(percent))
@@ -372,21 +392,23 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included)."""
     docs = documents(docs)
     often = frequent_shingles(docs, words)
-    rows = staged(sets(docs, often, words, percent).withColumn("row", F.monotonically_increasing_id()), "sets")
+    found = staged(sets(docs, often, words, percent).withColumn("row", F.monotonically_increasing_id()), "sets")
+    rows = staged(found.drop("prefix"), "rows")
     full = rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     nodes = staged(full.groupBy("set_id").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "nodes")
-    prefixes = full.select("row", "n", "prefix").join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
-    postings = prefixes.select(F.col("row").alias("node"), "n", F.posexplode("prefix").alias("pos", "h"))
-    # most shingles are in one prefix only: they go by their counts, before rows are moved
-    repeated = staged(postings.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1").select("h"), "repeated")
-    held = staged(postings.join(repeated, "h", "left_semi"), "postings")
-    dropped(repeated)
-    leaders = held.groupBy("h").agg(F.min(F.struct("node", "n", "pos")).alias("leader"))
-    buckets = live = staged(held.join(leaders, "h"), "buckets")
-    dropped(held)
+    prefixes = found.select(F.col("row").alias("node"), "n", "prefix").join(nodes.select("node"), "node", "left_semi")
+    prefixes = staged(prefixes, "prefixes")
+    dropped(found)
+    held = _postings(prefixes)
+    dropped(prefixes)
+    buckets = reduce(DataFrame.union, held)
+    # of a prefix only the shingles that others hold, in order: what it shares with another stays the same
+    short = buckets.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("pos", "h")))["h"].alias("prefix"))
+    short = staged(short, "short")
+    live = buckets
     near = live.filter(F.col("node") != F.col("leader.node")).select(F.col("leader.node").alias("a"), F.col("leader.n").alias("na"), F.col("leader.pos").alias("pa"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
     pairs = staged(near.filter(_may_link(percent)).select("a", "na", "b", "nb").distinct(), "pairs")
-    found = _similar(docs, nodes, _promising(pairs, full, percent), often, words, percent, parts)
+    found = _similar(docs, nodes, _promising(pairs, short, percent), often, words, percent, parts)
     rooted = components(found, "a", "b")
 
     live = live.select("h", "node", "n", "pos")
@@ -405,24 +427,24 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     near = near.select(F.col("leader.node").alias("a"), F.col("leader.n").alias("na"), F.col("leader.pos").alias("pa"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
     more = staged(near.filter(_may_link(percent)).select("a", "na", "b", "nb").distinct(), "more_pairs")
     dropped(rest)
-    more = _promising(more, full, percent)
+    more = _promising(more, short, percent)
     if more.take(1):
         found = found.union(_similar(docs, nodes, more, often, words, percent, parts))
         rooted = components(found, "a", "b")
 
     rest = _open(live, rooted)
     cells = _cells(rest, percent)
-    dropped(rest, buckets)
-    crossing = met = staged(_crossing(cells, full, percent), "crossing")
+    dropped(rest, *held)
+    crossing = met = staged(_crossing(cells, short, percent), "crossing")
     dropped(cells)
     untested, rest = met.filter("shared is null").drop("shared"), None
     if untested.take(1):
-        rest = _promising(untested, full, percent)
+        rest = _promising(untested, short, percent)
         crossing = met.filter("shared is not null").unionByName(rest)
     if crossing.take(1):
         found = found.union(_similar(docs, nodes, crossing, often, words, percent, parts, found))
         rooted = components(found, "a", "b")
-    dropped(met, rest)
+    dropped(met, rest, short)
 
     root = F.coalesce("root", "node")
     whole = nodes.join(rooted, "node", "left").select("set_id", "doc_id", root.alias("root"))

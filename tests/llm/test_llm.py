@@ -429,6 +429,32 @@ def test_jaccard(spark, docs, none):
     assert jaccard.similar_components(none).count() == 0
 
 
+def test_jaccard_shuffles_each_posting_once(spark, monkeypatch):
+    seen, staged = [], jaccard.staged
+
+    def watched(df, name):
+        out = staged(df, name)
+        if name == "postings":
+            seen.append((df._jdf.queryExecution().sparkPlan().toString(), df._jdf.queryExecution().executedPlan().toString(), out.collect()))
+        return out
+
+    monkeypatch.setattr(jaccard, "staged", watched)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join(base[:k] + [f"x{k}"] + base[k + 1 :])) for k in (3, 57)] + [(9, " ".join(f"y{i}" for i in range(50)))] + [(100, " ".join(base))]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {3: 3, 57: 3, 9: 9, 100: 3}
+    # a range of hashes in each turn, by one shuffle and without a join
+    assert len(seen) == jaccard.TURNS and not any("Join" in plan for plan, _, _ in seen)
+    assert all(ran.split("Initial Plan")[0].count("Exchange hashpartitioning") == 1 for _, ran, _ in seen)
+    turns = [{r["h"] % jaccard.TURNS for r in found} for _, _, found in seen]
+    assert all(t <= {k} for k, t in enumerate(turns)) and set().union(*turns)
+    members = {}
+    for r in (r for _, _, found in seen for r in found):
+        members.setdefault(r["h"], []).append(r)
+    for bucket in members.values():
+        assert len(bucket) > 1 and {r["leader"]["node"] for r in bucket} == {min(r["node"] for r in bucket)}
+
+
 def test_jaccard_finds_links_beyond_leaders(spark):
     # a and c only meet through b, and the leader of their bucket is like neither
     draw = random.Random(8)
