@@ -51,13 +51,13 @@ def _occurrences(pair: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.n
     table[slot] = np.arange(len(chosen))
     # most places fall to the small table of flags
     slot = (pair * _ODD) >> np.uint32(32 - _TABLE)
-    at = np.flatnonzero(taken[slot])
+    at = np.flatnonzero(taken.take(slot, mode="clip"))
     where = table[slot[at]]
     same = chosen[where] == pair[at]
     at, where = at[same], where[same]
     begins = np.r_[True, np.diff(at) != 1]
     run = at - at[np.flatnonzero(begins)[np.cumsum(begins) - 1]]
-    first = run % 2 == 0
+    first = (run & 1) == 0
     return at[first], where[first]
 
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -113,11 +114,14 @@ class ChunkEncoder:
         at = np.flatnonzero(cut)
         texts = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(np.append(at, len(data)).astype(np.int64)), pa.py_buffer(data)])
         coded = texts.dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False)  # a list of scalars costs several times as much
         if len(self.known) > self.entries:
             self._empty()
-        self._encode([p for p in pieces if p not in self.known])
-        slot = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))[coded.indices.to_numpy()]
+        number = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = pieces[number < 0].tolist()
+        self._encode(new)
+        number[number < 0] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+        slot = number[coded.indices.to_numpy()]
         table = pa.LargeListArray.from_arrays(np.append(self.begin, len(self.flat)), self.flat)
         return table.take(slot).flatten().to_numpy(), at, np.cumsum(self.size[slot])
 

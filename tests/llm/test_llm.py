@@ -672,3 +672,30 @@ def test_token_rules_expand_round_by_round(n, kinds, monkeypatch):
         of[1000 + k] = of[a] + of[b]
         assert flat[starts[1000 + k] : starts[1000 + k] + sizes[1000 + k]].tolist() == of[1000 + k]
     assert n < 60_000 or 0 < len(calls) < len(rules) / 20
+
+
+def test_a_known_piece_is_looked_up_once():
+    from lodestone.llm import tokens
+
+    class Counted(dict):
+        looks = 0
+
+        def get(self, *a):
+            self.looks += 1
+            return dict.get(self, *a)
+
+        def __getitem__(self, k):
+            self.looks += 1
+            return dict.__getitem__(self, k)
+
+        def __contains__(self, k):
+            self.looks += 1
+            return dict.__contains__(self, k)
+
+    own = tokens.ChunkEncoder(tokens.vocabulary(tokenfiles.VOCABULARY))
+    texts = ["one two three, one two\n\nfour", "", "\u00e9t\u00e9 one \u4f60\u597d two's"]
+    first = own.encode(texts)
+    assert [np.frombuffer(b, "<u2").tolist() for b in first] == [e.ids for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    own.known = Counted(own.known)
+    assert own.encode(texts) == first
+    assert 0 < own.known.looks < len(own.known)  # its pieces, each once; the strings of special tokens aren't there
