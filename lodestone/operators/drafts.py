@@ -183,7 +183,7 @@ def items(envelopes: DataFrame, id_col: str = "id", body: str = "body", sections
     """id, section, item_index, item (VARIANT) of every item of JSON envelopes, of some sections only where a step needs no others."""
     v = F.try_parse_json(F.col(body))
     df = envelopes.select(F.col(id_col).alias("id"), F.col(body).alias("body"), v.alias("v")).filter(F.col("body").isNotNull())
-    whole = F.coalesce(F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0), F.lit("")) == "OBJECT"
+    whole = F.try_variant_get("v", "$", "map<string,variant>").isNotNull()  # an object
     legacy = F.exists(F.try_variant_get("v", "$.entities", "array<variant>"), lambda e: F.try_variant_get(e, "$.types", "variant").isNull() & F.try_variant_get(e, "$.type", "variant").isNotNull() & canonical_type(F.try_variant_get(e, "$.type", "string")).isNull())
     df = df.withColumn("_bad", ~whole | F.coalesce(legacy, F.lit(False)))
     rows = lambda s: F.transform(F.try_variant_get("v", f"$.{s}", "array<variant>"), lambda item, k: F.struct(F.lit(s).alias("section"), k.alias("item_index"), item.alias("item")))
@@ -194,72 +194,98 @@ def items(envelopes: DataFrame, id_col: str = "id", body: str = "body", sections
     return df.select("id", F.explode(every).alias("x")).select("id", "x.section", "x.item_index", F.col("x.item").alias("item"))
 
 
+def _whole(x, sections) -> Column:
+    """An item (``x``: what ``_fields`` says of it), of these sections alone, with the defaults of its section: its JSON text is merged, not parsed by field."""
+    out = F.lit(None).cast("string")
+    for name in (n for n in _DEFAULTS if n in sections):
+        extra = F.concat(*[F.when(_kind(x, f).isNull(), f',"{f}":{value}').otherwise("") for f, value in _DEFAULTS[name].items()])
+        if name == "entities":
+            typed = lambda kind: F.when(_kind(x, "types").isNull() & kind.isNotNull(), F.concat(F.lit(',"types":["'), kind, F.lit('"]'))).otherwise("")
+            extra = F.concat(extra, let(canonical_type(_get(x["item"], "type")), typed))
+        whole = let(F.to_json(x["item"]), lambda text: F.regexp_replace(F.concat(F.substr(text, F.lit(1), F.length(text) - 1), extra, F.lit("}")), r"^\{,", "{"))
+        out = F.when(F.col("section") == name, whole).otherwise(out)
+    return F.coalesce(F.try_parse_json(out), x["item"])
+
+
 def _filled(df: DataFrame, sections) -> DataFrame:
-    """Items, of these sections alone, with the defaults of their section: the JSON text of each is merged, not parsed by field. ``_kinds`` has the kind of each field."""
+    """Items, of these sections alone, with the defaults of their section. ``_kinds`` has the kind of each field."""
     is_object = F.coalesce(F.regexp_extract(F.schema_of_variant(F.col("item")), "^[A-Z]+", 0), F.lit("")) == "OBJECT"
-
-    def merged(x: Column) -> Column:
-        out = F.lit(None).cast("string")
-        for name in (n for n in _DEFAULTS if n in sections):
-            extra = F.concat(*[F.when(_kind(x, f).isNull(), f',"{f}":{value}').otherwise("") for f, value in _DEFAULTS[name].items()])
-            if name == "entities":
-                typed = lambda kind: F.when(_kind(x, "types").isNull() & kind.isNotNull(), F.concat(F.lit(',"types":["'), kind, F.lit('"]'))).otherwise("")
-                extra = F.concat(extra, let(canonical_type(_get(x["item"], "type")), typed))
-            whole = let(F.to_json(x["item"]), lambda text: F.regexp_replace(F.concat(F.substr(text, F.lit(1), F.length(text) - 1), extra, F.lit("}")), r"^\{,", "{"))
-            out = F.when(F.col("section") == name, whole).otherwise(out)
-        return F.coalesce(F.try_parse_json(out), x["item"])
-
-    whole = F.when(is_object, let(_fields(F.col("item")), merged)).otherwise(F.col("item"))
+    whole = F.when(is_object, let(_fields(F.col("item")), lambda x: _whole(x, sections))).otherwise(F.col("item"))
     df = fixed(df, "_x", F.struct(let(whole, _fields).alias("x"), is_object.alias("object")))
     return df.select("id", "section", "item_index", F.to_json("item").alias("input"), F.col("_x.x.item").alias("item"), F.col("_x.x.kinds").alias("_kinds"), F.col("_x.object").alias("_object"))
 
 
-def entity_index(entities: DataFrame) -> DataFrame:
-    """id, key, types of entities (id, item_index, name, types, aliases): a folded name or alias; the last of a name has it, else the first of an alias."""
-    names = entities.select("id", fold(F.col("name")).alias("key"), F.lit(0).alias("rank"), (-F.col("item_index")).alias("at"), "types")
-    aliases = entities.select("id", "item_index", "types", F.explode("aliases").alias("a")).select("id", fold(F.col("a")).alias("key"), F.lit(1).alias("rank"), F.col("item_index").alias("at"), "types")
-    return names.unionByName(aliases).filter("key <> ''").groupBy("id", "key").agg(F.min_by("types", F.struct("rank", "at")).alias("types"))
+def _own(df: DataFrame, section: str) -> DataFrame:
+    """Items of one section as they are, ``_kinds`` of their own fields; ``whole``, with the defaults, costs only those who read it."""
+    df = fixed(df, "_kinds", _fields(F.col("item"))["kinds"])
+    x = {"item": F.col("item"), "kinds": F.col("_kinds")}
+    whole = F.when(F.col("_kinds").isNotNull(), _whole(x, (section,))).otherwise(F.col("item"))
+    return df.select("*", F.col("_kinds").isNotNull().alias("_object"), F.to_json("item").alias("input"), whole.alias("whole"))
+
+
+def entity_index(entities: DataFrame, some: Column | None = None) -> DataFrame:
+    """id, key, types of entities (id, item_index, name, types, aliases): a folded name or alias; the last of a name has it, else the first of an alias.
+
+    With ``some``, a condition: ``some_types`` is what the index of the entities that meet it has for the key, or null.
+    """
+    key = lambda name, rank, at: F.struct(fold(name).alias("key"), F.lit(rank).alias("rank"), at.alias("at"))
+    aliases = F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: key(a, 1, F.col("item_index")))
+    keys = F.explode(F.concat(F.array(key(F.col("name"), 0, -F.col("item_index"))), aliases))
+    each = entities.select("id", "types", F.lit(True) if some is None else some.alias("some"), keys.alias("k")).filter("k.key <> ''")
+    order = F.struct("k.rank", "k.at")
+    best = [F.min_by("types", order).alias("types")] + ([] if some is None else [F.min_by("types", F.when(F.col("some"), order)).alias("some_types")])
+    return each.groupBy("id", F.col("k.key").alias("key")).agg(*best)
 
 
 def _with_types(claims: DataFrame, index: DataFrame) -> DataFrame:
     """Claims (id, subject, object) with the types that their envelope's entities give to both ends; null where it knows none.
 
     An envelope's keys are one map, so both ends take one join; the map's side grows with the envelopes, and sizes guessed
-    from compressed files must not make it a broadcast.
+    from compressed files must not make it a broadcast. An index with ``some_types`` gives these too.
     """
-    known = index.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("key", "types"))).alias("_known"))
-    met = claims.join(known.hint("merge"), "id", "left")
-    at = lambda end: F.col("_known")[fold(F.coalesce(F.col(end), F.lit("")))].alias(f"{end}_types")
-    return met.select(*claims.columns, at("subject"), at("object"))
+    kinds = [k for k in ("types", "some_types") if k in index.columns]
+    known = lambda k: F.map_from_entries(F.collect_list(F.when(F.col(k).isNotNull(), F.struct("key", k)))).alias(f"_{k}")
+    met = claims.join(index.groupBy("id").agg(*map(known, kinds)).hint("merge"), "id", "left")
+    at = lambda end, k: F.col(f"_{k}")[fold(F.coalesce(F.col(end), F.lit("")))].alias(f"{end}_{k}")
+    return met.select(*claims.columns, *[at(end, k) for k in kinds for end in ("subject", "object")])
 
 
-def compile_items(envelopes: DataFrame, id_col: str = "id", body: str = "body", limit: int = 5, known: Predicates = DEFAULT) -> DataFrame:
-    """id, section, item_index, status (ACCEPTED, REJECTED), error_code, error_message, input (JSON), compiled (JSON of the canonical item, accepted ones only), item (VARIANT).
+def _tidy(c: Column) -> Column:
+    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
 
-    Codes: SCHEMA_INVALID, ENTITY_INVALID, EVIDENCE_INVALID, UNSUPPORTED_PREDICATE, DOMAIN_RANGE_INVALID, CLAIM_INVALID.
-    """
-    raw = lambda *sections: items(envelopes, id_col, body, sections)
-    filled = lambda *sections: _filled(raw(*sections), sections)
-    c, item = F.col, F.col("item")
+
+def _drafted_entities(raw: DataFrame) -> DataFrame:
+    """Entities as drafted (of ``items``) with name, types, aliases, description, properties in canonical form, and error_code, error_message; ``usable`` ones the compiler can name, even where the schema refuses them."""
+    c, item, none = F.col, F.col("item"), F.array().cast("array<string>")
+    e = _own(raw, "entities")
     x = {"item": item, "kinds": c("_kinds")}
-    # entities: a name and at least one type that the registry has
-    types, aliases = _strings(item, "types"), _strings(item, "aliases")
-    tidy = lambda x: strip(F.regexp_replace(x, r"(?U)\s+", " "))
-    none = F.array().cast("array<string>")
-    given = F.struct(tidy(F.coalesce(_get(item, "name"), F.lit(""))).alias("name"), F.coalesce(types, none).alias("given"), F.coalesce(aliases, none).alias("aliases"))
-    e = fixed(filled("entities"), "_e", given).select("*", "_e.name", F.col("_e.given").alias("_given"), F.array_distinct(F.transform("_e.given", canonical_type)).alias("types"), F.array_distinct(F.filter(F.transform("_e.aliases", tidy), lambda a: a != "")).alias("aliases"))
+    # a name and at least one type that the registry has; an older form has one type
+    types = let(canonical_type(_get(item, "type")), lambda kind: F.when(_kind(x, "types").isNull() & kind.isNotNull(), F.array(kind)).otherwise(_strings(item, "types")))
+    extra = ~_only(c("_kinds"), ("name", "types", "type", "id", "aliases", "description", "properties"))
+    given = F.struct(_tidy(F.coalesce(_get(item, "name"), F.lit(""))).alias("name"), F.coalesce(types, none).alias("given"), F.coalesce(_strings(item, "aliases"), none).alias("aliases"))
+    e = fixed(e, "_e", given).select("*", "_e.name", F.col("_e.given").alias("_given"), F.array_distinct(F.transform("_e.given", canonical_type)).alias("types"), F.array_distinct(F.filter(F.transform("_e.aliases", _tidy), lambda a: a != "")).alias("aliases"))
     unsupported = F.get(F.filter("_given", lambda t: canonical_type(t).isNull()), F.lit(0))
     why = F.when(~c("_object"), "not an object").when(unsupported.isNotNull(), F.concat(F.lit("Unsupported entity type: "), unsupported)).when((c("name") == "") | (F.size("types") == 0), "Entity requires name and at least one type")
-    e = fixed(e, "error_message", why).withColumn("error_code", F.when(c("error_message").isNotNull(), "ENTITY_INVALID"))
-    index = entity_index(e.filter("error_code is null"))
-    entity_json = F.to_json(F.struct("name", "types", "aliases", F.when(_kind(x, "description") == "string", _get(item, "description")).alias("description"), _get(item, "properties", "variant").alias("properties")), {"ignoreNullFields": "false"})
-    entity_rows = e.select("id", "section", "item_index", "input", "error_code", "error_message", F.when(c("error_code").isNull(), entity_json).alias("compiled"), "item")
-    # claims: a quote, and what the compiler says
+    # all else of the canonical form keeps the schema by how it was made
+    broken = F.array_compact(F.array(F.when(extra, "fields"), F.when(F.coalesce(_kind(x, "properties"), F.lit("object")) != "object", "properties")))
+    e = fixed(e, "_why", F.struct(why.alias("error"), F.when(why.isNull(), broken).alias("broken"))).withColumn("usable", c("_why.error").isNull())
+    bad = c("usable") & (F.size("_why.broken") > 0)
+    code = F.when(~c("usable"), "ENTITY_INVALID").when(bad, "SCHEMA_INVALID")
+    message = F.when(~c("usable"), c("_why.error")).when(bad, F.concat(F.lit(_REFUSED), F.array_join("_why.broken", ", ")))
+    description = F.when(_kind(x, "description") == "string", _get(item, "description"))
+    properties = F.coalesce(_get(item, "properties", "variant"), F.parse_json(F.lit("{}")))
+    return e.select("id", "section", "item_index", "input", "whole", "name", "types", "aliases", description.alias("description"), properties.alias("properties"), "usable", code.alias("error_code"), message.alias("error_message"))
+
+
+def _drafted_claims(raw: DataFrame, index: DataFrame, limit: int, known: Predicates) -> DataFrame:
+    """Claims as drafted (of ``items``) with ``claim``, ``context`` (JSON), and error_code, error_message: a quote, what the compiler says, the schema."""
+    c, item = F.col, F.col("item")
+    x = {"item": item, "kinds": c("_kinds")}
     text = lambda f: _get(item, f).alias(f)
     note = F.when(_kind(x, "context") == "string", _get(item, "context")).otherwise(_get(item, "context.note"))
     quote = F.coalesce(_get(item, "evidence_quote"), F.lit(""))
-    fields = F.struct(tidy(F.coalesce(_get(item, "subject"), F.lit(""))).alias("subject"), F.coalesce(_get(item, "predicate_candidate"), _get(item, "predicate")).alias("predicate"), *map(text, ("object", "claim_type", "polarity", "modality", "temporal_signal")), note.alias("context_note"), F.concat_ws(" ", F.nullif(_get(item, "content"), F.lit("")), F.nullif(quote, F.lit(""))).alias("resolution_text"), quote.alias("quote"))
-    claims = fixed(filled("claims"), "_c", fields).select("id", "section", "item_index", "input", "item", "_kinds", "_object", "_c.*")
+    fields = F.struct(_tidy(F.coalesce(_get(item, "subject"), F.lit(""))).alias("subject"), F.coalesce(_get(item, "predicate_candidate"), _get(item, "predicate")).alias("predicate"), *map(text, ("object", "claim_type", "polarity", "modality", "temporal_signal")), note.alias("context_note"), F.concat_ws(" ", F.nullif(_get(item, "content"), F.lit("")), F.nullif(quote, F.lit(""))).alias("resolution_text"), quote.alias("quote"))
+    claims = fixed(_own(raw, "claims"), "_c", fields).select("id", "section", "item_index", "input", "item", "whole", "_kinds", "_object", "_c.*")
     done = compile_claims(_with_types(claims, index), limit, known)
     near = F.when(F.size("resolution.candidates") > 0, c("resolution.candidates")).otherwise(suggested(c("predicate"), 4, known))
     folded = F.regexp_replace(F.regexp_replace(F.lower(strip(F.coalesce(c("predicate"), F.lit("None")))), "[^a-z0-9_]+", "_"), "^_+|_+$|(?<=_)_+", "")
@@ -267,28 +293,43 @@ def compile_items(envelopes: DataFrame, id_col: str = "id", body: str = "body",
     illegal = F.array_contains("reasons", "domain_range_violation")
     code = F.when(~c("_object"), "CLAIM_INVALID").when(c("quote") == "", "EVIDENCE_INVALID").when(c("status") == "unresolved", "UNSUPPORTED_PREDICATE").when((c("status") == "rejected") & illegal, "DOMAIN_RANGE_INVALID").when(c("status") == "rejected", "CLAIM_INVALID")
     message = F.when(~c("_object"), "not an object").when(c("quote") == "", "an evidence quote is required for every claim").when(c("status") == "unresolved", F.concat(F.lit("Unsupported claim predicate: "), folded, F.lit("."), hint)).when((c("status") == "rejected") & illegal, F.concat_ws(" ", F.lit("Claim violates ontology domain/range:"), c("subject"), c("resolution.predicate"), F.coalesce(c("object"), F.lit("(none)")))).when(c("status") == "rejected", c("reasons")[0])
-    claim_json = F.to_json(F.struct("claim.*", F.when(_kind(x, "context") == "object", F.to_json(_get(item, "context", "variant"))).when(_kind(x, "context") == "string", F.to_json(F.struct(_get(item, "context").alias("note")))).otherwise("{}").alias("context"), F.when(_one_of(x, "confidence", ("unstated",)), 0.5).otherwise(_get(item, "confidence", "double")).alias("confidence"), *[_get(item, f).alias(f) for f in ("content", "object_kind", *_SOURCE)]), {"ignoreNullFields": "false"})
-    claim_rows = done.select("id", "section", "item_index", "input", code.alias("error_code"), message.alias("error_message"), F.when(code.isNull(), claim_json).alias("compiled"), "item", "_kinds")
-    others = filled("events", "ideas", "questions").select("id", "section", "item_index", "input", F.when(~c("_object"), "SCHEMA_INVALID").alias("error_code"), F.when(~c("_object"), "not an object").alias("error_message"), F.to_json("item").alias("compiled"), "item", "_kinds")
+    context = F.when(_kind(x, "context") == "object", F.to_json(_get(item, "context", "variant"))).when(_kind(x, "context") == "string", F.to_json(F.struct(_get(item, "context").alias("note")))).otherwise("{}")
+    done = done.select("*", code.alias("error_code"), message.alias("error_message"), context.alias("context"))
+    return _by_schema(done, F.struct("item", c("_kinds").alias("kinds")), ("claims",))  # no default of a claim breaks or mends a rule
+
+
+def compile_items(envelopes: DataFrame, id_col: str = "id", body: str = "body", limit: int = 5, known: Predicates = DEFAULT) -> DataFrame:
+    """id, section, item_index, status (ACCEPTED, REJECTED), error_code, error_message, input (JSON), compiled (JSON of the canonical item, accepted ones only), item (VARIANT).
+
+    Codes: SCHEMA_INVALID, ENTITY_INVALID, EVIDENCE_INVALID, UNSUPPORTED_PREDICATE, DOMAIN_RANGE_INVALID, CLAIM_INVALID.
+    """
+    raw = lambda *sections: items(envelopes, id_col, body, sections)
+    c, item = F.col, F.col("item")
+    x = {"item": item, "kinds": c("_kinds")}
+    row = lambda df, compiled, whole: df.select("id", "section", "item_index", "input", "error_code", "error_message", F.when(c("error_code").isNull(), compiled).alias("compiled"), c(whole).alias("item"))
+    e = _drafted_entities(raw("entities"))
+    entity_rows = row(e, F.to_json(F.struct("name", "types", "aliases", "description", "properties"), {"ignoreNullFields": "false"}), "whole")
+    claims = _drafted_claims(raw("claims"), entity_index(e.filter("usable")), limit, known)
+    claim_json = F.to_json(F.struct("claim.*", "context", F.when(_one_of(x, "confidence", ("unstated",)), 0.5).otherwise(_get(item, "confidence", "double")).alias("confidence"), *[_get(item, f).alias(f) for f in ("content", "object_kind", *_SOURCE)]), {"ignoreNullFields": "false"})
+    claim_rows = row(claims, claim_json, "whole")
+    later = ("events", "ideas", "questions")
+    others = _filled(raw(*later), later).select("*", F.when(~c("_object"), "SCHEMA_INVALID").alias("error_code"), F.when(~c("_object"), "not an object").alias("error_message"))
+    others = row(_by_schema(others, F.struct("item", c("_kinds").alias("kinds")), later), F.to_json("item"), "item")
     broken = raw("envelope").select("id", "section", "item_index", F.to_json("item").alias("input"), F.lit("ENTITY_INVALID").alias("error_code"), F.lit("not a usable envelope").alias("error_message"), F.lit(None).cast("string").alias("compiled"), "item")
-    extra = ~_only(F.try_variant_get(item, "$", "map<string,variant>"), ("name", "types", "type", "id", "aliases", "description", "properties"))
-    entity_rows = _by_schema(entity_rows, _fields(F.try_parse_json("compiled")), ("entities",), F.when(extra, F.array(F.lit("fields"))))  # in their canonical form
-    whole = F.struct("item", c("_kinds").alias("kinds"))
-    claim_rows = _by_schema(claim_rows, whole, ("claims",)).drop("_kinds")
-    others = _by_schema(others, whole, ("events", "ideas", "questions")).drop("_kinds")
     out = reduce(DataFrame.unionByName, (entity_rows, claim_rows, others, broken))
-    return out.select("id", "section", "item_index", F.when(c("error_code").isNull(), "ACCEPTED").otherwise("REJECTED").alias("status"), "error_code", "error_message", "input", F.when(c("error_code").isNull(), c("compiled")).alias("compiled"), "item")
+    return out.select("id", "section", "item_index", F.when(c("error_code").isNull(), "ACCEPTED").otherwise("REJECTED").alias("status"), "error_code", "error_message", "input", "compiled", "item")
 
 
-def _by_schema(rows: DataFrame, fields: Column, sections, more: Column | None = None) -> DataFrame:
+_REFUSED = "rejected by extraction schema validation: "
+
+
+def _by_schema(rows: DataFrame, fields: Column, sections) -> DataFrame:
     """Rows (``fields``: what ``_fields`` says of each) without an error so far get one where they break the schema's rules."""
     none = F.array().cast("array<string>")
     problems = let(fields, lambda x: _broken_rules(x, F.col("section"), sections))
-    if more is not None:
-        problems = F.array_union(F.coalesce(more, none), problems)
     rows = fixed(rows, "_rules", F.when(F.col("error_code").isNull(), problems).otherwise(none))
     bad = F.size("_rules") > 0
-    message = F.concat(F.lit("rejected by extraction schema validation: "), F.array_join("_rules", ", "))
+    message = F.concat(F.lit(_REFUSED), F.array_join("_rules", ", "))
     return rows.withColumn("error_message", F.when(bad, message).otherwise(F.col("error_message"))).withColumn("error_code", F.when(bad, "SCHEMA_INVALID").otherwise(F.col("error_code"))).drop("_rules")
 
 
@@ -318,9 +359,8 @@ def accepted_claims(compiled: DataFrame) -> DataFrame:
 
 def material_condition(context: Column) -> Column:
     """Whether a claim's context (JSON) sets a condition: one of the material keys with a value that isn't empty."""
-    v = F.try_parse_json(context)
-    set_to = lambda k: F.coalesce(F.to_json(F.try_variant_get(v, f"$.{k}", "variant")), F.lit("null"))
-    return reduce(lambda a, b: a | b, [~set_to(k).isin("null", '""', "[]", "{}") for k in registry.MATERIAL_KEYS])
+    set_to = lambda v, k: F.coalesce(F.to_json(F.try_variant_get(v, f"$.{k}", "variant")), F.lit("null"))
+    return let(F.try_parse_json(context), lambda v: reduce(lambda a, b: a | b, [~set_to(v, k).isin("null", '""', "[]", "{}") for k in registry.MATERIAL_KEYS]))
 
 
 def relation_candidates(claims: DataFrame, entities: DataFrame, known: Predicates = DEFAULT) -> DataFrame:
@@ -328,7 +368,23 @@ def relation_candidates(claims: DataFrame, entities: DataFrame, known: Predicate
 
     REJECTED (an unknown subject, an unregistered predicate), CLAIM_ONLY, CONDITIONAL_RELATION or DIRECT_RELATION; the first rule that fits.
     """
-    df = _with_types(claims, entity_index(entities))
+    return _outcome(_with_types(claims, entity_index(entities)), known).select(*claims.columns, "outcome", "reason")
+
+
+def envelope_relations(envelopes: DataFrame, id_col: str = "id", body: str = "body", limit: int = 5, known: Predicates = DEFAULT) -> DataFrame:
+    """id, item_index, the canonical fields of each accepted claim of JSON envelopes, outcome and reason: ``relation_candidates`` of what ``compile_items`` accepts.
+
+    Only entities and claims are compiled, each once; one join has the types that the compiler sees and those of accepted entities.
+    """
+    raw = lambda section: items(envelopes, id_col, body, (section,))
+    index = entity_index(_drafted_entities(raw("entities")).filter("usable"), F.col("error_code").isNull())
+    done = _drafted_claims(raw("claims"), index, limit, known).filter("error_code is null")
+    claims = done.select("id", "item_index", "claim.*", "context", *[F.col(f"{end}_some_types").alias(f"{end}_types") for end in ("subject", "object")])
+    return _outcome(claims, known).drop("subject_types", "object_types")
+
+
+def _outcome(df: DataFrame, known: Predicates) -> DataFrame:
+    """Claims with subject_types and object_types: outcome and reason, the first rule that fits."""
     p = F.col("predicate")
     table = F.from_json(F.lit(json.dumps({k: {"source": list(s), "target": list(t)} for k, (s, t) in known.relations.items()})), "map<string,struct<source:array<string>,target:array<string>>>")
     spec = table[p]
@@ -346,7 +402,7 @@ def relation_candidates(claims: DataFrame, entities: DataFrame, known: Predicate
         pair = F.struct(F.lit(outcome).alias("outcome"), F.lit(reason).alias("reason"))
         verdict = F.when(when, pair) if verdict is None else verdict.when(when, pair)
     verdict = verdict.otherwise(F.struct(F.lit("DIRECT_RELATION").alias("outcome"), F.lit("all_direct_relation_requirements_satisfied").alias("reason")))
-    return df.withColumn("_v", verdict).select(*claims.columns, "_v.outcome", "_v.reason")
+    return fixed(df, "_v", verdict).select(*df.columns, "_v.outcome", "_v.reason")
 
 
 # evaluation of drafts

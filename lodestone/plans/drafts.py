@@ -103,9 +103,7 @@ select id, predicate, case when k = 2 then 'new' end as temporal_signal, case wh
  case when t3 = 2 or bare then 'subject_or_object_not_resolved' when k = 3 then 'predicate_is_claim_only' when k in (1, 2) then 'no_relation_predicate_mapping' when maybe then 'non_asserted_or_negative_claim'
  when scoped then 'material_context_requires_claim_only' else 'all_direct_relation_requirements_satisfied' end as reason from a""")
 def draft_relations(spark, d):
-    compiled = drafts.compile_items(_envelopes(spark, d))
-    out = drafts.relation_candidates(drafts.accepted_claims(compiled), drafts.accepted_entities(compiled))
-    return out.select("id", "predicate", "temporal_signal", "outcome", "reason")
+    return drafts.envelope_relations(_envelopes(spark, d)).select("id", "predicate", "temporal_signal", "outcome", "reason")
 
 
 def _cases(spark, d):

@@ -135,3 +135,17 @@ def test_plans_read_each_item_once_and_broadcast_nothing(spark, tmp_path):
     report = drafts.draft_report(plans._cases(spark, "/root/testdata/sf0.001"), per_case=True)
     physical = report._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in physical and "BroadcastExchange" not in physical
+
+
+def test_relations_of_envelopes_read_entities_and_claims_once(spark):
+    """The same rows as from what compile_items accepts, entities that only the schema refuses among them; no other section is compiled."""
+    from lodestone.plans import drafts as plans
+
+    more = ENVELOPE | {"claims": [*ENVELOPE["claims"], claim(subject="Y"), claim(subject="acme", object="TOOL"), claim(subject="acme inc", context={"scope": "x"})]}
+    envelopes = spark.createDataFrame([("a", json.dumps(more)), ("b", "not json"), ("c", None), ("f", json.dumps({"claims": [claim()]}))], "id string, body string")
+    every = drafts.compile_items(envelopes)
+    want = drafts.relation_candidates(drafts.accepted_claims(every), drafts.accepted_entities(every)).select("id", "item_index", "predicate", "context", "outcome", "reason")
+    got = drafts.envelope_relations(envelopes).select(*want.columns)
+    assert sorted(got.collect()) == sorted(want.collect()) and {"REJECTED", "DIRECT_RELATION", "CONDITIONAL_RELATION"} <= {r.outcome for r in got.collect()}
+    plan = plans.draft_relations(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2  # 5 for the claims alone before
