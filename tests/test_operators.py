@@ -236,3 +236,18 @@ def test_contained_pairs_of_one_name_meet_in_blocks(spark, monkeypatch):
     words = lambda s: s.lower().split()
     want = {(a, b) for (a, t, x), (b, u, y) in itertools.product([d for d in data if d[2]], repeat=2) if a != b and t == u and words(y)[: len(words(x))] == words(x) and (len(words(x)) < len(words(y)) or a < b)}
     assert rows(found) == sorted(want)
+
+
+def test_fuzzy_pairs_of_one_name_meet_in_blocks(spark, monkeypatch):
+    """Pairs of entities come block by block in tasks of few, none is shuffled; names in both orders, an id of two names and repeated rows as before."""
+    from difflib import SequenceMatcher
+
+    monkeypatch.setattr(resolve, "BLOCK", 7)
+    monkeypatch.setattr(resolve, "PAIRS", 50)
+    names = ["tide", "diet", "tied red", "red tide"]
+    data = [(f"p:{i}", "T" if i % 9 else "U", names[i * i % 4 if i % 2 else i % 3]) for i in range(60)] + [("p:1", "T", "diet"), ("p:2", "T", names[2]), ("x", "T", None), (None, "T", "tide")]
+    found = resolve.fuzzy_pairs(spark.createDataFrame(data, "id string, type string, name string"), 0.5)
+    assert found.rdd.getNumPartitions() > 16
+    ratio = lambda a, b: 1.0 if a in b or b in a else round(SequenceMatcher(None, a, b).ratio(), 6)
+    want = [(a, b, ratio(x, y)) for (a, t, x), (b, u, y) in itertools.product([d for d in data if d[0] and d[2]], repeat=2) if a < b and t == u and ratio(x, y) >= 0.5]
+    assert rows(found) == sorted(want)
