@@ -251,3 +251,12 @@ def test_fuzzy_pairs_of_one_name_meet_in_blocks(spark, monkeypatch):
     ratio = lambda a, b: 1.0 if a in b or b in a else round(SequenceMatcher(None, a, b).ratio(), 6)
     want = [(a, b, ratio(x, y)) for (a, t, x), (b, u, y) in itertools.product([d for d in data if d[0] and d[2]], repeat=2) if a < b and t == u and ratio(x, y) >= 0.5]
     assert rows(found) == sorted(want)
+
+
+def test_names_of_one_file_are_folded_on_all_cores(spark, monkeypatch):
+    """A table of small rows is one task as it is read; what contained_pairs makes of its names is many."""
+    tasks = {}
+    monkeypatch.setattr(resolve, "staged", lambda df, name: tasks.setdefault(name, df.rdd.getNumPartitions()) and df)
+    names = spark.range(40).selectExpr("concat('p:', id) as id", "'T' as type", "concat('red box', id % 3) as name").coalesce(1)
+    resolve.contained_pairs(names)
+    assert tasks["members"] == 4 * spark.sparkContext.defaultParallelism
